@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import map_batches, whole_text
@@ -196,19 +196,36 @@ def with_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     A null text is an empty one; texts under min_bytes bytes lose nothing. Repeated rows are copies of each other and
     lose all that lies in strings of min_bytes bytes. A null id is an id like others. Texts must be under 2 GB.
     """
+    keyed = docs.withColumns(dict(zip(("_kd", "_kt"), _keys(id_col, text_col))))
+    ranges = _ranges(docs, id_col, text_col, min_bytes).withColumnsRenamed({"kd": "_kd", "kt": "_kt", "ranges": "_ranges"})
+    kept = F.pandas_udf(_kept_rows, _KEPT)
+    return keyed.join(ranges, ["_kd", "_kt"], "left").withColumn("_kept", kept(whole_text(text_col), "_ranges")).drop("_kd", "_kt", "_ranges")
+
+
+_KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
+
+
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells rows apart: the id and the text; rows alike in both are treated alike."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(whole_text(text_col))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kd, kt = _keys(id_col, text_col)
+    return docs.select(kd.alias("kd"), kt.alias("kt"), whole_text(text_col).alias("text"))
+
+
+def _ranges(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
+    """(kd, kt, ranges) of the rows that hold repeated strings: byte ranges, packed, in no order, that may overlap."""
     if min_bytes < GRAM + STEP:
         raise ValueError(f"min_bytes must be {GRAM + STEP} at least")
-    text = whole_text(text_col)
-    keyed = docs.withColumns({"_kd": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_kt": F.xxhash64(text)})
-    plain = keyed.select(F.col("_kd").alias("kd"), F.col("_kt").alias("kt"), text.alias("text"))
+    plain = _plain(docs, id_col, text_col)
     ranked = _sorted(_first_round(plain, min_bytes))
     ranges = _repeated(ranked, min_bytes)
     for step in (STEP, 1):
         ranked = _sorted(_next_round(plain, ranked.where("first and kinds > 1").select("kd", "kt", "anchor", "low", "high"), step, min_bytes))
         ranges = ranges.unionByName(_repeated(ranked, min_bytes))
-    kept = F.pandas_udf(_kept_rows, "n_bytes long, n_removed long, n_spans long, kept binary")
-    ranges = ranges.groupBy(F.col("kd").alias("_kd"), F.col("kt").alias("_kt")).agg(F.collect_list("range").alias("_ranges"))
-    return keyed.join(ranges, ["_kd", "_kt"], "left").withColumn("_kept", kept(text, "_ranges")).drop("_kd", "_kt", "_ranges")
+    return ranges.groupBy("kd", "kt").agg(F.collect_list("range").alias("ranges"))
 
 
 def _kept_rows(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
@@ -228,7 +245,9 @@ def _without(text: bytes, ranges: np.ndarray | None) -> tuple[int, int, int, byt
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs; see with_kept for odd rows."""
-    return with_kept(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", min_bytes).select("doc_id", "_kept.*")
+    kept = F.pandas_udf(_kept_rows, _KEPT)
+    rows = _plain(docs, id_col, text_col).join(_ranges(docs, id_col, text_col, min_bytes), ["kd", "kt"], "left")
+    return rows.select(F.when(F.col("kd") != _NO_ID, F.col("kd")).alias("doc_id"), kept("text", "ranges").alias("kept")).select("doc_id", "kept.*")
 
 
 def keep_rest(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
