@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, repeats, simhash, toxicity
+from . import bpe, licences, packing, pii, repeats, sharding, simhash, toxicity, vectors
 from .shared import table
 
 
@@ -20,6 +20,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op3_pivot_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -35,6 +43,10 @@ def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -44,18 +56,18 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_lookup_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op2_pii": op2_pii,
-    "op5_byte_level_bpe": op5_byte_level_bpe,
-    "op7_best_fit_packing": op7_best_fit_packing,
-    "op8_suffix_array_dedup": op8_suffix_array_dedup,
-    "op10_toxicity": op10_toxicity,
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_pii, op3_pivot_distance_top_k, op4_stable_projection_ann, op5_byte_level_bpe, op6_license_scan, op7_best_fit_packing, op8_suffix_array_dedup, op9_lookup_table_sharding, op10_toxicity)
 }
 
 #: DuckDB SQL for those queries that SQL can express; the others are tested against brute force in tests/llm.

@@ -19,19 +19,23 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; only on one machine is one made where none is set."""
+    context = spark.sparkContext
+    if (set_already := context._jsc.sc().getCheckpointDir()).isDefined():
+        return set_already.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's checkpoint folder, so that a lost executor costs nothing.
-
-    The folder is read from the session; only where none is set (tests on one machine) is one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+    """df computed once and kept in the shared folder, so that a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
