@@ -190,18 +190,6 @@ def _repeated(ranked: DataFrame, min_bytes: int) -> DataFrame:
     return ranked.where("number > 1 or times = 0").select("kd", "kt", F.shiftleft(start, 31).bitwiseOR(F.col("anchor") + F.col("high") + min_bytes).alias("range"))
 
 
-def with_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
-    """docs with one more column _kept: struct(n_bytes, n_removed, n_spans, kept binary).
-
-    A null text is an empty one; texts under min_bytes bytes lose nothing. Repeated rows are copies of each other and
-    lose all that lies in strings of min_bytes bytes. A null id is an id like others. Texts must be under 2 GB.
-    """
-    keyed = docs.withColumns(dict(zip(("_kd", "_kt"), _keys(id_col, text_col))))
-    ranges = _ranges(docs, id_col, text_col, min_bytes).withColumnsRenamed({"kd": "_kd", "kt": "_kt", "ranges": "_ranges"})
-    kept = F.pandas_udf(_kept_rows, _KEPT)
-    return keyed.join(ranges, ["_kd", "_kt"], "left").withColumn("_kept", kept(whole_text(text_col), "_ranges")).drop("_kd", "_kt", "_ranges")
-
-
 _KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -244,14 +232,28 @@ def _without(text: bytes, ranges: np.ndarray | None) -> tuple[int, int, int, byt
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs; see with_kept for odd rows."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs.
+
+    A null text is an empty one; texts under min_bytes bytes lose nothing. Repeated rows are copies of each other and
+    lose all that lies in strings of min_bytes bytes. A null id is an id like others. Texts must be under 2 GB.
+    An empty table gives no rows; other columns of docs are not looked at.
+    """
     kept = F.pandas_udf(_kept_rows, _KEPT)
     rows = _plain(docs, id_col, text_col).join(_ranges(docs, id_col, text_col, min_bytes), ["kd", "kt"], "left")
     return rows.select(F.when(F.col("kd") != _NO_ID, F.col("kd")).alias("doc_id"), kept("text", "ranges").alias("kept")).select("doc_id", "kept.*")
 
 
-def keep_rest(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
-    """docs whose text is what stays; bytes of characters that were cut in part go too. n_chars is counted again."""
-    kept = F.regexp_replace(F.decode(F.col("_kept.kept"), F.lit("UTF-8")), "�", "")
-    changed = with_kept(docs, min_bytes=min_bytes).withColumn("text", F.when(F.col("_kept.n_removed") > 0, kept).otherwise(F.col("text")))
-    return changed.drop("_kept").withColumn("n_chars", F.length("text").cast("long"))
+def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
+    """docs whose text is what stays, with all their columns; n_chars is counted again.
+
+    Bytes of a character that was cut in part go too. Null texts stay null. See repeats_removed for odd rows.
+    """
+
+    def rest(text: pd.Series, ranges: pd.Series) -> pd.Series:
+        cut = [t if t is None or x is None else _without(t.encode("utf-8", "surrogatepass"), x)[3].decode("utf-8", "ignore") for t, x in zip(text, ranges)]
+        return pd.Series(cut, dtype=object)
+
+    keyed = docs.withColumns(dict(zip(("_kd", "_kt"), _keys(id_col, text_col))))
+    ranges = _ranges(docs, id_col, text_col, min_bytes).withColumnsRenamed({"kd": "_kd", "kt": "_kt", "ranges": "_ranges"})
+    joined = keyed.join(ranges, ["_kd", "_kt"], "left").withColumn(text_col, F.pandas_udf(rest, "string")(F.col(text_col).cast("string"), "_ranges"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumn("n_chars", F.length(text_col).cast("long"))
