@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,17 +26,21 @@ from pyspark.sql import functions as F
 from .shared import map_batches, whole_text
 
 #: The pattern of the vocabulary for texts of these characters alone, for the faster engine.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 #: Characters with the Unicode property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Characters of a chunk, and the least and the most buckets of its words; a task holds the distinct words of its buckets.
-CHUNK, BUCKETS = 32_000_000, (64, 4096)
+CHUNK, BUCKETS = 16_000_000, (64, 4096)
 
 
 def words_of(text: str, pattern: str) -> list[str]:
     """The matches of the pattern, which is public_tokenizers.PATTERN or one like it."""
-    if _PLAIN.fullmatch(text) and pattern == _known_pattern():
+    try:
+        plain = not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        plain = False
+    if plain and pattern == _known_pattern():
         return _PLAIN_WORDS.findall(text)
     return regex.findall(pattern.replace(r"[^\s", rf"[^{_SPACE}").replace(r"\S", rf"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"), text)
 
@@ -63,18 +68,48 @@ def _vocabulary(path: str, pattern: str) -> tuple:
     return _loaded[path]
 
 
+def _width(tokens: list[bytes]) -> str:
+    return "<u2" if len(tokens) <= 1 << 16 else "<u4"
+
+
+def _small(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _large(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _bytes_apart(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers with their first bytes first, then their second ones and so on: small numbers shrink well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _bytes_joined(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _packed(parts: list[bytes]) -> bytes:
-    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    return _small(np.array([len(parts)], "<u4").tobytes(), _bytes_apart(np.array([*map(len, parts)], np.uint32)), *parts)
 
 
 def _unpacked(blob: bytes) -> list[bytes]:
+    blob = _large(blob)
     n = int(np.frombuffer(blob, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(blob, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
+    ends = np.cumsum(_bytes_joined(blob[4 : 4 + 4 * n]), dtype=np.int64) + 4 + 4 * n
     return [blob[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[str, list, list[str], list[np.ndarray]]]:
-    """(name, ids of documents, distinct words, numbers of words by document).
+class _Numbers(dict):
+    """The number of each word, by first occurrence."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, with_codes: bool) -> Iterator[tuple[str, list, list[str], list[np.ndarray]]]:
+    """(name, ids of documents, distinct words by first occurrence, numbers of words by document).
 
     The name holds the place and a hash of the content: the same rows in the same order give the same name.
     """
@@ -84,13 +119,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[s
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         at = 0
         while at < len(texts):
-            number: dict[str, int] = {}
+            number = _Numbers()
             codes, size, begin, digest = [], 0, at, xxhash.xxh3_128()
             while at < len(texts) and (size == 0 or size + len(texts[at]) <= CHUNK):
                 found = words_of(texts[at], pattern)
-                for w in {*found}:
-                    number.setdefault(w, len(number))
-                codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                if with_codes:
+                    codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                else:
+                    number.update(dict.fromkeys(found))
                 digest.update(f"{ids[at]}:{len(texts[at])}:".encode() + texts[at].encode("utf-8", "surrogatepass"))
                 size += len(texts[at]) + 1
                 at += 1
@@ -108,16 +144,17 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     buckets = min(max(BUCKETS[0], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), BUCKETS[1])
 
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, words, _ in _chunks(batches, pattern):
+        for name, _, words, _ in _chunks(batches, pattern, False):
             raw = [w.encode("utf-8", "surrogatepass") for w in words]
             bucket = np.array([xxhash.xxh3_64_intdigest(w) for w in raw], np.uint64) % np.uint64(buckets)
             for b in range(buckets):
                 own = np.flatnonzero(bucket == b)
                 if len(own):
-                    yield pa.RecordBatch.from_pydict({"chunk": [name], "bucket": [b], "numbers": [own.astype("<u4").tobytes()], "words": [_packed([raw[k] for k in own])]}, schema=pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict({"chunk": [name], "bucket": [b], "numbers": [_small(_bytes_apart(np.diff(own, prepend=0)))], "words": [_packed([raw[k] for k in own])]}, schema=pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())]))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_word, _ = _vocabulary(ranks, pattern)
+        encode_word, tokens = _vocabulary(ranks, pattern)
+        width = _width(tokens)
         known: dict[bytes, bytes] = {}
         for batch in batches:
             for name, numbers, words in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
@@ -125,29 +162,29 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 for w in _unpacked(words):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = np.array(encode_word(w), "<u4").tobytes()
+                        ids = known[w] = np.array(encode_word(w), width).tobytes()
                     out.append(ids)
                 yield pa.RecordBatch.from_pydict({"chunk": [name], "numbers": [numbers], "ids": [_packed(out)]}, schema=pa.schema([("chunk", pa.string()), ("numbers", pa.binary()), ("ids", pa.binary())]))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, words, codes in _chunks(batches, pattern):
-            halves = [c.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes() for c in codes]
-            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(ids), "doc_id": ids, "words": [len(words)] * len(ids), "codes": halves}, schema=pa.schema([("chunk", pa.string()), ("doc_id", pa.int64()), ("words", pa.int64()), ("codes", pa.binary())]))
+        for name, ids, words, codes in _chunks(batches, pattern, True):
+            apart = [_small(_bytes_apart(c)) for c in codes]
+            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(ids), "doc_id": ids, "words": [len(words)] * len(ids), "codes": apart}, schema=pa.schema([("chunk", pa.string()), ("doc_id", pa.int64()), ("words", pa.int64()), ("codes", pa.binary())]))
 
     def together(codes: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(codes):
             raise RuntimeError("the documents gave other rows when read again")
-        n = int(codes["words"].iloc[0])
+        n, width = int(codes["words"].iloc[0]), _width(_vocabulary(ranks, pattern)[1])
         ids: list[bytes | None] = [None] * n
         for numbers, blob in zip(replies["numbers"], replies["ids"]):
-            for k, x in zip(np.frombuffer(numbers, "<u4").tolist(), _unpacked(blob)):
+            for k, x in zip(np.cumsum(_bytes_joined(_large(numbers)), dtype=np.int64).tolist(), _unpacked(blob)):
                 ids[k] = x
         if any(x is None for x in ids):
             raise RuntimeError("the documents gave other rows when read again")
         out = []
         for c in codes["codes"]:
-            k = np.ascontiguousarray(np.frombuffer(c, "<u2").reshape(2, -1).T).view("<u4").ravel()
-            out.append(np.frombuffer(b"".join(map(ids.__getitem__, k.tolist())), "<u4").astype(np.int32))
+            k = _bytes_joined(_large(c)).tolist()
+            out.append(np.frombuffer(b"".join(map(ids.__getitem__, k)), width).astype(np.int32))
         return pd.DataFrame({"doc_id": codes["doc_id"], "ids": out})
 
     words = plain.mapInArrow(dictionary, "chunk string, bucket int, numbers binary, words binary").repartition("bucket")
