@@ -10,11 +10,12 @@ token bytes, whose size is fixed by the vocabulary.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -31,7 +32,7 @@ _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+|
 #: Characters with the Unicode property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Characters of a chunk, and the least and the most buckets of its words; a task holds the distinct words of its buckets.
-CHUNK, BUCKETS = 16_000_000, (64, 4096)
+CHUNK, BUCKETS = 8_000_000, (64, 4096)
 
 
 def words_of(text: str, pattern: str) -> list[str]:
@@ -116,22 +117,35 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, with_codes: bool) -
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     made = 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < batch.num_rows:
             number = _Numbers()
-            codes, size, begin, digest = [], 0, at, xxhash.xxh3_128()
-            while at < len(texts) and (size == 0 or size + len(texts[at]) <= CHUNK):
-                found = words_of(texts[at], pattern)
+            ids, codes, size, digest = [], [], 0, xxhash.xxh3_128()
+            while at < batch.num_rows:
+                text = batch.column(1)[at].as_py()
+                if size and size + len(text) > CHUNK:
+                    break
+                found = words_of(text, pattern)
                 if with_codes:
                     codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
                 else:
                     number.update(dict.fromkeys(found))
-                digest.update(f"{ids[at]}:{len(texts[at])}:".encode() + texts[at].encode("utf-8", "surrogatepass"))
-                size += len(texts[at]) + 1
+                ids.append(batch.column(0)[at].as_py())
+                digest.update(f"{ids[-1]}:{len(text)}:".encode() + text.encode("utf-8", "surrogatepass"))
+                size += len(text) + 1
                 at += 1
-            yield f"{part}:{made}:{digest.hexdigest()}", ids[begin:at], list(number), codes
+            yield f"{part}:{made}:{digest.hexdigest()}", ids, list(number), codes
             made += 1
+            del number, codes, found, text
+        del batch
+        _give_back()
+
+
+def _give_back() -> None:
+    """Hands freed memory to the system: several Python workers of an executor share its limit, idle ones too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,32 +179,35 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                         ids = known[w] = np.array(encode_word(w), width).tobytes()
                     out.append(ids)
                 yield pa.RecordBatch.from_pydict({"chunk": [name], "numbers": [numbers], "ids": [_packed(out)]}, schema=pa.schema([("chunk", pa.string()), ("numbers", pa.binary()), ("ids", pa.binary())]))
+        known.clear()
+        _give_back()
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, words, codes in _chunks(batches, pattern, True):
             apart = [_small(_bytes_apart(c)) for c in codes]
             yield pa.RecordBatch.from_pydict({"chunk": [name] * len(ids), "doc_id": ids, "words": [len(words)] * len(ids), "codes": apart}, schema=pa.schema([("chunk", pa.string()), ("doc_id", pa.int64()), ("words", pa.int64()), ("codes", pa.binary())]))
 
-    def together(codes: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes):
+    def together(codes: pa.Table, replies: pa.Table) -> pa.Table:
+        if not codes.num_rows:
             raise RuntimeError("the documents gave other rows when read again")
-        n, width = int(codes["words"].iloc[0]), _width(_vocabulary(ranks, pattern)[1])
-        ids: list[bytes | None] = [None] * n
+        width = _width(_vocabulary(ranks, pattern)[1])
+        ids: list[bytes | None] = [None] * codes["words"][0].as_py()
         for numbers, blob in zip(replies["numbers"], replies["ids"]):
-            for k, x in zip(np.cumsum(_bytes_joined(_large(numbers)), dtype=np.int64).tolist(), _unpacked(blob)):
+            for k, x in zip(np.cumsum(_bytes_joined(_large(numbers.as_py())), dtype=np.int64).tolist(), _unpacked(blob.as_py())):
                 ids[k] = x
         if any(x is None for x in ids):
             raise RuntimeError("the documents gave other rows when read again")
-        out = []
-        for c in codes["codes"]:
-            k = _bytes_joined(_large(c)).tolist()
-            out.append(np.frombuffer(b"".join(map(ids.__getitem__, k)), width).astype(np.int32))
-        return pd.DataFrame({"doc_id": codes["doc_id"], "ids": out})
+        own = [np.frombuffer(b"".join(map(ids.__getitem__, _bytes_joined(_large(c.as_py())).tolist())), width) for c in codes["codes"]]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
+        found = pa.ListArray.from_arrays(ends, np.concatenate(own).astype(np.int32))
+        del ids, own
+        _give_back()
+        return pa.table({"doc_id": codes["doc_id"].combine_chunks(), "ids": found})
 
     words = plain.mapInArrow(dictionary, "chunk string, bucket int, numbers binary, words binary").repartition("bucket")
     replies = words.select("chunk", "numbers", "words").mapInArrow(encoded, "chunk string, numbers binary, ids binary")
     numbered = plain.mapInArrow(positions, "chunk string, doc_id long, words long, codes binary")
-    return numbered.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(together, "doc_id long, ids array<int>")
+    return numbered.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(together, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -198,6 +215,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> dict:
         _, token = _vocabulary(ranks, pattern)
+        _give_back()
         decoded = [b"".join(map(token.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b"" for ids in batch.column(1)]
         return {"doc_id": batch.column(0), "ids": batch.column(1), "decoded": decoded}
 
