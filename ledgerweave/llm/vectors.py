@@ -11,7 +11,8 @@ two of them are here:
     freedom as projections: neighbours in the projection are verified until the chi-square test says that
     what is left holds a nearer point with a small probability only.
 
-A query searches its own cell first; with its k-th score it goes to those other cells that the bound does not rule out.
+A query searches its own cell first, then the nearest other one, the next two, the next four and so on: each time with
+its k-th score so far, and only those cells that the bound does not rule out.
 Within a cell runs of neighbouring coordinates are compared from the nearest outwards until the bound passes the k-th
 distance. Cells are salted into groups of bounded size and queries into blocks, so neither a hot vector nor many
 queries make a large group. Equal vectors of a group are compared once.
@@ -32,6 +33,8 @@ from .shared import durable, map_batches
 
 #: Rows and queries of a group, and rows of a run of neighbouring coordinates.
 GROUP, RUN = 8192, 256
+#: Rows that a cell has on average, as far as MOST_CELLS go.
+CELL, MOST_CELLS = 4096, 64
 #: Rows that pivots and the top of the kd-tree are fitted on. Every row is indexed.
 SAMPLE = 2048
 
@@ -186,7 +189,7 @@ def search_group(index: Rings | Boxes, cell: int, ids: np.ndarray, x: np.ndarray
     n = np.minimum(begin[vector + 1] - begin[vector], keep)
     at = np.repeat(begin[vector], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     who, value, found = np.repeat(who, n), np.repeat([math.fsum(p) for p in q[who] * x[vector]] if len(who) else np.zeros(0), n), ids[at]
-    other = found != query_ids[who]
+    other = (found != query_ids[who]) & (value >= least[who])
     who, value, found = who[other], value[other], found[other]
     order = np.lexsort((found, -value, who))
     who, value, found = who[order], value[order], found[order]
@@ -220,7 +223,7 @@ def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxe
     dim, most = stats["dim"], stats["most"]
     padded = vectors.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("vec"))))
     sample = padded.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    cells = 1 << max(0, min(6, round(math.log2(max(stats["n"], 1) / 2000))))
+    cells = 1 << max(0, min(MOST_CELLS.bit_length() - 1, round(math.log2(max(stats["n"], 1) / CELL))))
     index = kind.fit(_lifted(np.array([r["vec"] for r in sample], np.float64), most), cells)
 
     def indexed(batch: pa.RecordBatch) -> dict:
@@ -246,17 +249,21 @@ def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxe
     dealt = dealt.select("cell", "salt", "vec_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
 
-    def routed(first: bool):
+    def routed(begin: int, end: int):
+        """Sends queries to the cells that come from begin to before end in their orders, as far as the bound lets them."""
+
         def each(batch: pa.RecordBatch) -> dict:
             q = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             score, point = batch.column(3).to_numpy(zero_copy_only=False), _query(q)
-            # A query's own cell is where it would be indexed; if no row is there, the nearest of the others by its box.
             gap = np.column_stack([_gap(index.coordinates(point, int(c)), box[0][i : i + 1], box[1][i : i + 1])[:, 0] for i, c in enumerate(known)]) * index.scale
+            # First the cell in which the query itself would be indexed, then the others by their distances.
             home = np.searchsorted(known, index.cell(_lifted(q, most))).clip(0, len(known) - 1)
-            own = np.zeros(gap.shape, bool)
-            own[np.arange(len(q)), home] = True
-            wanted = own if first else ~own & (gap <= _reach(q, most, score)[:, None])
-            who, cell = np.nonzero(wanted)
+            order = gap.copy()
+            order[np.arange(len(q)), home] = -1
+            visited = np.argsort(order, axis=1, kind="stable")[:, begin:end]
+            wanted = np.take_along_axis(gap, visited, axis=1) <= _reach(q, most, score)[:, None]
+            who, column = np.nonzero(wanted)
+            cell = visited[who, column]
             n = np.array([salts[int(c)] for c in known])[cell]
             again = np.repeat(np.arange(len(who)), n)
             salt = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
@@ -276,12 +283,18 @@ def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxe
     keys = ("cell", "salt", "block")
     compared = lambda queries: dealt.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(group, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = durable(compared(routed(True)(asked.withColumn("least", F.lit(float("-inf"))))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-    bound = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    bounded = asked.join(bound, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    other = compared(routed(False)(bounded))
-    both = first.select("query_id", "vec_id", "score").unionByName(other)
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, begin, end = None, 0, 1
+    while begin < len(known):
+        if best is None:
+            bounded = asked.withColumn("least", F.lit(float("-inf")))
+        else:
+            bound = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+            bounded = asked.join(bound, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        found = compared(routed(begin, end)(bounded))
+        every = found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)
+        best = durable(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        begin, end = end, 2 * end
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, grid: int = 1024) -> DataFrame:
