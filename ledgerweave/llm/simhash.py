@@ -44,22 +44,24 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id long, fp long): fp holds the 64 bits as a signed number; null texts count as empty."""
+    """(doc_id long, kt long, fp long): kt is a hash of the text, fp holds the 64 bits as a signed number; null texts count as empty."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        fp = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-        return {"doc_id": batch.column(0), "fp": fp.view(np.int64)}
+        fp = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+        return {"doc_id": batch.column(0), "kt": batch.column(1), "fp": fp.view(np.int64)}
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), each, "doc_id long, fp long")
+    text = whole_text(text_col)
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text), each, "doc_id long, kt long, fp long")
 
 
 def components(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """(fp, component_id) for fps(doc_id, fp): the smallest doc_id reachable over links of at most budget bits."""
+    """(fp, root, component_id) for fps(doc_id, fp): root is the same for all fingerprints that links of at most budget
+    bits connect, component_id the smallest doc_id among their rows."""
     nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(trie_links(nodes.select("fp"), budget))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
@@ -75,14 +77,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id, once if it is repeated.
+    """The rows of docs that stay: of each component the one with the smallest doc_id (of several its text with the smallest hash), once.
 
-    Rows without doc_id stay, as nothing tells which of them is the first.
+    The texts are shuffled once, to meet the ids that stay; only rows that are there more than once are shuffled again.
     """
     fps = durable(fingerprints(docs))
-    first = fps.join(components(fps), "fp").where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    best = fps.join(components(fps), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")).alias("b"))
+    number = fps.groupBy("doc_id", "kt").agg((F.count("*") > 1).alias("_again"))
+    number = number.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt").alias("b"), "_again")
+    stay = best.join(number, "b").select(F.coalesce("b.doc_id", F.lit(0)).alias("_id"), F.col("b.none").alias("_none"), F.col("b.kt").alias("_kt"), "_again")
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_kt": F.xxhash64(whole_text())}
+    kept = docs.withColumns(keys).join(stay, [*keys])
+    once = kept.where("not _again").unionByName(kept.where("_again").dropDuplicates([*keys]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def trie_links(fps: DataFrame, budget: int = 3) -> DataFrame:
