@@ -70,3 +70,46 @@ def verify(quads: DataFrame, declared: DataFrame) -> DataFrame:
 def multi_valued(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys with more than one value, for stability between years."""
     return rows.groupBy(*keys).agg(F.count_distinct(value).alias("n_values"), F.count("*").alias("n_rows")).where("n_values > 1")
+
+
+def _files(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def stage(quads: DataFrame, declared: DataFrame, root: str) -> None:
+    """Checks quads against their manifest, then puts them in place: incoming is written, current becomes previous, incoming becomes current.
+
+    Anything wrong raises before current is touched. Renames go through the file system of root, so any that Spark writes to will do.
+    """
+    spark = quads.sparkSession
+    if not verify(quads, declared).isEmpty():
+        raise ValueError("the quads aren't what the manifest declares")
+    names = {n: _files(spark, f"{root}/{n}") for n in ("incoming", "current", "previous")}
+    fs = names["incoming"][0]
+    fs.delete(names["incoming"][1], True)
+    replace_graphs(quads, f"{root}/incoming")
+    if fs.exists(names["current"][1]):
+        fs.delete(names["previous"][1], True)
+        fs.rename(names["current"][1], names["previous"][1])
+    fs.rename(names["incoming"][1], names["current"][1])
+
+
+def publish(quads: DataFrame, folder: str) -> None:
+    """Gzipped lines of N-Quads, with the digest of the lines of each graph beside them."""
+    lines = quads.select("g", line().alias("value"))
+    lines.select("value").write.mode("errorifexists").option("compression", "gzip").text(f"{folder}/lines")
+    graph_digests(lines).coalesce(1).write.mode("errorifexists").json(f"{folder}/digests")
+
+
+def published_is_intact(spark, folder: str) -> bool:
+    """Whether published lines have the digests that are beside them."""
+    lines = spark.read.text(f"{folder}/lines").select(F.regexp_extract("value", r" <([^>]*)> \.$", 1).alias("g"), "value")
+    declared = spark.read.json(f"{folder}/digests").select("g", F.col("n").cast("bigint").alias("n"), "digest")
+    found = graph_digests(lines)
+    return found.exceptAll(declared).isEmpty() and declared.exceptAll(found).isEmpty()
+
+
+def safe_name(c):
+    """A graph's address as the name of a file."""
+    return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
