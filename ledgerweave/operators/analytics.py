@@ -14,8 +14,8 @@ def percent(part: Column, whole: Column) -> Column:
 def shares(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """rows with share: value in percent of the sum over by. The sums are joined, not windowed over all rows in one task."""
     if not by:
-        total = rows.agg(F.sum(value).alias("_t"))
-        return rows.join(F.broadcast(total)).withColumn("share", percent(F.col(value), F.col("_t"))).drop("_t")
+        total = rows.agg(F.sum(value).alias("_t")).withColumn("_all", F.lit(1))
+        return rows.withColumn("_all", F.lit(1)).join(F.broadcast(total), "_all").withColumn("share", percent(F.col(value), F.col("_t"))).drop("_t", "_all")
     total = rows.groupBy(*by).agg(F.sum(value).alias("_t"))
     return rows.join(total, by).withColumn("share", percent(F.col(value), F.col("_t"))).drop("_t")
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resolve import small
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, direction, predicate, other, g) from either end."""
@@ -22,7 +23,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def expand(edges: DataFrame, nodes: DataFrame, fanout: int) -> DataFrame:
     """(node, direction, predicate, other, g, n) for nodes(node): the first fanout + 1 hops of each by direction, predicate, other end and graph. The last tells that there are more."""
     order = Window.partitionBy("node").orderBy("direction", "predicate", "other", "g")
-    return both_ways(edges).join(F.broadcast(nodes), "node").withColumn("n", F.row_number().over(order)).where(F.col("n") <= fanout + 1)
+    return both_ways(edges).join(small(nodes), "node").withColumn("n", F.row_number().over(order)).where(F.col("n") <= fanout + 1)
 
 
 @dataclass
@@ -148,7 +149,7 @@ def find_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, visit
 
 def hops_from(edges: DataFrame, centers: DataFrame, most: int) -> DataFrame:
     """(node, hops) for all nodes within most steps of centers(node), by one join for each step; nodes beyond are left out."""
-    pairs = both_ways(edges).select("node", "other").distinct().persist(StorageLevel.DISK_ONLY)
+    pairs = both_ways(edges).select("node", "other").distinct()
     reached = centers.select("node", F.lit(0).alias("hops")).distinct()
     front = reached
     for step in range(1, most + 1):

@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.records import numbered
 
@@ -87,6 +88,9 @@ edge AS (
 """
 
 
+_schemas: dict[str, StructType] = {}
+
+
 class Harness:
     """The same tables as PRELUDE names them, built when asked for."""
 
@@ -94,7 +98,11 @@ class Harness:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table; its schema is read from the files once for each path, not for each query."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
 
     @cached_property
     def organ(self) -> DataFrame:
