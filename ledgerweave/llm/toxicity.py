@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import map_batches, whole_text
 
 WORD = re.compile(r"[^\W\d_]+")
-SLOTS = 1 << 18
+SLOTS = 1 << 21
 BEGINNINGS = (3, 4, 5, 6)
 #: Words whose features a worker remembers.
 REMEMBERED = 400_000
@@ -39,7 +39,7 @@ class Settings:
     least_texts: int = 5
     epochs: int = 250
     rate: float = 0.05
-    decay: float = 1e-3
+    decay: float = 7e-4
 
 
 @dataclass(frozen=True)
@@ -99,6 +99,7 @@ def _train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     column, row = np.concatenate(own), np.repeat(np.arange(n + u), [len(x) for x in own])
     is_p = np.arange(n + u) < n
     w, m, v = np.append(np.zeros(len(kept)), -2.0), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    mean = np.zeros_like(w)  # of the later half of the steps: the two slopes of the risk take turns
     for step in range(1, settings.epochs + 1):
         margin = np.bincount(row, w[column], n + u) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
@@ -108,7 +109,8 @@ def _train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
         g = np.append(np.bincount(column, slope[row], len(kept)) + settings.decay * w[:-1], slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - settings.rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-    return Model({int(k): float(x) for k, x in zip(kept, w)}, float(w[-1]))
+        mean += w * (step > settings.epochs // 2) / (settings.epochs - settings.epochs // 2)
+    return Model({int(k): float(x) for k, x in zip(kept, mean)}, float(mean[-1]))
 
 
 _remembered: dict[str, tuple[int, ...]] = {}
