@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from .layouts import HEADERS
 
 #: Places of the columns that are used, of headerless corporation rows with 30 columns.
 CORPORATION = {"corp_no": 1, "updated_on": 4, "name": 6, "kind_code": 8, "prefecture": 9, "city": 10, "street": 11}
 CORPORATION_WIDTH = 30
 #: Places of the columns that are used, and widths, of budget-review files.
 REVIEW = {
+    "organization": (22, {"fiscal_year": 1, "project_id": 2, "name": 3, "kensei_jun": 4, "ministry": 5}),
     "summary": (32, {"fiscal_year": 1, "project_id": 2, "name": 3, "kensei_jun": 4, "ministry": 5}),
     "law": (28, {"fiscal_year": 1, "project_id": 2, "law_title": 19, "law_num": 20, "law_id": 21}),
     "budget": (44, {"fiscal_year": 1, "project_id": 2, "budget_fiscal_year": 13, "initial": 14, "supplementary": 15, "carried_in": 16, "reserve": 17, "available": 18, "executed": 19, "carried_out": 21, "next_year_request": 22}),
@@ -44,7 +46,7 @@ def _rows_of(content: bytes, name: str) -> Iterator[list[str]]:
         yield from csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=""))
 
 
-def csv_rows(spark: SparkSession, path: str, width: int, columns: dict[str, int], header: Sequence[str] | None = None, skip_header: bool = False) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, width: int, columns: dict[str, int], header: Sequence[str] | None = None) -> DataFrame:
     """Columns by place, with row_idx from 0, of CSV files or zip archives of one.
 
     Files are parts of the work: one file is read by one task as a stream of batches. A row of another width raises, and so
@@ -58,10 +60,8 @@ def csv_rows(spark: SparkSession, path: str, width: int, columns: dict[str, int]
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = _rows_of(content.as_buffer().to_pybytes(), name)
-                if header is not None or skip_header:
-                    first = next(rows, None)
-                    if header is not None and first != list(header):
-                        raise LayoutError(f"{name}: unexpected header {first}")
+                if header is not None and (first := next(rows, None)) != list(header):
+                    raise LayoutError(f"{name}: unexpected header {first}")
                 held: list[list] = []
                 for k, row in enumerate(rows):
                     if len(row) != width:
@@ -93,10 +93,10 @@ def plain_corporations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(f"c{i}", F.lit("")).alias(n) for n, i in CORPORATION.items()], F.monotonically_increasing_id().alias("row_idx")).where(T.is_corporate_number(F.col("corp_no")))
 
 
-def review(spark: SparkSession, path: str, kind: str, header: Sequence[str] | None = None) -> DataFrame:
-    """A budget-review file by its kind in REVIEW; its first row is the header."""
+def review(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A budget-review file by its kind in REVIEW. Its first row must be the known header: any drift of the layout raises."""
     width, columns = REVIEW[kind]
-    return csv_rows(spark, path, width, columns, header, skip_header=True)
+    return csv_rows(spark, path, width, columns, HEADERS[kind])
 
 
 def commented(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

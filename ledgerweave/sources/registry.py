@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lake
+from .layouts import FILES as GROUPS
 
 
 @dataclass(frozen=True)
@@ -23,8 +24,6 @@ class Source:
     groups: tuple[str, ...] = ()
 
 
-#: Templates of file names of budget-review groups; the year says nothing about when they were fetched.
-GROUPS = {"summary": "1-2_RS_{year}_summary", "budget": "2-1_RS_{year}_budget", "law": "1-3_RS_{year}_law", "payee": "5-1_RS_{year}_payee", "connection": "5-2_RS_{year}_connection"}
 REQUIRED, OPTIONAL = ("summary", "budget", "law", "payee"), ("connection",)
 
 SOURCES = {
@@ -53,7 +52,7 @@ def group_of(file: Column) -> Column:
     out = None
     for group, template in GROUPS.items():
         head, _, tail = template.partition("{year}")
-        hit = file.rlike(rf"^{head}[0-9]+{tail}(?:\.(?:zip|csv))?$")
+        hit = file.rlike(rf"^\Q{head}\E[0-9]+\Q{tail}\E(?:\.(?:zip|csv))?$")
         out = F.when(hit, group) if out is None else out.when(hit, group)
     return out
 

@@ -12,6 +12,7 @@ from ledgerweave.operators import quads as Q
 from ledgerweave.operators import release, validate
 from ledgerweave.plans import build
 from ledgerweave.sources import readers
+from ledgerweave.sources.layouts import HEADERS
 
 TREASURY, OFFICE, FIRM = "1000000000001", "1000000000002", "2000000000001"
 
@@ -24,7 +25,7 @@ def write(path, rows):
 
 def review(path, kind, rows):
     width, places = readers.REVIEW[kind]
-    made = [[f"h{i}" for i in range(width)]]
+    made = [list(HEADERS[kind])]
     for row in rows:
         cells = [""] * width
         for c, v in row.items():

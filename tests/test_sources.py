@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.sources import lake, readers, rest
+from ledgerweave.sources.layouts import HEADERS
 
 
 def rows_file(path, rows, bom=False):
@@ -39,14 +40,16 @@ def test_corporations_from_text_and_archive(spark, tmp_path):
 
 
 def test_review_headers_and_widths(spark, tmp_path):
+    for kind, (width, columns) in readers.REVIEW.items():
+        assert len(HEADERS[kind]) == width and max(columns.values()) < width
     width, columns = readers.REVIEW["summary"]
-    header = [f"h{i}" for i in range(width)]
+    header = list(HEADERS["summary"])
     row = [str(i) for i in range(width)]
     path = rows_file(tmp_path / "s.csv", [header, row], bom=True)
-    got = readers.review(spark, path, "summary", header).first()
+    got = readers.review(spark, path, "summary").first()
     assert (got["project_id"], got["ministry"], got["row_idx"]) == ("2", "5", 0)
     with pytest.raises(Exception, match="unexpected header"):
-        readers.review(spark, path, "summary", header[::-1]).collect()
+        readers.review(spark, rows_file(tmp_path / "d.csv", [header[::-1], row]), "summary").collect()
     with pytest.raises(Exception, match="columns"):
         readers.review(spark, rows_file(tmp_path / "t.csv", [header, row[:-1]]), "summary").collect()
 
