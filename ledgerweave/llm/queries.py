@@ -70,5 +70,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash_near_dedup, op2_pii, op3_pivot_distance_top_k, op4_stable_projection_ann, op5_byte_level_bpe, op6_license_scan, op7_best_fit_packing, op8_suffix_array_dedup, op9_lookup_table_sharding, op10_toxicity)
 }
 
-#: DuckDB SQL for those queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+def _placement_sql() -> str:
+    numbers = ", ".join(map(str, sharding.lookup_table(sharding.SHARDS)))
+    return f"""SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 3, '0') AS shard_name
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)
+JOIN (SELECT unnest(range({sharding.SLOTS})) AS slot, CAST(unnest([{numbers}]) AS INTEGER) AS shard) USING (slot)"""
+
+
+#: DuckDB SQL for those queries that SQL can express: the whole scan for exact search, and placement by the same table, whose filling
+#: tests/llm repeats slot by slot. The others are tested against brute force there.
+ORACLE_SQL: dict[str, str] = {
+    "op3_pivot_distance_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, x.e) DESC, x.vec_id) AS rank FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id) WHERE rank <= 10""",
+    "op9_lookup_table_sharding": _placement_sql(),
+}
