@@ -62,6 +62,20 @@ def specific_types(quads: DataFrame) -> DataFrame:
     return own.groupBy("s").agg(F.min_by("type", F.struct(place, F.col("type"))).alias("type"))
 
 
+#: Predicates (local names) that tell instances of classes without labels apart.
+DESCRIBED_BY = {"AnnualBudget": "budgetFiscalYear", "UnresolvedReference": "text"}
+
+
+def labels(quads: DataFrame) -> DataFrame:
+    """(s, label, described): the least label of each entity, or else the value of its class's describing predicate."""
+    own = quads.where(F.col("p") == LABEL).groupBy("s").agg(F.min("o").alias("label"))
+    local = iri.local_name(F.col("p"))
+    value = quads.where(local.isin(*DESCRIBED_BY.values())).select("s", local.alias("predicate"), F.col("o").alias("value"))
+    wanted = F.coalesce(*[F.when(F.col("type") == c, p) for c, p in DESCRIBED_BY.items()])
+    described = specific_types(quads).withColumn("predicate", wanted).join(value, ["s", "predicate"], "left").groupBy("s").agg(F.min("value").alias("described"))
+    return described.join(own, "s", "left").select("s", F.coalesce("label", "described").alias("label"), F.col("label").isNull().alias("described"))
+
+
 def search(entities: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Entities(id, type, label, ...) whose label contains query in any case, once each, by label and id. An empty query finds all.
 

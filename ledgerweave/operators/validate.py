@@ -134,6 +134,12 @@ def project_amounts(projects: DataFrame, annual: DataFrame) -> DataFrame:
     return rows.withColumn("wrong", F.col("initials") != F.array("budget_amount"))
 
 
+def breakdown_totals(detail: DataFrame, aggregate: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, parts, wrong): the total of an aggregate row against the sum of its breakdown by kind; rows without a breakdown aren't compared."""
+    parts = detail.where("amount is not null").groupBy(*keys).agg(F.sum("amount").alias("parts"))
+    return aggregate.where("amount is not null").select(*keys, F.col("amount").alias("total")).join(parts, keys).withColumn("wrong", F.col("total") != F.col("parts"))
+
+
 def count_mismatches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys whose count n differs between two tables; a missing key counts 0."""
     joined = left.withColumnRenamed("n", "n_left").join(right.withColumnRenamed("n", "n_right"), keys, "full_outer")

@@ -104,6 +104,13 @@ class Harness:
             _schemas[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_schemas[path]).parquet(path)
 
+    def views(self) -> list[str]:
+        """Temporary views of all tables, for questions in SQL; returns their names."""
+        names = [n for n, v in vars(type(self)).items() if isinstance(v, cached_property)]
+        for n in names:
+            getattr(self, n).createOrReplaceTempView(n)
+        return names
+
     @cached_property
     def organ(self) -> DataFrame:
         k = F.col("n_nationkey")
@@ -123,6 +130,11 @@ class Harness:
         return rows.select(k.alias("project_id"), F.year("o_orderdate").alias("fiscal_year"), F.concat(F.lit("project "), k.cast("string")).alias("name"), F.col("o_custkey").alias("owner"), F.when(k % 11 != 0, number(F.col("c_nationkey"))).alias("ministry"),
                            F.when(k % 13 != 0, cents(F.col("o_totalprice"))).alias("budget_amount"), law(k % 211).alias("law_a"), F.when(k % 5 == 0, law(F.col("o_custkey") % 97)).alias("law_b"))
 
+    @cached_property
+    def year(self) -> DataFrame:
+        """(project_id, fiscal_year), without the owners that project joins; every order has one."""
+        return self.raw("orders").select(F.col("o_orderkey").alias("project_id"), F.year("o_orderdate").alias("fiscal_year"))
+
     @cached_property
     def project_law(self) -> DataFrame:
         return self.project.select("project_id", F.explode(F.array_distinct(F.array_compact(F.array("law_a", "law_b")))).alias("law_id"))
@@ -137,7 +149,7 @@ class Harness:
     def expenditure(self) -> DataFrame:
         k, flag = F.col("l_suppkey"), F.col("l_returnflag")
         category = F.when(k % 7 == 0, "sentinel_or_nonexistent_houjin_bangou").when(flag == "A", "bundled").when(flag == "R", "unresolved").otherwise("resolved")
-        rows = self.line.join(self.project.select("project_id", "fiscal_year"), "project_id")
+        rows = self.line.join(self.year, "project_id")
         return rows.select("project_id", "fiscal_year", "seq", "amount", flag.alias("block_id"), "l_suppkey", category.alias("category"), F.when((k % 7 != 0) & ~flag.isin("A", "R"), number(k + 1000)).alias("recipient"))
 
     @cached_property
@@ -152,7 +164,7 @@ class Harness:
 
     @cached_property
     def indirect(self) -> DataFrame:
-        rows = self.line.where("l_tax > 0").join(self.project.select("project_id", "fiscal_year"), "project_id")
+        rows = self.line.where("l_tax > 0").join(self.year, "project_id")
         made = rows.groupBy("project_id", "fiscal_year", "l_linenumber").agg(F.sum(cents(F.col("l_extendedprice") * F.col("l_tax"))).alias("amount"))
         return made.select("project_id", "fiscal_year", F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("item"), "amount")
 

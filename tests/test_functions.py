@@ -84,3 +84,14 @@ def test_addresses(spark):
 def test_content_digest_ignores_line_ends(spark):
     a, b = column(spark, ["x\r\ny\r\n", "x\ny\n"], T.content_digest)
     assert a == b
+
+
+def test_registered_for_sql(spark, sf_dir):
+    from ledgerweave.functions.register import register
+    from ledgerweave.plans.harness import Harness
+
+    assert "law_table_rows" in register(spark)
+    row = spark.sql("select corp_name_norm('㈱ ＡＢ') as a, iri_quote('a b*~') as b, looks_like_organ('財務省') as c, is_corporate_number('1') as d").first()
+    assert tuple(row) == ("AB", "a%20b%2A~", True, False)
+    names = Harness(spark, sf_dir).views()
+    assert "budget" not in names and spark.sql("select count(*) from project p join organ o on p.ministry = o.corp_no").first()[0] > 0

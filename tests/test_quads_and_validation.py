@@ -81,3 +81,16 @@ def test_rebase(spark):
     quads = spark.createDataFrame([("http://a/x", "http://a/p", "http://a/y", "uri", None, None, "http://a/g"), ("http://b/x", "http://a/p", "http://a/y", "literal", None, None, "g")], QUAD)
     got = [tuple(r) for r in validate.rebased(quads, "http://a", "http://n").select("s", "o", "g").collect()]
     assert got == [("http://n/x", "http://n/y", "http://n/g"), ("http://b/x", "http://a/y", "g")]
+
+
+def test_labels_or_what_describes(spark):
+    at = f"{iri.BASE}/def/core#"
+    rows = [("a", Q.TYPE, at + "Law", "uri"), ("a", Q.LABEL, "name", "literal"), ("b", Q.TYPE, at + "AnnualBudget", "uri"), ("b", at + "budgetFiscalYear", "2024", "literal"), ("c", Q.TYPE, at + "UnresolvedReference", "uri"), ("c", at + "text", "who", "literal"), ("d", Q.TYPE, at + "Law", "uri"), ("d", at + "text", "no", "literal")]
+    quads = spark.createDataFrame([(*r, None, None, "g") for r in rows], QUAD)
+    assert {r["s"]: (r["label"], r["described"]) for r in Q.labels(quads).collect()} == {"a": ("name", False), "b": ("2024", True), "c": ("who", True), "d": (None, True)}
+
+
+def test_breakdowns(spark):
+    detail = spark.createDataFrame([("p", "general", 3), ("p", "special", 4), ("q", "general", 1)], "project_id string, kind string, amount bigint")
+    total = spark.createDataFrame([("p", 7), ("q", 2), ("r", 5)], "project_id string, amount bigint")
+    assert {r["project_id"]: r["wrong"] for r in validate.breakdown_totals(detail, total, ["project_id"]).collect()} == {"p": False, "q": True}
