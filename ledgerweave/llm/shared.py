@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
         return set_already.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     context.setCheckpointDir(folder)
