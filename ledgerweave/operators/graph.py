@@ -149,7 +149,7 @@ def find_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, visit
 
 def hops_from(edges: DataFrame, centers: DataFrame, most: int) -> DataFrame:
     """(node, hops) for all nodes within most steps of centers(node), by one join for each step; nodes beyond are left out."""
-    pairs = both_ways(edges).select("node", "other").distinct()
+    pairs = both_ways(edges).select("node", "other")
     reached = centers.select("node", F.lit(0).alias("hops")).distinct()
     front = reached
     for step in range(1, most + 1):
@@ -166,13 +166,16 @@ def degrees(edges: DataFrame) -> DataFrame:
 def flow_levels(links: DataFrame, nodes: DataFrame, keys: list[str], most: int) -> DataFrame:
     """nodes(*keys, node) with level: 0 without inflow in links(*keys, src, dst), else one more than the highest source.
 
-    Levels settle after as many joins as the longest path has steps; most bounds them, for cycles too.
+    A node's level is the length of the longest path to it: step k keeps the ends of paths of k links, which become fewer from step
+    to step. most bounds the steps, for cycles too.
     """
-    level = nodes.select(*keys, "node", F.lit(0).alias("level"))
-    for _ in range(most):
-        above = links.join(level.withColumnRenamed("node", "src"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
-        level = nodes.select(*keys, "node").join(above, [*keys, "node"], "left").select(*keys, "node", F.coalesce("up", F.lit(0)).alias("level"))
-    return level
+    ends = links.select(*keys, F.col("dst").alias("node")).distinct()
+    every = nodes.select(*keys, "node", F.lit(0).alias("level"), F.lit(True).alias("_own"))
+    for step in range(1, most + 1):
+        every = every.unionByName(ends.select(*keys, "node", F.lit(step).alias("level"), F.lit(False).alias("_own")))
+        if step < most:
+            ends = links.join(ends.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").select(*keys, F.col("dst").alias("node")).distinct()
+    return every.groupBy(*keys, "node").agg(F.max("level").alias("level"), F.max("_own").alias("_own")).where("_own").drop("_own")
 
 
 def merged(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
