@@ -54,96 +54,111 @@ def _limits(**given: tuple[int, int, int]) -> None:
             raise ValueError(f"{name} must be from {least} to {most}")
 
 
-def _hops(edges: DataFrame, frontier: list[str], fanout: int) -> dict[str, list[tuple[tuple[str, str, str, str], str]]]:
-    """The hops of each node of the frontier in order, as (edge, other end)."""
+Edge = tuple[str, str, str, str]
+
+
+def _level(edges: DataFrame, frontier: list[str], fanout: int) -> dict[str, list[tuple[Edge, str]]]:
+    """The hops of each node of the frontier in order, as (edge, other end), of which one more than fanout may come."""
     nodes = edges.sparkSession.createDataFrame([(n,) for n in frontier], "node string")
-    found: dict[str, list] = {n: [] for n in frontier}
-    for r in expand(edges, nodes, fanout).orderBy("node", "n").collect():
-        edge = (r["node"], r["other"], r["predicate"], r["g"]) if r["direction"] == "outgoing" else (r["other"], r["node"], r["predicate"], r["g"])
-        found[r["node"]].append((edge, r["other"]))
-    return found
+    edge = F.when(F.col("direction") == "outgoing", F.array("node", "other", "predicate", "g")).otherwise(F.array("other", "node", "predicate", "g"))
+    rows = expand(edges, nodes, fanout).select("node", F.struct("n", edge.alias("edge"), "other").alias("hop")).groupBy("node").agg(F.array_sort(F.collect_list("hop")).alias("hops"))
+    found = {r["node"]: [(tuple(h["edge"]), h["other"]) for h in r["hops"]] for r in rows.collect()}
+    return {n: found.get(n, []) for n in frontier}
 
 
 def neighborhood(edges: DataFrame, center: str, depth: int = 1, node_limit: int = 100, edge_limit: int = 200, fanout: int = 25) -> Neighborhood:
     """Nodes and edges within depth steps. A hop to a new node beyond node_limit goes with its edge, so no edge lacks an end."""
     _limits(depth=(depth, 1, 2), node_limit=(node_limit, 1, 500), edge_limit=(edge_limit, 1, 1000), fanout=(fanout, 1, 100))
-    nodes, kept, out, frontier = {center: None}, {}, Neighborhood([], []), [center]
+    out, kept, front = Neighborhood([center], []), set(), [center]
+    known = {center}
     for _ in range(depth):
-        level, following = _hops(edges, frontier, fanout), []
-        for node in frontier:
-            if len(kept) >= edge_limit:
-                out.edges_truncated = True
-                break
-            if len(level[node]) > fanout:
-                out.fanout_truncated.append(node)
-            for edge, other in level[node][:fanout]:
-                if edge in kept:
-                    continue
-                if len(kept) >= edge_limit:
+        if not front:
+            break
+        level, begun = _level(edges, front, fanout), len(out.nodes)
+        for node, (edge, other) in ((n, h) for n in front for h in [(None, None), *level[n][:fanout]]):
+            full = len(kept) == edge_limit
+            if edge is None:  # a node begins
+                if full:
                     out.edges_truncated = True
                     break
-                if other not in nodes:
-                    if len(nodes) >= node_limit:
-                        out.nodes_truncated = True
-                        continue
-                    nodes[other] = None
-                    following.append(other)
-                kept[edge] = None
-        frontier = following
-        if not frontier:
-            break
-    out.nodes, out.edges, out.fanout_truncated = list(nodes), list(kept), sorted({*out.fanout_truncated})
+                out.fanout_truncated += [node] * (len(level[node]) > fanout)
+            elif edge in kept:
+                continue
+            elif full:
+                out.edges_truncated = True
+                break
+            elif other not in known and len(known) == node_limit:
+                out.nodes_truncated = True
+            else:
+                out.nodes += [other] * (other not in known)
+                known.add(other)
+                kept.add(edge)
+                out.edges.append(edge)
+        front = out.nodes[begun:]
+    out.fanout_truncated = sorted({*out.fanout_truncated})
     return out
 
 
+@dataclass
+class _Side:
+    """One end of a search: how each node was reached, as (edge, node before), and which are to be expanded."""
+
+    reached: dict[str, tuple[Edge, str] | None]
+    front: list[str]
+
+    def trail(self, node: str) -> list[tuple[Edge, str]]:
+        steps = []
+        while step := self.reached[node]:
+            steps.append(step)
+            node = step[1]
+        return steps
+
+
+def _advance(level: dict[str, list[tuple[Edge, str]]], side: _Side, other: _Side, out: Path, budget: int, fanout: int) -> str | None:
+    """Expands the front of a side until it meets the other side (then the node where it does), or the budget is spent."""
+    following: list[str] = []
+    try:
+        for node in side.front:
+            if out.visited >= budget:
+                out.budget_exhausted = True
+                return None
+            out.fanout_truncated |= len(level[node]) > fanout
+            for edge, end in level[node][:fanout]:
+                if end not in side.reached:
+                    side.reached[end] = (edge, node)
+                    if end in other.reached:
+                        return end
+                    if out.visited >= budget:
+                        out.budget_exhausted = True
+                        return None
+                    out.visited += 1
+                    following.append(end)
+        return None
+    finally:
+        side.front = following
+
+
 def find_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, visit_budget: int = 400, fanout: int = 50) -> Path:
-    """A shortest path found from both ends, the smaller frontier first (the start's if they are equal)."""
+    """A shortest path found from both ends, the smaller frontier first (the start's if they are equal).
+
+    exhaustive tells that nothing was left unseen, so that without a path there is none.
+    """
     _limits(max_depth=(max_depth, 1, 6), visit_budget=(visit_budget, 1, 2000), fanout=(fanout, 1, 200))
-    came: tuple[dict, dict] = ({start: None}, {goal: None})
-    fronts, seen, out = [[start], [goal]], {start, goal}, Path()
-    meeting = start if start == goal else None
-    while meeting is None and out.searched_depth < max_depth:
-        side = 0 if len(fronts[0]) <= len(fronts[1]) else 1
-        if not fronts[side]:
+    sides = [_Side({n: None}, [n]) for n in (start, goal)]
+    out, meeting = Path(visited=len({start, goal})), start if start == goal else None
+    while meeting is None and not out.budget_exhausted and out.searched_depth < max_depth:
+        side, other = sorted(sides, key=lambda s: len(s.front)) if len(sides[0].front) != len(sides[1].front) else sides
+        if not side.front:
             break
         out.searched_depth += 1
-        level, following = _hops(edges, fronts[side], fanout), []
-        for node in fronts[side]:
-            if len(seen) >= visit_budget:
-                out.budget_exhausted = True
-                break
-            out.fanout_truncated |= len(level[node]) > fanout
-            for edge, other in level[node][:fanout]:
-                if other in came[side]:
-                    continue
-                came[side][other] = (edge, node)
-                if other in came[1 - side]:
-                    meeting = other
-                    break
-                if len(seen) >= visit_budget:
-                    out.budget_exhausted = True
-                    break
-                seen.add(other)
-                following.append(other)
-            if meeting is not None or out.budget_exhausted:
-                break
-        fronts[side] = following
-        if out.budget_exhausted:
-            break
-    out.visited, out.found = len(seen), meeting is not None
+        meeting = _advance(_level(edges, side.front, fanout), side, other, out, visit_budget, fanout)
+    out.found = meeting is not None
     out.depth_limited = not out.found and out.searched_depth >= max_depth
-    out.exhaustive = not (out.found or out.budget_exhausted or out.depth_limited or out.fanout_truncated) and not all(fronts)
+    out.exhaustive = not (out.found or out.budget_exhausted or out.depth_limited or out.fanout_truncated) and not all(s.front for s in sides)
     if out.found:
-        halves: list[list] = [[], []]
-        for side, half in enumerate(halves):
-            at = meeting
-            while came[side][at]:
-                edge, before = came[side][at]
-                half.append((edge, before))
-                at = before
-        forward = halves[0][::-1]
-        out.edges = [e for e, _ in forward] + [e for e, _ in halves[1]]
-        out.nodes = [n for _, n in forward] + [meeting] + [n for _, n in halves[1]]
+        forward, back = sides[0].trail(meeting)[::-1], sides[1].trail(meeting)
+        out.edges = [e for e, _ in forward + back]
+        out.nodes = [*(n for _, n in forward), meeting, *(n for _, n in back)]
     return out
 
 
