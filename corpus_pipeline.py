@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerweave.llm import packing, pii, repeats, simhash, toxicity
+from ledgerweave.llm import near_copies, packing, pii, repeats, toxicity
 from ledgerweave.llm.shared import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: texts that share 0.8 or more of their five-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

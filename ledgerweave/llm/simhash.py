@@ -29,16 +29,23 @@ DEPTHS = (2, 4, 6, 8, 10, 12, 16, 20)
 BLOCK, FEW = 200_000, 24
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text over its word shingles, repeats included; 0 without words."""
+def digests(text: str, words: int = 3, seed: int = 42) -> bytes:
+    """Eight bytes for each word shingle of a text, repeats included; none without words."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return b""
     line, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
     k = min(words, len(found))
     starts, stops = np.concatenate(([0], ends[: len(found) - k])).tolist(), (ends[k - 1 :] - 1).tolist()
     digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(line[a:b], seed) for a, b in zip(starts, stops)]), np.uint8).reshape(-1, 8)
+    return b"".join([digest(line[a:b], seed) for a, b in zip(starts, stops)])
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text over its word shingles, repeats included; 0 without words."""
+    h = np.frombuffer(digests(text, words, seed), np.uint8).reshape(-1, 8)
+    if not len(h):
+        return 0
     ones = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), 65536))
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
@@ -76,14 +83,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(components(fps, budget), "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id (of several its text with the smallest hash), once.
+def keep_one(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
+    """The rows of docs that stay: of each component one."""
+    fps = durable(fingerprints(docs, words=words))
+    return first_of_each(docs, fps.join(components(fps, budget), "fp").select("doc_id", "kt", "root"))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs that stay: for each root of rows(doc_id, kt, root) the one with the smallest doc_id (of several its text with the smallest hash), once.
 
     The texts are shuffled once, to meet the ids that stay; only rows that are there more than once are shuffled again.
     """
-    fps = durable(fingerprints(docs))
-    best = fps.join(components(fps), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")).alias("b"))
-    number = fps.groupBy("doc_id", "kt").agg((F.count("*") > 1).alias("_again"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")).alias("b"))
+    number = rows.groupBy("doc_id", "kt").agg((F.count("*") > 1).alias("_again"))
     number = number.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt").alias("b"), "_again")
     stay = best.join(number, "b").select(F.coalesce("b.doc_id", F.lit(0)).alias("_id"), F.col("b.none").alias("_none"), F.col("b.kt").alias("_kt"), "_again")
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_kt": F.xxhash64(whole_text())}
