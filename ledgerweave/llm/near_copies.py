@@ -27,7 +27,7 @@ BUCKETS, SLACK = 64, 1e-9
 #: One text in PART is read for common shingles; common is what COMMON of these have, MOST shingles at most.
 PART, COMMON, MOST = 8, 8, 500_000
 #: Nodes of a shingle whose pairs are all candidates, and rounds after which they are for any number.
-FEW, ROUNDS = 64, 12
+FEW, ROUNDS = 64, 4
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -50,7 +50,7 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
     part = docs.select(whole_text().alias("t")).where(F.xxhash64("t", F.lit(1)) % PART == 0)
     often = map_batches(part, each, "s long").groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST)
-    return np.array([r["s"] for r in often.select("s").collect()], np.int64).view(np.uint64)
+    return often.select("s").toArrow().column("s").to_numpy().view(np.uint64)
 
 
 def _described(docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -106,16 +106,21 @@ def _pairs(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     need = least / (1 + least) * (F.col("u_n") + F.col("v_n")) - SLACK
     able = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= need
     found = a.join(b, "token").where((F.col("u") < F.col("v")) & able).select("u", "v").distinct()
+    return _bounded(found, nodes).where(F.col("bound") <= 1 - least + SLACK).select("u", "v")
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, bound): what the distance of u and v is at least, by their counts of shingles in buckets."""
     for x in "uv":
-        found = found.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("buckets").alias(f"{x}_b")), x)
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("buckets").alias(f"{x}_b")), x)
 
     def each(batch: pa.RecordBatch) -> dict:
         u, v, nu, nv = (batch.column(c).to_numpy() for c in ("u", "v", "u_n", "v_n"))
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("u_b", "v_b"))
-        near = np.abs(x - y).sum(axis=1) <= (1 - least) / (1 + least) * (nu + nv) + SLACK
-        return {"u": u[near], "v": v[near]}
+        apart = np.abs(x - y).sum(axis=1)
+        return {"u": u, "v": v, "bound": 2 * apart / (nu + nv + apart)}
 
-    return map_batches(found, each, "u long, v long")
+    return map_batches(pairs, each, "u long, v long, bound double")
 
 
 def links(docs: DataFrame, described: DataFrame, words: int, least: float) -> DataFrame:
@@ -127,23 +132,26 @@ def links(docs: DataFrame, described: DataFrame, words: int, least: float) -> Da
     some = durable(_pairs(shared.where(F.col("m") <= FEW), nodes, least))
     many = shared.where(F.col("m") > FEW).drop("m")
     sets = _sets(docs, described, some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).unionByName(many.select("node")), words)
-    out = [_compared(some, sets)]
+    near = lambda compared: durable(compared.where(F.col("similarity") >= least).select("u", "v"))
+    out = [near(_compared(some, sets))]
     for _ in range(ROUNDS):
         if many.isEmpty():
             break
         middle = many.groupBy("token").agg(F.min("node").alias("v"))
         rows = many.withColumnRenamed("node", "u").join(middle, "token")
-        measured = durable(_compared(rows.select("u", "v").where("u <> v").distinct(), sets))
-        out.append(measured)
-        far = 1 - F.when(F.col("u") == F.col("v"), 1.0).otherwise(F.col("similarity"))
-        rows = rows.join(measured, ["u", "v"], "left").withColumn("far", far)
+        bounded = durable(_bounded(rows.select("u", "v").where("u <> v").distinct(), nodes))
+        measured = durable(_compared(bounded.where(F.col("bound") <= 2 * (1 - least) + 2 * SLACK).select("u", "v"), sets))
+        out.append(near(measured))
+        # Beyond twice the distance of near copies a lower bound does as well.
+        far = F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.coalesce(1 - F.col("similarity"), F.col("bound")))
+        rows = rows.join(bounded, ["u", "v"], "left").join(measured, ["u", "v"], "left").withColumn("far", far)
         by_token = rows.groupBy("token").agg(F.min(F.when(F.col("far") > 1 - least + SLACK, F.col("far"))).alias("next"))
         rows = rows.join(by_token, "token").where((F.col("u") != F.col("v")) & ((F.col("far") > 1 - least + SLACK) | (F.col("far") + (1 - least) + SLACK >= F.col("next"))))
         left = durable(rows.select("token", F.col("u").alias("node"), "n", "at").withColumn("m", number).where("m > 1"))
-        out.append(_compared(_pairs(left.where(F.col("m") <= FEW), nodes, least), sets))
+        out.append(near(_compared(_pairs(left.where(F.col("m") <= FEW), nodes, least), sets)))
         many = left.where(F.col("m") > FEW).drop("m")
-    out.append(_compared(_pairs(many, nodes, least), sets))
-    return reduce(DataFrame.unionByName, out).where(F.col("similarity") >= least).select("u", "v")
+    out.append(near(_compared(_pairs(many, nodes, least), sets)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def grouped(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
