@@ -324,6 +324,12 @@ def quoted_and_digested(t: Harness) -> DataFrame:
     return t.raw("documents").select("doc_id", iri.quote(F.substring("text", 1, 200)).alias("quoted"), T.content_digest(F.col("text")).alias("digest"))
 
 
+@query("SELECT doc_id, sha256(url_encode(text)) AS quoted_sha256 FROM documents", prelude=False)
+def quoted_whole_texts(t: Harness) -> DataFrame:
+    """Whole texts; quoted_and_digested has the first 200 characters as a column."""
+    return t.raw("documents").select("doc_id", F.sha2(iri.quote(F.col("text")), 256).alias("quoted_sha256"))
+
+
 @query("SELECT page_id, CASE WHEN contains(url, '#') THEN regexp_extract(url, '([^#]*)$', 1) ELSE regexp_extract(url, '([^/]*)$', 1) END AS local_name FROM pages", prelude=False)
 def local_names(t: Harness) -> DataFrame:
     return t.raw("pages").select("page_id", iri.local_name(F.col("url")).alias("local_name"))

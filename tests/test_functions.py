@@ -95,3 +95,14 @@ def test_registered_for_sql(spark, sf_dir):
     assert tuple(row) == ("AB", "a%20b%2A~", True, False)
     names = Harness(spark, sf_dir).views()
     assert "budget" not in names and spark.sql("select count(*) from project p join organ o on p.ministry = o.corp_no").first()[0] > 0
+
+
+def test_whole_texts_are_quoted(spark, sf_dir):
+    import hashlib
+    from urllib.parse import quote
+
+    import __spark_entry__ as entry
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = {r["doc_id"]: r["quoted_sha256"] for r in entry.queries()["quoted_whole_texts"](spark, sf_dir).collect()}
+    assert found == {i: hashlib.sha256(quote(t, safe="").encode()).hexdigest() for i, t in texts.items()}
