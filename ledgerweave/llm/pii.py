@@ -108,7 +108,7 @@ def candidates(text: str) -> Iterator[Span]:
             continue
         groups = [g for g in re.finditer(r"[0-9]+", m.group())]
         for i in range(len(groups)):
-            for j in range(i, min(len(groups), i + 6)):
+            for j in range(i, len(groups)):
                 digits = sum(g.end() - g.start() for g in groups[i : j + 1])
                 if digits > 19:
                     break

@@ -75,3 +75,8 @@ def test_query_against_brute_force(spark, sf_dir):
         spans = sorted(plain_spans(texts[r["doc_id"]]), key=lambda s: (order[s[0]], s[1]))
         written = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest() and {*filter(None, written.split(","))} <= {*r["spans"].split(",")}
+
+
+@pytest.mark.parametrize("text, kind, own", [("tel 00 33 1 23 45 67 89 x", "phone", "00 33 1 23 45 67 89"), ("card 41/11/11/11/11/11/11/11 x", "card", "41/11/11/11/11/11/11/11")])
+def test_candidates_of_many_groups(text, kind, own):
+    assert own in {text[a:b] for k, a, b in pii.candidates(text) if k == kind}
