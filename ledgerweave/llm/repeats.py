@@ -207,6 +207,8 @@ def _ranges(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> Data
     """(kd, kt, ranges) of the rows that hold repeated strings: byte ranges, packed, in no order, that may overlap."""
     if min_bytes < GRAM + STEP:
         raise ValueError(f"min_bytes must be {GRAM + STEP} at least")
+    if min_bytes > GRAM + 512:  # places from -512 to 511 about an anchor are packed
+        raise ValueError(f"min_bytes must be {GRAM + 512} at most")
     plain = _plain(docs, id_col, text_col)
     ranked = _sorted(_first_round(plain, min_bytes))
     ranges = _repeated(ranked, min_bytes)

@@ -78,3 +78,10 @@ def test_keep_rest_keeps_columns_and_cuts_characters_whole(spark):
     docs = spark.createDataFrame([(1, "p" + "é" * 150, "x", 0), (2, "r" + "é" * 150, "y", 0), (3, "short", "z", 0), (4, None, "n", 0)], "doc_id long, text string, kd string, n_chars long")
     got = {r["doc_id"]: r for r in repeats.keep_rest(docs).collect()}
     assert [got[k]["text"] for k in (1, 2, 3, 4)] == ["p", "r", "short", None] and got[1]["kd"] == "x" and got[1]["n_chars"] == 1
+
+
+def test_windows_too_long_to_pack_raise(spark):
+    docs = spark.createDataFrame([(1, "a" * 2000)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="544 at most"):
+        repeats.repeats_removed(docs, min_bytes=545)
+    assert repeats.repeats_removed(docs, min_bytes=544).first()["n_removed"] == 2000
