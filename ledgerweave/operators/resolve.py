@@ -122,15 +122,19 @@ def old_ministries(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return by_row.where(_unique(F.col("n") == 1, "several names for row", F.col("row_index").cast("string"))).select("target", "row_index", "mechanism")
 
 
-def successors(names: DataFrame, references: DataFrame, most: int = 8) -> DataFrame:
+def successors(names: DataFrame, references: DataFrame, most: int | None = None) -> DataFrame:
     """(name, successor, mechanism) for names(name): equal to a reference, or what is left after taking references off its head, again and again.
 
-    A bounded loop of joins, one for each part; several possible heads raise. Names that aren't resolved are left out.
+    A loop of joins, one for each part, until no name is open (each round shortens the rest); names still open after most rounds raise, and so do
+    several possible heads. Names that aren't resolved are left out.
     """
     known = references.select(F.col("name").alias("ref")).distinct()
     left = names.select("name", F.col("name").alias("rest"), F.array().cast("array<string>").alias("heads"))
-    done = None
-    for _ in range(most):
+    done, rounds = None, 0
+    while done is None or not left.isEmpty():
+        if rounds == most:
+            raise ValueError(f"names are open after {most} rounds")
+        rounds += 1
         hit = left.join(known, F.col("rest") == F.col("ref"))
         mechanism = F.when(F.size("heads") == 0, "exact").otherwise(F.concat(F.lit("suffix-decomposition("), F.array_join("heads", "+"), F.lit(")")))
         now = hit.select("name", F.col("rest").alias("successor"), mechanism.alias("mechanism"))

@@ -37,3 +37,12 @@ def test_sentinels_come_before_existence_and_bundles_before_all(spark):
     other = "sentinel_or_nonexistent_houjin_bangou"
     assert got == [(None, None, other), (None, None, "bundled"), (None, None, other), ("1111111111111", None, "resolved"), ("K", None, "resolved"), (None, "AMBIGUOUS", "unresolved"), (None, "NO_CANDIDATE", "unresolved")]
     assert V.recipients(lines, numbers).where("i = 4").first()["reason"] == "NO_CANDIDATE"
+
+
+def test_successors_of_any_number_of_parts(spark):
+    parts = [f"{c}省" for c in "甲乙丙丁戊己庚辛壬癸"]
+    references = spark.createDataFrame([(p,) for p in parts], "name string")
+    names = spark.createDataFrame([("".join(parts),)], "name string")
+    assert [r["successor"] for r in V.successors(names, references).collect()] == ["癸省"]
+    with pytest.raises(ValueError, match="open after 8"):
+        V.successors(names, references, 8)
