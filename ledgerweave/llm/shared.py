@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def whole_text(column: str = "text") -> Column:
     """The text as every operator here takes it: null counts as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
+
+
+def absent(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns beside these columns: underscores go before a name until no column has it, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, dots and backticks in names or not."""
+    return [named(c) for c in df.columns]
+
+
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +53,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder of the shared store, now or when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        store.deleteOnExit(place)
+    else:
+        store.delete(place, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that a lost executor costs nothing."""
     shared_folder(df.sparkSession)

@@ -1,30 +1,29 @@
 """Near-duplicates by SimHash fingerprints, linked by a self-join of their binary trie.
 
-Fingerprints of all documents become one row each (a hot group of copies is one fingerprint). The top of the
-trie is dealt out: a cell is a pair of subtries whose prefixes differ in at most the budget of bits. Within a
-cell the pair is traversed downwards, differing bits add up and a pair of nodes beyond the budget is
+Fingerprints of all documents become one row each (a hot group of copies is one fingerprint). The trie is dealt out: a
+cell is the subtrie of fingerprints alike in one of budget + 1 bands of bits, which is turned to the front. Within a
+cell pairs of nodes are traversed downwards, differing bits add up and a pair of nodes beyond the budget is
 dropped with all below it. A cell returns a spanning forest of the links it found, not the links; so a dense
 group of n texts costs n rows. The forests are joined into components by connected_components.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import durable, map_batches, whole_text
+from .shared import absent, columns_of, durable, map_batches, whole_text
 
 BITS = 64
-#: Fingerprints that a subtrie of a cell should hold at most, and prefix lengths to choose from.
-CELL_ROWS = 16_384
-DEPTHS = (2, 4, 6, 8, 10, 12, 16, 20)
+#: Fingerprints of a cell above which it is dealt again, as long as more than LEAST_BITS of them may differ; a cell never holds more than 2 ** LEAST_BITS or CELL_ROWS.
+CELL_ROWS, LEAST_BITS = 16_384, 21
 #: Pairs of nodes traversed at once; pairs of leaves below this number are compared without going down.
 BLOCK, FEW = 200_000, 24
 
@@ -43,7 +42,11 @@ def digests(text: str, words: int = 3, seed: int = 42) -> bytes:
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """The SimHash of a text over its word shingles, repeats included; 0 without words."""
-    h = np.frombuffer(digests(text, words, seed), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(digests(text, words, seed), np.uint8).reshape(-1, 8))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, rows of eight bytes."""
     if not len(h):
         return 0
     ones = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), 65536))
@@ -94,48 +97,125 @@ def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     The texts are shuffled once, to meet the ids that stay; only rows that are there more than once are shuffled again.
     """
+    key, none, kt, again = absent(docs.columns, "key", "none", "kt", "again")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")).alias("b"))
-    number = rows.groupBy("doc_id", "kt").agg((F.count("*") > 1).alias("_again"))
-    number = number.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt").alias("b"), "_again")
-    stay = best.join(number, "b").select(F.coalesce("b.doc_id", F.lit(0)).alias("_id"), F.col("b.none").alias("_none"), F.col("b.kt").alias("_kt"), "_again")
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_kt": F.xxhash64(whole_text())}
+    number = rows.groupBy("doc_id", "kt").agg((F.count("*") > 1).alias(again))
+    number = number.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt").alias("b"), again)
+    stay = best.join(number, "b").select(F.coalesce("b.doc_id", F.lit(0)).alias(key), F.col("b.none").alias(none), F.col("b.kt").alias(kt), again)
+    keys = {key: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), none: F.col("doc_id").isNull(), kt: F.xxhash64(whole_text())}
     kept = docs.withColumns(keys).join(stay, [*keys])
-    once = kept.where("not _again").unionByName(kept.where("_again").dropDuplicates([*keys]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.where(~F.col(again)).unionByName(kept.where(again).dropDuplicates([*keys]))
+    return once.select(columns_of(docs))
 
 
 def trie_links(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """(u, v): links between distinct fps(fp) that connect what pairs within budget bits connect."""
-    depth = _depth(fps)
-    flips = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
-    own = F.shiftrightunsigned("fp", BITS - depth)
-    dealt = fps.select("fp", own.alias("own"), F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
-    dealt = dealt.select("fp", "own", F.least("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("low"), F.greatest("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("high"))
-
-    def cell(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-        fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        a = np.unique(fp[(rows["own"] == low).to_numpy()])
-        b = a if low == high else np.unique(fp[(rows["own"] == high).to_numpy()])
-        u, v = forest(a, b, depth, budget)
+    """(u, v): links between distinct fps(fp) that connect what pairs within budget bits connect.
+
+    Of budget + 1 bands of the bits, near fingerprints have one alike. So each fingerprint goes to budget + 1 cells, by
+    number and value of the band, at any number of fingerprints; with the band turned to the front, a cell is a subtrie, to
+    be joined with itself. A cell of more than CELL_ROWS is dealt again, by bands of the bits that may still differ, until
+    so few of these are left that no cell can be large.
+    """
+    ways, rows, fixed, found, turns = budget + 1, fps.select(F.col("fp").alias("x"), F.lit(0).cast("long").alias("path")), 0, [], []
+    while True:
+        rest = BITS - fixed
+        band = rest // ways
+        turns.append((rest, band))
+        dealt = F.array(*[F.struct(_turned_column(F.col("x"), rest, j * band).alias("x"), (F.col("path") * ways + j).alias("path")) for j in range(ways)])
+        dealt = rows.select(F.explode(dealt).alias("t")).select("t.*").withColumn("cell", F.shiftrightunsigned("x", rest - band) if rest > band else F.col("x"))
+        sizes = durable(dealt.groupBy("path", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+        many, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        split = (most or 0) > CELL_ROWS and rest - band > LEAST_BITS
+        buckets = max(1, -(-(many or 0) // (ways * CELL_ROWS)))
+        joined = dealt.join(sizes.where(F.col("n") <= CELL_ROWS) if split else sizes, ["path", "cell"], "left_semi")
+        found.append(joined.groupBy("path", F.pmod(F.xxhash64("cell"), F.lit(buckets)).alias("bucket")).applyInPandas(_cells(tuple(turns), budget), "u long, v long"))
+        if not split:
+            return reduce(DataFrame.unionByName, found)
+        rows, fixed = durable(dealt.join(sizes.where(F.col("n") > CELL_ROWS), ["path", "cell"], "left_semi").select("x", "path")), fixed + band
+
+
+def _cells(turns: tuple[tuple[int, int], ...], budget: int):
+    """The links within the cells of one group of rows(x, path), all of one path, in the fingerprints as they were."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rest, band = turns[-1]
+        path, x = int(rows["path"].iloc[0]), np.unique(rows["x"].to_numpy(np.int64).view(np.uint64))
+        cell = x >> np.uint64(rest - band) if rest > band else x
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        u, v = forest(x, x, BITS - rest + band, budget, (start, np.append(start[1:], len(x))))
+        for bits, width in reversed(turns):
+            path, j = divmod(path, budget + 1)
+            u, v = (_turned(y, bits, (bits - j * width) % bits) for y in (u, v))
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return dealt.groupBy("low", "high").applyInPandas(cell, "u long, v long")
+    return links
+
+
+def _turned(x: np.ndarray, bits: int, by: int) -> np.ndarray:
+    """The lowest bits turned left by so many places; those above stay."""
+    if not by:
+        return x
+    mask = np.uint64((1 << bits) - 1)
+    low = x & mask
+    return (x & ~mask) | (((low << np.uint64(by)) | (low >> np.uint64(bits - by))) & mask)
+
+
+def _turned_column(x: Column, bits: int, by: int) -> Column:
+    if not by:
+        return x
+    mask = (1 << bits) - 1 if bits < BITS else -1
+    low = x.bitwiseAND(F.lit(mask).cast("long"))
+    turned = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, bits - by)).bitwiseAND(F.lit(mask).cast("long"))
+    return turned.bitwiseOR(x.bitwiseAND(F.lit(~mask).cast("long")))
+
 
+def near_pairs(fp: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of all pairs within runs start to stop of fp that differ in budget bits at most; fp is sorted within each run.
 
-def _depth(fps: DataFrame) -> int:
-    """The shortest prefix at which no subtrie holds more than CELL_ROWS, as far as DEPTHS go."""
-    for depth in DEPTHS:
-        prefix = F.shiftrightunsigned("fp", BITS - depth)
-        if (fps.groupBy(prefix.alias("p")).count().agg(F.max("count")).first()[0] or 0) <= CELL_ROWS:
-            return depth
-    return DEPTHS[-1]
+    As forest, but for each run a trie of its own, and with all pairs.
+    """
+    stack, out, ones = [(0, start, stop, start, stop)], [], {}
+    while stack:
+        d, *ends = stack.pop()
+        if len(ends[0]) > BLOCK:
+            stack += [(d, *(x[i : i + BLOCK] for x in ends)) for i in range(0, len(ends[0]), BLOCK)]
+            continue
+        al, ah, bl, bh = ends
+        few = (ah - al) * (bh - bl) <= FEW if d < BITS else np.ones(len(al), bool)
+        out += _leaves(fp, *(x[few] for x in ends), budget)
+        al, ah, bl, bh = (x[~few] for x in ends)
+        if not len(al):
+            continue
+        if d not in ones:
+            ones[d] = np.concatenate(([0], np.cumsum(fp >> np.uint64(BITS - 1 - d) & np.uint64(1), dtype=np.int64)))
+        am, bm = (hi - (ones[d][hi] - ones[d][lo]) for lo, hi in ((al, ah), (bl, bh)))
+        apart = (al != bl) | (ah != bh)
+        parts = [(al, am, bl, bm), (am, ah, bm, bh), (al, am, bm, bh), tuple(x[apart] for x in (am, ah, bl, bm))]
+        below = [np.concatenate(x) for x in zip(*parts)]
+        full = (below[0] < below[1]) & (below[2] < below[3])
+        below = [x[full] for x in below]
+        near = np.bitwise_count((fp[below[0]] ^ fp[below[2]]) >> np.uint64(BITS - 1 - d)) <= budget
+        stack.append((d + 1, *(x[near] for x in below)))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *(x[k] for x in out)]) for k in (0, 1))
+
+
+def _leaves(fp: np.ndarray, al, ah, bl, bh, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for s in (slice(i, i + BLOCK) for i in range(0, len(al), BLOCK)):
+        na, nb = ah[s] - al[s], bh[s] - bl[s]
+        pair = np.repeat(np.arange(len(na)), na * nb)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+        x, y = al[s][pair] + k // nb[pair], bl[s][pair] + k % nb[pair]
+        near = (np.bitwise_count(fp[x] ^ fp[y]) <= budget) & ((x < y) | (al[s] != bl[s])[pair])
+        out.append((np.minimum(x, y)[near], np.maximum(x, y)[near]))
+    return out
 
 
-def forest(a: np.ndarray, b: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray, depth: int, budget: int, runs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between sorted distinct a and b, whose first depth bits are alike in each.
 
-    a is b for the links within one subtrie. A pair of nodes all of whose leaves are known to be connected
+    a is b for the links within one subtrie, or within each of several: runs are their first places and those behind their last. A pair of nodes all of whose leaves are known to be connected
     is dropped: its links change no component.
     """
     same = a is b
@@ -144,7 +224,7 @@ def forest(a: np.ndarray, b: np.ndarray, depth: int, budget: int) -> tuple[np.nd
     every = a if same else np.concatenate([a, b])
     shift = 0 if same else len(a)
     parent = np.arange(len(every))
-    stack = [(depth, *(np.array([x]) for x in (0, len(a), 0, len(b))))]
+    stack = [(depth, *(np.array([x]) for x in (0, len(a), 0, len(b))))] if runs is None else [(depth, *runs, *runs)]
     one = np.uint64(1)
     while stack:
         d, al, ah, bl, bh = stack.pop()

@@ -91,3 +91,43 @@ def test_query_against_brute_force(spark, sf_dir):
     for i, f in fp.items():
         least[want[f]] = min(i, least.get(want[f], i))
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got.itertuples()} == {(i, f"{f:016x}", least[want[f]]) for i, f in fp.items()}
+
+
+@pytest.mark.parametrize("cell_rows, budget", [(16_384, 3), (40, 3), (3, 3), (1, 3), (3, 2), (5, 0)])
+def test_links_across_cells_dealt_again_and_again(spark, monkeypatch, cell_rows, budget):
+    """Cells down to the last level: centres, and others that share most of the bits of one, so that bands are hot."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
+    r = random.Random(cell_rows)
+    flip = lambda x, k: x ^ sum(1 << b for b in r.sample(range(64), k))
+    centers = [r.getrandbits(64) for _ in range(4)]
+    fps = sorted({flip(c, r.randint(0, 4)) for c in centers for _ in range(40)} | {centers[0] ^ r.getrandbits(18) for _ in range(150)} | {r.getrandbits(64) for _ in range(40)})
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    want = brute_components(fps, budget)
+    links = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.trie_links(spark.createDataFrame(signed, "fp long"), budget).collect()]
+    assert all(want[u] == want[v] for u, v in links)
+    root = {f: f for f in fps}
+    for _ in fps:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    assert root == want
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6))
+def test_near_pairs_are_all_pairs_within_the_budget(seed):
+    r = random.Random(seed)
+    runs, fp = [], []
+    for _ in range(6):
+        c = r.getrandbits(64)
+        own = sorted(c ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 9))) & (1 << 64) - 1 if r.random() < 0.7 else r.getrandbits(64) for _ in range(r.randint(1, 40)))
+        runs.append((len(fp), len(fp) + len(own)))
+        fp += own
+    budget = r.choice([0, 3, 14, 24])
+    i, j = simhash.near_pairs(np.array(fp, np.uint64), *(np.array(x) for x in zip(*runs)), budget)
+    want = {(x, y) for a, b in runs for x in range(a, b) for y in range(x + 1, b) if bin(fp[x] ^ fp[y]).count("1") <= budget}
+    assert len(i) == len(want) and {(int(x), int(y)) for x, y in zip(i, j)} == want
+
+
+def test_columns_of_any_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 8, 9, True, "k"), (2, "a b c d", 1, 1, 1, False, "l")], "doc_id long, text string, _id int, none int, _kt int, again boolean, KEY string")
+    assert [tuple(r) for r in simhash.keep_one(docs).collect()] == [(1, "a b c d", 7, 8, 9, True, "k")]
