@@ -1,11 +1,14 @@
-"""Near copies by exact Jaccard similarity of word shingles: whole results without comparing all pairs.
-
-Texts with equal sets of shingles are one node. Sets of similarity t or more share at least t of either, so they share one of the first
-n - ceil(t * n) + 1 shingles of each in any common order (prefix filter). The order is by hash, with shingles that many texts have
-last; which these are is estimated on a part of the texts, as the order bears on speed only. Nodes that share such a shingle are
-candidates; bounds that lose no pair (place in the order, difference of shingle counts by bucket) come before the exact comparison.
-A shingle of many nodes is no square of pairs: all its nodes are compared with one of them, and the triangle inequality of the Jaccard
-distance settles the rest of the pairs or leaves fewer nodes for the next round.
+"""SimHash near-dedup at a similarity of word shingles: the trie self-join within cells of shared shingles, and an exact check.
+
+Texts with equal sets of shingles are one node. Fingerprints of texts with a Jaccard similarity of 0.8 differ in 10 of 64 bits on
+average, too many for cells of equal bands: nearly all pairs of a large corpus would be traversed. But sets of similarity t or more
+share one of the first n - ceil(t * n) + 1 shingles of each in any common order (prefix filter). So a cell is the nodes that share
+such a shingle; the order is by hash, with shingles that many texts have last (which these are is estimated on a part of the
+texts, as the order bears on speed only). Within a cell the trie of fingerprints is joined with itself under a budget of BUDGET bits,
+and what is found is compared exactly. The budget is wide: a pair of similarity 0.8 is beyond it with a chance under one in 10,000.
+
+A cell of many nodes is no square of pairs: all its nodes are compared exactly with one of them, and the triangle inequality of the
+Jaccard distance settles the rest of the pairs or leaves fewer nodes for the next round. Rounds end when they no longer halve what is left.
 """
 
 from __future__ import annotations
@@ -14,20 +17,22 @@ from functools import reduce
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import durable, map_batches, whole_text
-from .simhash import digests, first_of_each
+from .simhash import digests, first_of_each, majority, near_pairs
 
-BUCKETS, SLACK = 64, 1e-9
+#: Bits in which the fingerprints of near copies may differ.
+BUDGET, SLACK = 24, 1e-9
 #: One text in PART is read for common shingles; common is what COMMON of these have, MOST shingles at most.
-PART, COMMON, MOST = 8, 8, 500_000
-#: Nodes of a shingle whose pairs are all candidates, and rounds after which they are for any number.
-FEW, ROUNDS = 64, 4
+PART, COMMON, MOST = 8, 8, 200_000
+#: Nodes of a cell whose pairs are all candidates, rows of larger cells at which there are no more rounds, and rows of cells that are joined in one group.
+FEW, SETTLED, GROUP = 128, 16_384, 65_536
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -39,7 +44,7 @@ def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     """The first shingles of a set in the common order, as many as similar sets can't all do without."""
     if not len(found):
         return found
-    late = np.isin(found, common, assume_unique=True)
+    late = common[np.searchsorted(common, found).clip(0, len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
     return np.concatenate([found[~late], found[late]])[: len(found) - ceil(least * len(found) - SLACK) + 1]
 
 
@@ -50,11 +55,11 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
     part = docs.select(whole_text().alias("t")).where(F.xxhash64("t", F.lit(1)) % PART == 0)
     often = map_batches(part, each, "s long").groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST)
-    return often.select("s").toArrow().column("s").to_numpy().view(np.uint64)
+    return np.sort(np.array([r["s"] for r in often.select("s").collect()], np.int64).view(np.uint64))
 
 
 def _described(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, kt, node, n, buckets, tokens); copies in one batch have tokens once."""
+    """(doc_id, kt, node, n, fp, tokens); copies in one batch have tokens once."""
     common = _common(docs, words)
 
     def each(batch: pa.RecordBatch) -> dict:
@@ -64,12 +69,13 @@ def _described(docs: DataFrame, words: int, least: float) -> DataFrame:
             again = t in known
             if not again:
                 s = shingles(t, words)
-                known[t] = (_signed(s), len(s), np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes(), prefix(s, common, least).view(np.int64))
+                known[t] = (_signed(s), len(s), majority(s.view(np.uint8).reshape(-1, 8)), prefix(s, common, least).view(np.int64))
             rows.append((*known[t][:3], known[t][3][:0] if again else known[t][3]))
-        node, n, buckets, tokens = zip(*rows)
-        return {"doc_id": batch.column(0), "kt": batch.column(1), "node": node, "n": n, "buckets": buckets, "tokens": tokens}
+        node, n, fp, tokens = zip(*rows)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in tokens]))).astype(np.int32)
+        return {"doc_id": batch.column(0), "kt": batch.column(1), "node": node, "n": n, "fp": np.array(fp, np.uint64).view(np.int64), "tokens": pa.ListArray.from_arrays(ends, np.concatenate(tokens))}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()), whole_text()), each, "doc_id long, kt long, node long, n long, buckets binary, tokens array<bigint>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()), whole_text()), each, "doc_id long, kt long, node long, n int, fp long, tokens array<bigint>")
 
 
 def _signed(found: np.ndarray) -> int:
@@ -77,19 +83,19 @@ def _signed(found: np.ndarray) -> int:
 
 
 def _key(c: str) -> tuple[Column, Column, Column]:
-    return F.coalesce(f"{c}.doc_id", F.lit(0)).alias("_id"), F.col(f"{c}.none").alias("_none"), F.col(f"{c}.kt").alias("_kt")
+    return F.coalesce(f"{c}.doc_id", F.lit(0)).alias("id"), F.col(f"{c}.none").alias("none"), F.col(f"{c}.kt").alias("kt")
 
 
 def _sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, set, n) of the wanted nodes, from one text of each."""
     one = described.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")).alias("b")).select("node", *_key("b"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64(whole_text()).alias("_kt"), whole_text().alias("t"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64(whole_text()).alias("kt"), whole_text().alias("t"))
 
     def each(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
         return {"node": batch.column(0), "set": sets, "n": [len(s) for s in sets]}
 
-    texts = one.join(keyed, ["_id", "_none", "_kt"]).select("node", "t").dropDuplicates(["node"])
+    texts = one.join(keyed, ["id", "none", "kt"]).select("node", "t").dropDuplicates(["node"])
     return durable(map_batches(texts, each, "node long, set array<bigint>, n long"))
 
 
@@ -100,64 +106,77 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", (both / (F.col("u_n") + F.col("v_n") - both)).alias("similarity"))
 
 
-def _pairs(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(u, v): candidates among rows(token, node, n, at) of equal tokens that the bounds leave, each once."""
-    a, b = (rows.select("token", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at")) for x in "uv")
-    need = least / (1 + least) * (F.col("u_n") + F.col("v_n")) - SLACK
-    able = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= need
-    found = a.join(b, "token").where((F.col("u") < F.col("v")) & able).select("u", "v").distinct()
-    return _bounded(found, nodes).where(F.col("bound") <= 1 - least + SLACK).select("u", "v")
+def _able(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether what comes from these places on in two sets can still be shared enough."""
+    return np.minimum(n[i] - at[i], n[j] - at[j]) >= least / (1 + least) * (n[i] + n[j]) - SLACK
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v, bound): what the distance of u and v is at least, by their counts of shingles in buckets."""
-    for x in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("buckets").alias(f"{x}_b")), x)
+def _trie_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(u, v): candidates within the cells of rows(token, node, n, at, fp) of FEW nodes at most, each once."""
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        token, node, n, at, fp = (group[c].to_numpy() for c in ("token", "node", "n", "at", "fp"))
+        fp = fp.view(np.uint64)
+        order = np.lexsort((fp, token))
+        token, node, n, at, fp = (x[order] for x in (token, node, n, at, fp))
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        i, j = near_pairs(fp, start, np.append(start[1:], len(token)), BUDGET)
+        able = _able(n, at, i, j, least) & (node[i] != node[j])
+        found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)[able], axis=0)
+        return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
+
+    groups = max(1, -(-rows.count() // GROUP))
+    return rows.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g")).applyInPandas(pairs, "u long, v long").distinct()
+
+
+def _joined_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """As _trie_pairs, for cells of any number of nodes: an equi-join, which adaptive execution splits."""
+    a, b = (rows.select("token", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"), F.col("fp").alias(f"{x}_fp")) for x in "uv")
+    need = least / (1 + least) * (F.col("u_n") + F.col("v_n")) - SLACK
+    able = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= need
+    near = F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp"))) <= BUDGET
+    return a.join(b, "token").where((F.col("u") < F.col("v")) & able & near).select("u", "v").distinct()
 
-    def each(batch: pa.RecordBatch) -> dict:
-        u, v, nu, nv = (batch.column(c).to_numpy() for c in ("u", "v", "u_n", "v_n"))
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("u_b", "v_b"))
-        apart = np.abs(x - y).sum(axis=1)
-        return {"u": u, "v": v, "bound": 2 * apart / (nu + nv + apart)}
 
-    return map_batches(pairs, each, "u long, v long, bound double")
+def _with_number(rows: DataFrame) -> DataFrame:
+    """rows of tokens that several have, with their number m: counted before the shuffle, then an equi-join that adaptive execution splits."""
+    return rows.join(rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "token")
 
 
 def links(docs: DataFrame, described: DataFrame, words: int, least: float) -> DataFrame:
     """(u, v) of nodes of similarity least or more: enough of them to connect what all such pairs connect."""
-    nodes = durable(described.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")))
-    tokens = described.select("node", "n", F.posexplode("tokens").alias("at", "token")).repartition("token").groupBy("token", "node", "n", "at").agg(F.lit(1))
-    number = F.count("*").over(Window.partitionBy("token"))
-    shared = durable(tokens.select("token", "node", "n", "at", number.alias("m")).where("m > 1"))
-    some = durable(_pairs(shared.where(F.col("m") <= FEW), nodes, least))
+    nodes = described.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
+    tokens = described.select("node", F.posexplode("tokens").alias("at", "token"))
+    shared = _with_number(tokens).groupBy("token", "node").agg(F.min("at").alias("at"))
+    shared = durable(_with_number(shared).join(nodes, "node"))
+    some = durable(_trie_pairs(shared.where(F.col("m") <= FEW), least))
     many = shared.where(F.col("m") > FEW).drop("m")
     sets = _sets(docs, described, some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).unionByName(many.select("node")), words)
     near = lambda compared: durable(compared.where(F.col("similarity") >= least).select("u", "v"))
     out = [near(_compared(some, sets))]
-    for _ in range(ROUNDS):
-        if many.isEmpty():
-            break
+    before, now = None, many.count()
+    while now > SETTLED and (before is None or 2 * now <= before):
         middle = many.groupBy("token").agg(F.min("node").alias("v"))
         rows = many.withColumnRenamed("node", "u").join(middle, "token")
-        bounded = durable(_bounded(rows.select("u", "v").where("u <> v").distinct(), nodes))
-        measured = durable(_compared(bounded.where(F.col("bound") <= 2 * (1 - least) + 2 * SLACK).select("u", "v"), sets))
-        out.append(near(measured))
-        # Beyond twice the distance of near copies a lower bound does as well.
-        far = F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.coalesce(1 - F.col("similarity"), F.col("bound")))
-        rows = rows.join(bounded, ["u", "v"], "left").join(measured, ["u", "v"], "left").withColumn("far", far)
+        measured = durable(_compared(rows.select("u", "v").where("u <> v").distinct(), sets))
+        out.append(measured.where(F.col("similarity") >= least).select("u", "v"))
+        rows = rows.join(measured, ["u", "v"], "left").withColumn("far", F.when(F.col("u") == F.col("v"), 0.0).otherwise(1 - F.col("similarity")))
         by_token = rows.groupBy("token").agg(F.min(F.when(F.col("far") > 1 - least + SLACK, F.col("far"))).alias("next"))
         rows = rows.join(by_token, "token").where((F.col("u") != F.col("v")) & ((F.col("far") > 1 - least + SLACK) | (F.col("far") + (1 - least) + SLACK >= F.col("next"))))
-        left = durable(rows.select("token", F.col("u").alias("node"), "n", "at").withColumn("m", number).where("m > 1"))
-        out.append(near(_compared(_pairs(left.where(F.col("m") <= FEW), nodes, least), sets)))
+        left = durable(_with_number(rows.select("token", F.col("u").alias("node"), "n", "at", "fp")))
+        out.append(near(_compared(_trie_pairs(left.where(F.col("m") <= FEW), least), sets)))
         many = left.where(F.col("m") > FEW).drop("m")
-    out.append(near(_compared(_pairs(many, nodes, least), sets)))
+        before, now = now, many.count()
+    if now:
+        out.append(near(_compared(_joined_pairs(many, least), sets)))
     return reduce(DataFrame.unionByName, out)
 
 
 def grouped(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, kt, root) for every row of docs: root is the same for all texts that pairs of similarity least or more connect.
 
-    Null texts count as empty, and texts without words are copies of each other.
+    Null texts count as empty, and texts without words are copies of each other. An empty table gives no rows; other columns of
+    docs are not looked at. Repeated rows give equal rows.
     """
     described = durable(_described(docs, words, least))
     roots = connected_components(links(docs, described, words, least))
@@ -165,5 +184,5 @@ def grouped(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the smallest doc_id, once (see simhash.first_of_each)."""
+    """The rows of docs that stay, with all their columns of any names: of each group of near copies the one with the smallest doc_id, once (see simhash.first_of_each)."""
     return first_of_each(docs, grouped(docs, words, least))

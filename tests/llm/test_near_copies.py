@@ -35,10 +35,10 @@ def kept(found):
     return sorted(r["doc_id"] for r in found.collect())
 
 
-@pytest.mark.parametrize("few, rounds", [(64, 12), (4, 12), (2, 1)])
-def test_made_texts(spark, monkeypatch, few, rounds):
+@pytest.mark.parametrize("few, settled", [(64, 0), (4, 0), (2, 1000)])
+def test_made_texts(spark, monkeypatch, few, settled):
     monkeypatch.setattr(near_copies, "FEW", few)
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "SETTLED", settled)
     r = random.Random(4)
     line = " ".join(f"c{i}" for i in range(40))
     rows = [(0, ""), (1, None), (2, "One two"), (3, "one  TWO"), (4, "one two three")]
@@ -56,3 +56,8 @@ def test_stage_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert kept(corpus_pipeline.drop_near_copies(spark, docs, sf_dir)) == brute_kept(rows)
+
+
+def test_columns_of_any_names_stay(spark):
+    docs = spark.createDataFrame([(3, "a b c d e f", 7, 8, 9, "x"), (2, "a b c d e f", 1, 1, 1, "y"), (2, "a b c d e f", 1, 1, 1, "y")], "doc_id long, text string, _id int, node int, _again int, fp string")
+    assert [tuple(r) for r in near_copies.keep_one(docs).collect()] == [(2, "a b c d e f", 1, 1, 1, "y")]
