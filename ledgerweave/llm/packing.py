@@ -1,7 +1,7 @@
 """Documents as token sequences of a fixed size: exact-complement packing, then best fit.
 
-Tokens: a text is normalised and split as the tokenizer does it, and each distinct word is given to the tokenizer once
-per worker; only texts with characters outside a plain set go to it whole.
+Tokens: each distinct string between white space is given to the tokenizer once per worker; only texts with characters
+outside a plain set, or with added tokens of the tokenizer, go to it whole.
 
 Packing: what fits together depends on lengths alone, so the plan is made from the number of pieces per
 length, at most one number per length from 1 to the size. Longest first, the gap that a piece leaves is filled by one,
@@ -12,7 +12,6 @@ pieces of their length. Nothing but the counts per length reaches the driver.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -24,40 +23,44 @@ from pyspark.sql import functions as F
 from .shared import durable, map_batches, whole_text
 
 SIZE, END = 4096, 1
-#: The words that the word_bpe_49k tokenizer sees, for texts of the plain characters alone.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-#: Words whose ids a worker remembers.
+#: Characters that the tokenizer's normaliser leaves alone but for case and white space; its words never hold white space.
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
+#: Strings between white space whose ids a worker remembers.
 REMEMBERED = 700_000
 
 
 class Tokens:
-    """ids of texts as bytes of little-endian unsigned 32-bit numbers."""
+    """ids of texts as bytes of little-endian unsigned 32-bit numbers, as the tokenizer of the file gives them without adding any."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def of(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        try:
+            plain = not text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            plain = False
+        lower = text.lower()
+        if not plain or any(t in lower for t in self.added):  # added tokens may lie anywhere in a text
             return self._ids([text])[0]
-        words = _WORDS.findall(text.lower())
+        parts = lower.split()
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
             pass
-        new = list({w for w in words if w not in self.known})
+        new = list({w for w in parts if w not in self.known})
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list({*words})
+            new = list({*parts})
         self.known.update(zip(new, self._ids(new)))
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 _tokens: dict[str, Tokens] = {}
@@ -73,7 +76,11 @@ def tokens(path: str) -> Tokens:
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): a document's ids and the end id, cut at every size tokens."""
+    """(doc_id, piece, start, length, ids_crc32): a document's ids and the end id, cut at every size tokens.
+
+    A null text is an empty one, a null id stays null, repeated rows give their pieces each, no rows give none; other columns of
+    docs, whatever their names, are not looked at.
+    """
 
     def each(batch: pa.RecordBatch) -> dict:
         made: tuple[list, ...] = ([], [], [], [], [])
@@ -207,5 +214,6 @@ def packed(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of docs.
 
     A null or empty text is the end id alone. Repeated rows are packed each. No rows give no pieces.
+    Other columns of docs, whatever their names, are not looked at.
     """
     return pack(pieces(docs, vocabulary, size=size, end=end), size)

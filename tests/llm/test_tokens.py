@@ -50,7 +50,6 @@ def test_pieces_and_places(spark, docs):
 
     path = public.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = packing.packed(docs, path).toPandas()
     want = []
     for r in docs.collect():
@@ -108,3 +107,15 @@ def test_exact_complements():
     sums = {sum(c) for n in (1, 2, 3) for c in combinations_with_replacement([10, 10, 20, 33], n) if all(c.count(x) <= left[x] for x in c)}
     for gap in range(1, 100):
         assert (packing._exact(left, gap) is not None) == (gap in sums)
+
+
+def test_added_tokens_are_those_of_the_untouched_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    text = "hi <|endoftext|> there <|startoftext|>"
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert 49406 in ids and 49407 in ids
+    assert np.frombuffer(packing.Tokens(path).of(text), "<u4").tolist() == ids
+    docs = spark.createDataFrame([(1, text, 3, 5)], "doc_id long, text string, length int, _part int")
+    assert [(r["length"], r["ids_crc32"]) for r in packing.packed(docs, path).collect()] == [(len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))]
