@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_batches, whole_text
+from .shared import absent, columns_of, map_batches, named, whole_text
 
 GRAM, STEP = 32, 8
 #: Bytes hashed at once; a power of two, as positions share a word with hashes.
 PIECE = 1 << 18
 _MASK = np.uint64(PIECE * 2 - 1)
-_NO_ID = -(1 << 63)
 _U = np.uint64
 
 
@@ -194,13 +193,14 @@ _KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """What tells rows apart: the id and the text; rows alike in both are treated alike."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(whole_text(text_col))
+    """What tells rows apart: the id and the text (and whether there is an id); rows alike in both are treated alike."""
+    own = named(id_col).cast("long")
+    return F.coalesce(own, F.lit(0)), F.xxhash64(own.isNull(), whole_text(text_col))
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kd, kt = _keys(id_col, text_col)
-    return docs.select(kd.alias("kd"), kt.alias("kt"), whole_text(text_col).alias("text"))
+    return docs.select(kd.alias("kd"), kt.alias("kt"), whole_text(text_col).alias("text"), named(id_col).isNull().alias("none"))
 
 
 def _ranges(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
@@ -242,11 +242,11 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kept = F.pandas_udf(_kept_rows, _KEPT)
     rows = _plain(docs, id_col, text_col).join(_ranges(docs, id_col, text_col, min_bytes), ["kd", "kt"], "left")
-    return rows.select(F.when(F.col("kd") != _NO_ID, F.col("kd")).alias("doc_id"), kept("text", "ranges").alias("kept")).select("doc_id", "kept.*")
+    return rows.select(F.when(~F.col("none"), F.col("kd")).alias("doc_id"), kept("text", "ranges").alias("kept")).select("doc_id", "kept.*")
 
 
 def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
-    """docs whose text is what stays, with all their columns; n_chars is counted again.
+    """docs whose text is what stays, with all their columns, whatever their names; n_chars is counted again.
 
     Bytes of a character that was cut in part go too. Null texts stay null. See repeats_removed for odd rows.
     """
@@ -255,7 +255,8 @@ def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         cut = [t if t is None or x is None else _without(t.encode("utf-8", "surrogatepass"), x)[3].decode("utf-8", "ignore") for t, x in zip(text, ranges)]
         return pd.Series(cut, dtype=object)
 
-    keyed = docs.withColumns(dict(zip(("_kd", "_kt"), _keys(id_col, text_col))))
-    ranges = _ranges(docs, id_col, text_col, min_bytes).withColumnsRenamed({"kd": "_kd", "kt": "_kt", "ranges": "_ranges"})
-    joined = keyed.join(ranges, ["_kd", "_kt"], "left").withColumn(text_col, F.pandas_udf(rest, "string")(F.col(text_col).cast("string"), "_ranges"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumn("n_chars", F.length(text_col).cast("long"))
+    kd, kt, own = absent(docs.columns, "kd", "kt", "ranges")
+    keyed = docs.withColumns(dict(zip((kd, kt), _keys(id_col, text_col))))
+    ranges = _ranges(docs, id_col, text_col, min_bytes).withColumnsRenamed({"kd": kd, "kt": kt, "ranges": own})
+    joined = keyed.join(ranges, [kd, kt], "left").withColumn(text_col, F.pandas_udf(rest, "string")(named(text_col).cast("string"), own))
+    return joined.select(columns_of(docs)).withColumn("n_chars", F.length(named(text_col)).cast("long"))

@@ -85,3 +85,11 @@ def test_windows_too_long_to_pack_raise(spark):
     with pytest.raises(ValueError, match="544 at most"):
         repeats.repeats_removed(docs, min_bytes=545)
     assert repeats.repeats_removed(docs, min_bytes=544).first()["n_removed"] == 2000
+
+
+def test_columns_of_any_names_stay(spark):
+    text = "q w e " * 60
+    docs = spark.createDataFrame([(1, text, 7, 8, 9, 0), (2, text, 1, 2, 3, 0), (-(2**63), "short", 4, 5, 6, 0), (None, None, 4, 5, 6, 0)], "doc_id long, text string, _kd int, kt int, _ranges int, n_chars long")
+    rows = {tuple(r) for r in repeats.keep_rest(docs).collect()}
+    assert rows == {(2, "", 1, 2, 3, 0), (-(2**63), "short", 4, 5, 6, 5), (None, None, 4, 5, 6, None), (1, "", 7, 8, 9, 0)}
+    assert {r["doc_id"] for r in repeats.repeats_removed(docs).collect()} == {1, 2, -(2**63), None}
