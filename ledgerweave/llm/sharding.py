@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import absent, named
+
 #: A prime well over a hundred times the number of shards; the table then takes under 2 MB.
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{k:03d}" for k in range(128))
@@ -56,7 +58,12 @@ def table_frame(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS)
 def place(rows: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """rows with slot, shard (its number) and shard_name. Equal keys go together; a null key is placed as an empty string.
 
-    Columns of rows with these names are replaced.
+    Other columns of rows with these names are replaced; the key never is: if it has one of them, the new column has an underscore
+    before it. Repeated rows stay; no rows give none.
     """
-    table = F.broadcast(table_frame(rows.sparkSession, shards, slots))
-    return rows.drop("shard", "shard_name").withColumn("slot", slot(F.col(key), slots)).join(table, "slot")
+    names = absent([key], "slot", "shard", "shard_name")
+    inner = absent(rows.columns, *names)
+    table = table_frame(rows.sparkSession, shards, slots).toDF(*inner)
+    placed = rows.withColumn(inner[0], slot(named(key), slots)).join(F.broadcast(table), inner[0])
+    new = {n.lower() for n in names}
+    return placed.select(*[named(c) for c in rows.columns if c.lower() not in new], *[F.col(i).alias(n) for i, n in zip(inner, names)])

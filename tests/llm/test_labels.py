@@ -141,3 +141,16 @@ def test_placement(spark):
         slot = int(hashlib.md5(str(r["doc_id"] if r["doc_id"] is not None else "").encode()).hexdigest()[:15], 16) % 101
         assert (r["slot"], r["shard"], r["shard_name"]) == (slot, table[slot], "xyz"[table[slot]])
     assert len(got) == 4 and sharding.place(rows.limit(0), "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("key", ["slot", "shard", "shard_name", "k.e`y"])
+def test_placement_by_keys_of_any_name(spark, key):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a", 1)], "k string, extra int").withColumnRenamed("k", key)
+    got = sharding.place(rows, key, ["x", "y", "z"], 101)
+    names = [n if n != key else f"_{n}" for n in ("slot", "shard", "shard_name")]
+    assert got.columns == [key, "extra", *names]
+    table = plain_table(["x", "y", "z"], 101)
+    for r in got.collect():
+        slot = int(hashlib.md5((r[key] or "").encode()).hexdigest()[:15], 16) % 101
+        assert tuple(r[n] for n in names) == (slot, table[slot], "xyz"[table[slot]])
+    assert sorted(r["extra"] for r in got.collect()) == [1, 1, 2, 3]
