@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerweave.llm import near_copies, packing, pii, repeats, toxicity
-from ledgerweave.llm.shared import shared_folder, table
+from ledgerweave.llm.shared import remove_folder, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: texts that share 0.8 or more of their five-word shingles."""
+    """One document of each group of near copies stays: SimHash fingerprints of five words that are near, and 0.8 or more of the shingles shared."""
     return near_copies.keep_one(docs)
 
 
@@ -47,9 +47,22 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage but the last is written to the shared folder and read again."""
+    """All stages over documents; every stage but the last is written to the shared folder and read again.
+
+    What a stage has read is deleted as soon as its result is written; what the last one reads goes when the driver ends, as its rows
+    may be read at any time, and if a stage fails all goes at once.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    remove_folder(spark, folder, at_exit=True)
+    try:
+        before = None
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove_folder(spark, f"{folder}/{before}")
+            before = name
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        remove_folder(spark, folder)
+        raise
