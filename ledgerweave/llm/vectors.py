@@ -14,8 +14,9 @@ two of them are here:
 A query searches its own cell first, then the nearest other one, the next two, the next four and so on: each time with
 its k-th score so far, and only those cells that the bound does not rule out.
 Within a cell runs of neighbouring coordinates are compared from the nearest outwards until the bound passes the k-th
-distance. Cells are salted into groups of bounded size and queries into blocks, so neither a hot vector nor many
-queries make a large group. Equal vectors of a group are compared once.
+distance. Cells are salted into groups of bounded size and the queries of a cell into blocks, so neither a hot vector nor many
+queries make a large group. Only rows of cells that queries go to are shuffled, once for each block of queries of their cell: with
+cells growing as the root of the table and few queries in each, that is once. Equal vectors of a group are compared once.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ from .shared import durable, map_batches
 
 #: Rows and queries of a group, and rows of a run of neighbouring coordinates.
 GROUP, RUN = 8192, 256
-#: Rows that a cell has on average, as far as MOST_CELLS go.
-CELL, MOST_CELLS = 4096, 64
-#: Rows that pivots and the top of the kd-tree are fitted on. Every row is indexed.
-SAMPLE = 2048
+#: Rows that a cell has on average, until there are as many cells as the root of the number of rows, or MOST_CELLS; what a cell has beyond GROUP rows is salted.
+CELL, MOST_CELLS = 4096, 8192
+#: Rows that pivots and the top of the kd-tree are fitted on: LEAST_SAMPLE, or PER_CELL for each cell (65,536 at most). Every row is indexed.
+LEAST_SAMPLE, PER_CELL = 2048, 8
 
 
 def usable(column: str) -> Column:
@@ -56,12 +57,12 @@ class Rings:
         """Pivots: means of a few rounds of clustering the sample."""
         pivots = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)]
         for _ in range(5):
-            own = np.argmin(_distances(sample, pivots), axis=1)
+            own = _nearest(sample, pivots)
             pivots = np.array([sample[own == k].mean(axis=0) if (own == k).any() else pivots[k] for k in range(len(pivots))])
         return Rings(pivots)
 
     def cell(self, points: np.ndarray) -> np.ndarray:
-        return np.argmin(_distances(points, self.pivots), axis=1)
+        return _nearest(points, self.pivots)
 
     def coordinates(self, points: np.ndarray, cell: int) -> np.ndarray:
         return np.sqrt(((points - self.pivots[cell]) ** 2).sum(axis=1))[:, None]
@@ -123,6 +124,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T, 0))
 
 
+def _nearest(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 22) // len(pivots))
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(_distances(points[i : i + step], pivots), axis=1) for i in range(0, len(points), step))])
+
+
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(most - (x**2).sum(axis=1), 0))])
 
@@ -209,12 +215,13 @@ def _keep(score: np.ndarray, place: np.ndarray, name: np.ndarray, who: np.ndarra
     place[who[best], rank[best]], score[who[best], rank[best]] = what[best], value[best]
 
 
-def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxes]) -> DataFrame:
+def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxes], sent_rows: list[int] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score double) for vectors(vec_id long, vec array<double>) without nulls.
 
     Queries are the rows whose vec_id is divisible by every; a repeated query id is asked once, with its least vector.
     Each other row is a candidate; rows with the query's id are the query's own. Shorter vectors are filled up
     with zeros. Fewer than k candidates are returned all; no queries or no candidates give no rows.
+    sent_rows gets the number of rows that are shuffled as candidates, for each round.
     """
     squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"), F.max(squares).alias("most")).first()
@@ -222,8 +229,8 @@ def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxe
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, most = stats["dim"], stats["most"]
     padded = vectors.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("vec"))))
-    sample = padded.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    cells = 1 << max(0, min(MOST_CELLS.bit_length() - 1, round(math.log2(max(stats["n"], 1) / CELL))))
+    cells = 1 << max(0, min(MOST_CELLS.bit_length() - 1, round(math.log2(stats["n"] / CELL)), round(math.log2(stats["n"]) / 2)))
+    sample = padded.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(LEAST_SAMPLE, PER_CELL * cells)).collect()
     index = kind.fit(_lifted(np.array([r["vec"] for r in sample], np.float64), most), cells)
 
     def indexed(batch: pa.RecordBatch) -> dict:
@@ -242,36 +249,40 @@ def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxe
     salts = {int(c): -(-catalog[c]["n"] // GROUP) for c in known}
     box = [np.array([[catalog[c][f"{n}{i}"] for i in range(index.dims)] for c in known]) for n in ("low", "high")]
     asked = padded.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumnRenamed("vec_id", "query_id")
-    blocks = max(1, -(-asked.count() // GROUP))
-
-    salt_of = F.create_map(*[F.lit(y) for x in salts.items() for y in x])
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salt_of[F.col("cell")].cast("long")).cast("int"))
-    dealt = dealt.select("cell", "salt", "vec_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-
-    def routed(begin: int, end: int):
-        """Sends queries to the cells that come from begin to before end in their orders, as far as the bound lets them."""
-
-        def each(batch: pa.RecordBatch) -> dict:
-            q = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            score, point = batch.column(3).to_numpy(zero_copy_only=False), _query(q)
-            gap = np.column_stack([_gap(index.coordinates(point, int(c)), box[0][i : i + 1], box[1][i : i + 1])[:, 0] for i, c in enumerate(known)]) * index.scale
-            # First the cell in which the query itself would be indexed, then the others by their distances.
-            home = np.searchsorted(known, index.cell(_lifted(q, most))).clip(0, len(known) - 1)
-            order = gap.copy()
-            order[np.arange(len(q)), home] = -1
-            visited = np.argsort(order, axis=1, kind="stable")[:, begin:end]
-            wanted = np.take_along_axis(gap, visited, axis=1) <= _reach(q, most, score)[:, None]
-            who, column = np.nonzero(wanted)
-            cell = visited[who, column]
-            n = np.array([salts[int(c)] for c in known])[cell]
-            again = np.repeat(np.arange(len(who)), n)
-            salt = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-            who, cell = who[again], cell[again]
-            ids, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            return {"cell": known[cell], "salt": salt, "block": block[who], "query_id": ids[who], "vec": [q[w].tobytes() for w in who], "least": score[who]}
-
-        return lambda df: map_batches(df.select("query_id", "block", "vec", "least"), each, "cell int, salt int, block int, query_id long, vec binary, least double")
+
+    salt_of = F.broadcast(vectors.sparkSession.createDataFrame(list(salts.items()), "cell int, salts int"))  # a row for each cell
+    dealt = rows.join(salt_of, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("salts").cast("long")).cast("int").alias("salt"), "vec_id", "vec")
+
+    def wanted(q: np.ndarray, score: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the query, place of the cell) for the cells that come from begin to before end in the queries' orders, as far as the bound lets them."""
+        point = _query(q)
+        gap = np.column_stack([_gap(index.coordinates(point, int(c)), box[0][i : i + 1], box[1][i : i + 1])[:, 0] for i, c in enumerate(known)]) * index.scale
+        # First the cell in which the query itself would be indexed, then the others by their distances.
+        home = np.searchsorted(known, index.cell(_lifted(q, most))).clip(0, len(known) - 1)
+        order = gap.copy()
+        order[np.arange(len(q)), home] = -1
+        visited = np.argsort(order, axis=1, kind="stable")[:, begin:end]
+        who, column = np.nonzero(np.take_along_axis(gap, visited, axis=1) <= _reach(q, most, score)[:, None])
+        return who, visited[who, column]
+
+    def visits(batch: pa.RecordBatch, begin: int, end: int) -> dict:
+        q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        score = batch.column(2).to_numpy(zero_copy_only=False)
+        who, cell = wanted(q, score, begin, end)
+        return {"query_id": batch.column(0).to_numpy()[who], "cell": known[cell], "vec": [q[w].tobytes() for w in who], "least": score[who]}
+
+    def routed(queries: DataFrame, begin: int, end: int) -> tuple[DataFrame, DataFrame] | None:
+        """Queries by (cell, salt, block) and the rows of the cells that they go to, for each block of GROUP queries of a cell."""
+        sent = map_batches(queries.select("query_id", "vec", "least"), lambda batch: visits(batch, begin, end), "query_id long, cell int, vec binary, least double")
+        numbers = [(r["cell"], -(-r["n"] // GROUP)) for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()]  # a row for each cell
+        if sent_rows is not None:
+            sent_rows.append(sum(catalog[c]["n"] * blocks for c, blocks in numbers))
+        if not numbers:
+            return None
+        asked_of = F.broadcast(vectors.sparkSession.createDataFrame(numbers, "cell int, blocks int"))
+        block = F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).cast("int").alias("block")
+        sent = sent.join(asked_of, "cell").join(salt_of, "cell").select("cell", block, "query_id", "vec", "least", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        return sent, dealt.join(asked_of, "cell").select("cell", "salt", "vec_id", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def group(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(queries):
@@ -281,7 +292,7 @@ def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxe
         return pd.DataFrame({"query_id": query_ids[who], "vec_id": found, "score": score})
 
     keys = ("cell", "salt", "block")
-    compared = lambda queries: dealt.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(group, "query_id long, vec_id long, score double")
+    compared = lambda queries, candidates: candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(group, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best, begin, end = None, 0, 1
     while begin < len(known):
@@ -290,10 +301,16 @@ def search(vectors: DataFrame, every: int, k: int, kind: type[Rings] | type[Boxe
         else:
             bound = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
             bounded = asked.join(bound, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-        found = compared(routed(begin, end)(bounded))
+        groups = routed(bounded, begin, end)
+        if groups is None:
+            begin, end = end, 2 * end
+            continue
+        found = compared(*groups)
         every = found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)
         best = durable(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         begin, end = end, 2 * end
+    if best is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return best.select("query_id", "rank", "vec_id", "score")
 
 

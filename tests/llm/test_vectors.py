@@ -80,3 +80,30 @@ def test_odd_rows(spark):
 def test_scores_that_are_too_large_raise(spark):
     with pytest.raises(Exception, match="2\\^53"):
         vectors.exact_top_k(table(spark, [0, 1], [[3e7], [3e7]])).collect()
+
+
+def test_candidates_are_sent_once_for_each_block_of_queries_of_their_cell(spark, data, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP", 200)
+    monkeypatch.setattr(vectors, "CELL", 500)
+    ids, x = data[0][3000:], data[1][3000:]
+    rows = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)], "vec_id long, vec array<double>")
+    for every in (40, 10):  # 150 and 600 queries of 6000 rows
+        sent: list[int] = []
+        vectors.search(rows, every, 3, vectors.Rings, sent)
+        cells = 1 << round(np.log2(6000 / 500))
+        blocks = -(-6000 // every // 200) + 1  # of all queries, if all go to one cell
+        assert sent[0] <= 6000 * blocks and all(n <= 6000 * blocks for n in sent) and len(sent) <= cells.bit_length()
+        if every == 40:
+            assert all(n <= 6000 for n in sent)  # one block: each candidate once a round at most
+
+
+def test_recall_on_the_querys_own_table(spark, sf_dir):
+    from ledgerweave.llm.queries import QUERIES
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+    x, ids = np.array(table.embedding.tolist(), np.float64), table.vec_id.to_numpy()
+    got = grouped(QUERIES["op4_stable_projection_ann"](spark, sf_dir).collect())
+    want = brute(ids, x, 20, 20)
+    assert got.keys() == want.keys()
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
