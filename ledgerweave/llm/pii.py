@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -85,18 +86,22 @@ def base_spans(text: str) -> list[Span]:
 
 # Generators of candidates.
 _AT = re.compile(r"[\[({<] ?(?:at|AT) ?[\])}>]| (?:AT|\(a\)) ")
-_NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?$")
-_HOST_AFTER = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({<] ?(?:dot|DOT|\.) ?[\])}>]\s?| DOT )[A-Za-z0-9-]{1,63}){1,6}")
+_HOST_AFTER = re.compile(r"\s?[A-Za-z0-9-]++(?:(?:\.|\s?[\[({<] ?(?:dot|DOT|\.) ?[\])}>]\s?| DOT )[A-Za-z0-9-]++)++")
 _IP_ODD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[(]\s?(?:\.|dot)\s?[\])]\s?[0-9]{1,3}){3}(?![0-9])")
 _ZONE = re.compile(r"(?<![0-9])\(?[0-9](?:[ ./()_-]{0,3}[0-9])++")
 
 
 def candidates(text: str) -> Iterator[Span]:
     """Spans that may be personal data; they may overlap."""
+    done = 0
     for m in _AT.finditer(text):
-        before, after = _NAME_BEFORE.search(text[max(0, m.start() - 66) : m.start()]), _HOST_AFTER.match(text, m.end())
-        if before and after:
-            yield "email", m.start() - len(before.group()), after.end()
+        start = end = m.start() - (m.start() > done and text[m.start() - 1].isspace())
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        after = _HOST_AFTER.match(text, m.end()) if start < end else None
+        if after:
+            yield "email", start, after.end()
+        done = m.start()  # a name before the next sign does not reach beyond this one
     if not _DIGIT.search(text):
         return
     if "[" in text or "(" in text:
@@ -149,6 +154,10 @@ def describe(text: str, span: Span) -> list[float]:
     ]
 
 
+#: The trees and the least score for each kind.
+Trained = tuple["Trees", tuple[float, ...]]
+
+
 class Trees:
     """Gradient-boosted trees of depth DEPTH for two classes, on few distinct values per feature."""
 
@@ -242,7 +251,7 @@ def _examples(seed: int, n: int) -> Iterator[tuple[str, Span, bool]]:
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[Trees, tuple[float, ...]]:
+def model() -> Trained:
     """The trees, and for each kind the least score at which 99 of 100 held-out accepted examples are right."""
     x, y, kind = [], [], []
     for text, span, good in _examples(20, 3000):
@@ -261,22 +270,46 @@ def model() -> tuple[Trees, tuple[float, ...]]:
     return trees, tuple(least)
 
 
-def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+class _Taken:
+    """Ranges that do not overlap, sorted."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for _, start, stop in sorted(spans, key=lambda s: s[1:]):
+            if self.stops and start < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], stop)
+            else:
+                self.starts.append(start)
+                self.stops.append(stop)
+
+    def free(self, span: Span) -> bool:
+        k = bisect_right(self.stops, span[1])
+        return k == len(self.starts) or span[2] <= self.starts[k]
+
+    def take(self, span: Span) -> None:
+        k = bisect_right(self.stops, span[1])
+        self.starts.insert(k, span[1])
+        self.stops.insert(k, span[2])
+
+
+def added_spans(texts: list[str], base: list[list[Span]], trained: Trained | None = None) -> list[list[Span]]:
     """Accepted candidates of each text: none overlaps a base span or a more probable one."""
-    where, rows = [], []
+    where, rows, taken = [], [], [_Taken(b) for b in base]
     for i, text in enumerate(texts):
         for span in dict.fromkeys(candidates(text)):
-            if all(span[2] <= b[1] or b[2] <= span[1] for b in base[i]):
+            if taken[i].free(span):
                 where.append((i, span))
                 rows.append(describe(text, span))
     out: list[list[Span]] = [[] for _ in texts]
     if rows:
-        trees, least = model()
+        trees, least = trained or model()
         p = trees.probability(np.array(rows))
         for k in np.lexsort(([s[1] for _, s in where], [s[1] - s[2] for _, s in where], -p)):
             i, span = where[k]
-            if p[k] >= least[KINDS.index(span[0])] and all(span[2] <= b[1] or b[2] <= span[1] for b in out[i]):
+            if p[k] >= least[KINDS.index(span[0])] and taken[i].free(span):
                 out[i].append(span)
+                taken[i].take(span)
     return out
 
 
@@ -284,20 +317,22 @@ def _written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-def _found(texts: list[str]) -> tuple[list[list[Span]], list[list[Span]]]:
+def _found(texts: list[str], trained: Trained | None = None) -> tuple[list[list[Span]], list[list[Span]]]:
     base = [base_spans(t) for t in texts]
-    return base, added_spans(texts, base)
+    return base, added_spans(texts, base, trained)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for every row of docs.
 
     The counts and base are of base spans, spans of all, as kind:start:end in code points. A null text is an empty
-    one and has none; a null id stays null; repeated rows give equal rows.
+    one and has none; a null id stays null; repeated rows give equal rows, an empty table none; other columns, whatever
+    their names, are not looked at. The trees are trained once, on the driver, so all workers decide alike.
     """
+    trained = model()
 
     def each(batch: pa.RecordBatch) -> dict:
-        base, added = _found(batch.column(1).to_pylist())
+        base, added = _found(batch.column(1).to_pylist(), trained)
         counts = {f"n_{k}": [sum(s[0] == k for s in b) for b in base] for k in KINDS}
         return {"doc_id": batch.column(0), **counts, "base": [_written(b) for b in base], "spans": [_written(b + a) for b, a in zip(base, added)]}
 
@@ -315,11 +350,15 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
-    """docs with the spans in text replaced and n_chars counted again; null texts stay null."""
+    """docs with the spans in text replaced and n_chars counted again; null texts stay null.
+
+    All other columns, whatever their names, and repeated rows stay; an empty table stays empty.
+    """
+    trained = model()
 
     def each(texts: pd.Series) -> pd.Series:
         known = [t or "" for t in texts]
-        base, added = _found(known)
+        base, added = _found(known, trained)
         return pd.Series([t if t is None else redact(t, b + a) for t, b, a in zip(texts, base, added)], dtype=object)
 
     return docs.withColumn("text", F.pandas_udf(each, "string")(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
