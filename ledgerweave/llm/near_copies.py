@@ -7,32 +7,32 @@ such a shingle; the order is by hash, with shingles that many texts have last (w
 texts, as the order bears on speed only). Within a cell the trie of fingerprints is joined with itself under a budget of BUDGET bits,
 and what is found is compared exactly. The budget is wide: a pair of similarity 0.8 is beyond it with a chance under one in 10,000.
 
-A cell of many nodes is no square of pairs: all its nodes are compared exactly with one of them, and the triangle inequality of the
-Jaccard distance settles the rest of the pairs or leaves fewer nodes for the next round. Rounds end when they no longer halve what is left.
+A dense cell is no square of pairs. First, cells (large ones in parts of near fingerprints) give a spanning forest of what differs
+in CLOSE bits at most, one pair for each node; those that the exact check confirms make groups. Then only pairs of nodes of
+different groups are candidates.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import durable, map_batches, whole_text
 from .simhash import digests, first_of_each, majority, near_pairs
 
-#: Bits in which the fingerprints of near copies may differ.
-BUDGET, SLACK = 24, 1e-9
+#: Bits in which the fingerprints of near copies may differ, and those of pairs of the first forests.
+BUDGET, CLOSE, SLACK = 24, 10, 1e-9
 #: One text in PART is read for common shingles; common is what COMMON of these have, MOST shingles at most.
 PART, COMMON, MOST = 8, 8, 200_000
-#: Nodes of a cell whose pairs are all candidates, rows of larger cells at which there are no more rounds, and rows of cells that are joined in one group.
-FEW, SETTLED, GROUP = 128, 16_384, 65_536
+#: Nodes of a cell that are joined as one trie in one task, and rows of cells in one group.
+CELL, GROUP = 1024, 16_384
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -106,70 +106,60 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", (both / (F.col("u_n") + F.col("v_n") - both)).alias("similarity"))
 
 
-def _able(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether what comes from these places on in two sets can still be shared enough."""
-    return np.minimum(n[i] - at[i], n[j] - at[j]) >= least / (1 + least) * (n[i] + n[j]) - SLACK
-
-
-def _trie_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(u, v): candidates within the cells of rows(token, node, n, at, fp) of FEW nodes at most, each once."""
+def _trie_pairs(rows: DataFrame, least: float, budget: int, spanning: bool) -> DataFrame:
+    """(u, v): candidates within the parts of cells of rows(token, part, node, n, at, fp, root), not of one root, each once."""
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        token, node, n, at, fp = (group[c].to_numpy() for c in ("token", "node", "n", "at", "fp"))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, token))
-        token, node, n, at, fp = (x[order] for x in (token, node, n, at, fp))
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        i, j = near_pairs(fp, start, np.append(start[1:], len(token)), BUDGET)
-        able = _able(n, at, i, j, least) & (node[i] != node[j])
-        found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)[able], axis=0)
+        token, part, node, n, at, fp, root = (group[c].to_numpy() for c in ("token", "part", "node", "n", "at", "fp", "root"))
+        order = np.lexsort((fp.view(np.uint64), part, token))
+        token, part, node, n, at, fp, root = (x[order] for x in (token, part, node, n, at, fp, root))
+        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (part[1:] != part[:-1]))))
+        # A forest spans each part of a cell by itself: what is joined in one may need other pairs in another.
+        name = np.unique(np.stack([np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token)))), root], axis=1), axis=0, return_inverse=True)[1].ravel()
+        i, j = near_pairs(fp.view(np.uint64), start, np.append(start[1:], len(token)), budget, name, spanning)
+        able = np.minimum(n[i] - at[i], n[j] - at[j]) >= least / (1 + least) * (n[i] + n[j]) - SLACK
+        found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)[able | spanning], axis=0)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
     groups = max(1, -(-rows.count() // GROUP))
-    return rows.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g")).applyInPandas(pairs, "u long, v long").distinct()
+    return rows.groupBy(F.pmod(F.xxhash64("token", "part"), F.lit(groups)).alias("g")).applyInPandas(pairs, "u long, v long").distinct()
 
 
 def _joined_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """As _trie_pairs, for cells of any number of nodes: an equi-join, which adaptive execution splits."""
-    a, b = (rows.select("token", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"), F.col("fp").alias(f"{x}_fp")) for x in "uv")
+    """(u, v): candidates of cells of any number of nodes: an equi-join, which adaptive execution splits."""
+    a, b = (rows.select("token", F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"), F.col("fp").alias(f"{x}_fp")) for x in "uv")
     need = least / (1 + least) * (F.col("u_n") + F.col("v_n")) - SLACK
     able = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= need
     near = F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp"))) <= BUDGET
-    return a.join(b, "token").where((F.col("u") < F.col("v")) & able & near).select("u", "v").distinct()
+    return a.join(b, "token").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & able & near).select("u", "v").distinct()
 
 
-def _with_number(rows: DataFrame) -> DataFrame:
-    """rows of tokens that several have, with their number m: counted before the shuffle, then an equi-join that adaptive execution splits."""
-    return rows.join(rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "token")
+def _shared(described: DataFrame) -> DataFrame:
+    """(token, node, n, at, fp, m): tokens that m > 1 nodes have. Rows of a token are counted as they stream by, sorted."""
+    nodes = described.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
+    tokens = described.select("node", F.posexplode("tokens").alias("at", "token"))
+    number = F.count("*").over(Window.partitionBy("token"))
+    several = tokens.withColumn("m", number).where("m > 1").groupBy("token", "node").agg(F.min("at").alias("at"))
+    counted = several.join(several.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "token")
+    return counted.join(nodes, "node")
 
 
 def links(docs: DataFrame, described: DataFrame, words: int, least: float) -> DataFrame:
     """(u, v) of nodes of similarity least or more: enough of them to connect what all such pairs connect."""
-    nodes = described.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
-    tokens = described.select("node", F.posexplode("tokens").alias("at", "token"))
-    shared = _with_number(tokens).groupBy("token", "node").agg(F.min("at").alias("at"))
-    shared = durable(_with_number(shared).join(nodes, "node"))
-    some = durable(_trie_pairs(shared.where(F.col("m") <= FEW), least))
-    many = shared.where(F.col("m") > FEW).drop("m")
-    sets = _sets(docs, described, some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).unionByName(many.select("node")), words)
-    near = lambda compared: durable(compared.where(F.col("similarity") >= least).select("u", "v"))
-    out = [near(_compared(some, sets))]
-    before, now = None, many.count()
-    while now > SETTLED and (before is None or 2 * now <= before):
-        middle = many.groupBy("token").agg(F.min("node").alias("v"))
-        rows = many.withColumnRenamed("node", "u").join(middle, "token")
-        measured = durable(_compared(rows.select("u", "v").where("u <> v").distinct(), sets))
-        out.append(measured.where(F.col("similarity") >= least).select("u", "v"))
-        rows = rows.join(measured, ["u", "v"], "left").withColumn("far", F.when(F.col("u") == F.col("v"), 0.0).otherwise(1 - F.col("similarity")))
-        by_token = rows.groupBy("token").agg(F.min(F.when(F.col("far") > 1 - least + SLACK, F.col("far"))).alias("next"))
-        rows = rows.join(by_token, "token").where((F.col("u") != F.col("v")) & ((F.col("far") > 1 - least + SLACK) | (F.col("far") + (1 - least) + SLACK >= F.col("next"))))
-        left = durable(_with_number(rows.select("token", F.col("u").alias("node"), "n", "at", "fp")))
-        out.append(near(_compared(_trie_pairs(left.where(F.col("m") <= FEW), least), sets)))
-        many = left.where(F.col("m") > FEW).drop("m")
-        before, now = now, many.count()
-    if now:
-        out.append(near(_compared(_joined_pairs(many, least), sets)))
-    return reduce(DataFrame.unionByName, out)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = durable(pairs)
+        sets = _sets(docs, described, pairs.select(F.explode(F.array("u", "v")).alias("node")), words)
+        return durable(_compared(pairs, sets).where(F.col("similarity") >= least).select("u", "v"))
+
+    shared = durable(_shared(described))
+    bits = F.ceil(F.log2(F.col("m") / CELL))
+    parts = shared.withColumn("root", F.col("node")).withColumn("part", F.when(bits > 0, F.expr("shiftrightunsigned(fp, 64 - cast(greatest(ceil(log2(m / %d)), 1) as int))" % CELL)).otherwise(F.lit(0).cast("long")))
+    close = confirmed(_trie_pairs(parts, least, CLOSE, True))
+    roots = connected_components(close)
+    rooted = durable(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("part", F.lit(0).cast("long")))
+    small, large = rooted.where(F.col("m") <= CELL), rooted.where(F.col("m") > CELL)
+    return close.unionByName(confirmed(_trie_pairs(small, least, BUDGET, False).unionByName(_joined_pairs(large, least)).distinct()))
 
 
 def grouped(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -9,6 +9,7 @@ group of n texts costs n rows. The forests are joined into components by connect
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,8 +25,8 @@ from .shared import absent, columns_of, durable, map_batches, whole_text
 BITS = 64
 #: Fingerprints of a cell above which it is dealt again, as long as more than LEAST_BITS of them may differ; a cell never holds more than 2 ** LEAST_BITS or CELL_ROWS.
 CELL_ROWS, LEAST_BITS = 16_384, 21
-#: Pairs of nodes traversed at once; pairs of leaves below this number are compared without going down.
-BLOCK, FEW = 200_000, 24
+#: Pairs of nodes traversed at once (SOME where pairs are listed); pairs of leaves below FEW are compared without going down.
+BLOCK, FEW, SOME = 200_000, 24, 20_000
 
 
 def digests(text: str, words: int = 3, seed: int = 42) -> bytes:
@@ -169,28 +170,38 @@ def _turned_column(x: Column, bits: int, by: int) -> Column:
     return turned.bitwiseOR(x.bitwiseAND(F.lit(~mask).cast("long")))
 
 
-def near_pairs(fp: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of all pairs within runs start to stop of fp that differ in budget bits at most; fp is sorted within each run.
+def near_pairs(fp: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int, group: np.ndarray | None = None, spanning: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs within runs start to stop of fp that differ in budget bits at most; fp is sorted within each run.
 
-    As forest, but for each run a trie of its own, and with all pairs.
+    As forest, but for each run a trie of its own, and with the pairs themselves. group is a number for each place: pairs of one group are
+    left out. All other pairs are returned, or, if spanning, so many of them as connect what all connect.
     """
+    n = len(fp)
+    first = np.arange(n) if group is None else np.unique(group, return_index=True, return_inverse=True)[1:]
+    parent = first if group is None else first[0][first[1]]
     stack, out, ones = [(0, start, stop, start, stop)], [], {}
     while stack:
         d, *ends = stack.pop()
-        if len(ends[0]) > BLOCK:
-            stack += [(d, *(x[i : i + BLOCK] for x in ends)) for i in range(0, len(ends[0]), BLOCK)]
+        if len(ends[0]) > SOME:
+            stack += [(d, *(x[i : i + SOME] for x in ends)) for i in range(0, len(ends[0]), SOME)]
             continue
         al, ah, bl, bh = ends
+        if group is not None or spanning:
+            turns = np.concatenate(([0], np.cumsum(parent[1:] != parent[:-1])))
+            apart = (parent[al] != parent[bl]) | (turns[al] != turns[ah - 1]) | (turns[bl] != turns[bh - 1])
+            al, ah, bl, bh = (x[apart] for x in ends)
         few = (ah - al) * (bh - bl) <= FEW if d < BITS else np.ones(len(al), bool)
-        out += _leaves(fp, *(x[few] for x in ends), budget)
-        al, ah, bl, bh = (x[~few] for x in ends)
+        for x, y in _leaves(fp, *(x[few] for x in (al, ah, bl, bh)), budget):
+            between = parent[x] != parent[y] if group is not None or spanning else slice(None)
+            out.append(_joining(parent, x[between], y[between]) if spanning else (x[between], y[between]))
+        al, ah, bl, bh = (x[~few] for x in (al, ah, bl, bh))
         if not len(al):
             continue
         if d not in ones:
             ones[d] = np.concatenate(([0], np.cumsum(fp >> np.uint64(BITS - 1 - d) & np.uint64(1), dtype=np.int64)))
         am, bm = (hi - (ones[d][hi] - ones[d][lo]) for lo, hi in ((al, ah), (bl, bh)))
-        apart = (al != bl) | (ah != bh)
-        parts = [(al, am, bl, bm), (am, ah, bm, bh), (al, am, bm, bh), tuple(x[apart] for x in (am, ah, bl, bm))]
+        two = (al != bl) | (ah != bh)
+        parts = [(al, am, bl, bm), (am, ah, bm, bh), (al, am, bm, bh), tuple(x[two] for x in (am, ah, bl, bm))]
         below = [np.concatenate(x) for x in zip(*parts)]
         full = (below[0] < below[1]) & (below[2] < below[3])
         below = [x[full] for x in below]
@@ -200,16 +211,28 @@ def near_pairs(fp: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int)
     return tuple(np.concatenate([none, *(x[k] for x in out)]) for k in (0, 1))
 
 
-def _leaves(fp: np.ndarray, al, ah, bl, bh, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for s in (slice(i, i + BLOCK) for i in range(0, len(al), BLOCK)):
+def _leaves(fp: np.ndarray, al, ah, bl, bh, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for s in (slice(i, i + SOME) for i in range(0, len(al), SOME)):
         na, nb = ah[s] - al[s], bh[s] - bl[s]
         pair = np.repeat(np.arange(len(na)), na * nb)
         k = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
         x, y = al[s][pair] + k // nb[pair], bl[s][pair] + k % nb[pair]
         near = (np.bitwise_count(fp[x] ^ fp[y]) <= budget) & ((x < y) | (al[s] != bl[s])[pair])
-        out.append((np.minimum(x, y)[near], np.maximum(x, y)[near]))
-    return out
+        yield np.minimum(x, y)[near], np.maximum(x, y)[near]
+
+
+def _joining(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that join two trees each, all of which are joined; every node points at its root."""
+    out = [(x[:0], y[:0])]
+    while len(x):
+        high, first = np.unique(np.maximum(parent[x], parent[y]), return_index=True)
+        out.append((x[first], y[first]))
+        parent[high] = np.minimum(parent[x], parent[y])[first]
+        while not np.array_equal(above := parent[parent], parent):
+            parent[:] = above
+        between = parent[x] != parent[y]
+        x, y = x[between], y[between]
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def forest(a: np.ndarray, b: np.ndarray, depth: int, budget: int, runs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:

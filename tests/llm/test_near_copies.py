@@ -35,10 +35,10 @@ def kept(found):
     return sorted(r["doc_id"] for r in found.collect())
 
 
-@pytest.mark.parametrize("few, settled", [(64, 0), (4, 0), (2, 1000)])
-def test_made_texts(spark, monkeypatch, few, settled):
-    monkeypatch.setattr(near_copies, "FEW", few)
-    monkeypatch.setattr(near_copies, "SETTLED", settled)
+@pytest.mark.parametrize("cell, group", [(1024, 16384), (4, 50), (1, 1000)])
+def test_made_texts(spark, monkeypatch, cell, group):
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "GROUP", group)
     r = random.Random(4)
     line = " ".join(f"c{i}" for i in range(40))
     rows = [(0, ""), (1, None), (2, "One two"), (3, "one  TWO"), (4, "one two three")]

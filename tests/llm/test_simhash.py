@@ -126,6 +126,21 @@ def test_near_pairs_are_all_pairs_within_the_budget(seed):
     i, j = simhash.near_pairs(np.array(fp, np.uint64), *(np.array(x) for x in zip(*runs)), budget)
     want = {(x, y) for a, b in runs for x in range(a, b) for y in range(x + 1, b) if bin(fp[x] ^ fp[y]).count("1") <= budget}
     assert len(i) == len(want) and {(int(x), int(y)) for x, y in zip(i, j)} == want
+    group = np.array([r.randrange(5) + 10 * next(k for k, (a, b) in enumerate(runs) if a <= x < b) for x in range(len(fp))])
+    i, j = simhash.near_pairs(np.array(fp, np.uint64), *(np.array(x) for x in zip(*runs)), budget, group)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted((x, y) for x, y in want if group[x] != group[y])
+    i, j = simhash.near_pairs(np.array(fp, np.uint64), *(np.array(x) for x in zip(*runs)), budget, np.arange(len(fp)), True)
+    chosen = {(int(x), int(y)) for x, y in zip(i, j)}
+
+    def parts(pairs):
+        root = [*range(len(fp))]
+        for x, y in pairs:
+            if root[x] != root[y]:
+                gone, to = root[y], root[x]
+                root = [to if z == gone else z for z in root]
+        return {frozenset(k for k, z in enumerate(root) if z == y) for y in root}
+
+    assert chosen <= want and parts(chosen) == parts(want) and len(chosen) == len(fp) - len(parts(want))
 
 
 def test_columns_of_any_names_stay(spark):
