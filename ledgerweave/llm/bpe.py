@@ -1,10 +1,11 @@
 """Byte-level BPE over the distinct words of a corpus: each distinct word is encoded once.
 
-Texts are split into words at their positions. A chunk of documents writes down its distinct words and, for each
-document, the sequence of their numbers; the number's index is the position. The words are dealt out by
-their hash, packed by bucket, so that each distinct word of the corpus meets one dictionary and is encoded once;
-the ids go back to the chunk, and documents are put together by position. Decoding looks ids up in the table of
-token bytes, whose size is fixed by the vocabulary.
+Documents are dealt out to chunks of bounded size by a hash of their id and text. A chunk writes down its distinct words, which
+are dealt out by their hash, packed by bucket, so that each distinct word of the corpus meets one dictionary and is encoded once.
+The ids go back to the chunk, whose documents are split into words again, with positions, and put together by position.
+Both readings are of one shuffle of the texts, and what is written down does not depend on the order of rows, so
+a part that is computed again after a lost executor gives the same. Decoding takes ids from the table of token bytes, whose size
+is fixed by the vocabulary: a join by id in each worker.
 """
 
 from __future__ import annotations
@@ -13,18 +14,18 @@ import base64
 import contextlib
 import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, whole_text
+from .shared import map_batches, named, whole_text
 
 #: The pattern of the vocabulary for texts of these characters alone, for the faster engine.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
@@ -52,11 +53,11 @@ def _known_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, tuple[Callable[[str], list[int]], pa.Array]] = {}
 
 
-def _vocabulary(path: str, pattern: str) -> tuple:
-    """(encoder of one word's bytes, token bytes by id)"""
+def _vocabulary(path: str, pattern: str) -> tuple[Callable[[str], list[int]], pa.Array]:
+    """(encoder of one word, token bytes by id)"""
     if path not in _loaded:
         import tiktoken
 
@@ -65,11 +66,11 @@ def _vocabulary(path: str, pattern: str) -> tuple:
         by_id = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             by_id[i] = token
-        _loaded[path] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, by_id)
+        _loaded[path] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, pa.array(by_id, pa.binary()))
     return _loaded[path]
 
 
-def _width(tokens: list[bytes]) -> str:
+def _width(tokens: pa.Array) -> str:
     return "<u2" if len(tokens) <= 1 << 16 else "<u4"
 
 
@@ -109,36 +110,16 @@ class _Numbers(dict):
         return n
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, with_codes: bool) -> Iterator[tuple[str, list, list[str], list[np.ndarray]]]:
-    """(name, ids of documents, distinct words by first occurrence, numbers of words by document).
+def _by_bucket(words: list[bytes], buckets: int) -> dict[int, list[int]]:
+    """The places of words by bucket; within a bucket in the order of the words, so that equal sets of words give equal lists."""
+    out: dict[int, list[int]] = {}
+    for k in sorted(range(len(words)), key=words.__getitem__):
+        out.setdefault(xxhash.xxh3_64_intdigest(words[k]) % buckets, []).append(k)
+    return out
 
-    The name holds the place and a hash of the content: the same rows in the same order give the same name.
-    """
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    made = 0
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            number = _Numbers()
-            ids, codes, size, digest = [], [], 0, xxhash.xxh3_128()
-            while at < batch.num_rows:
-                text = batch.column(1)[at].as_py()
-                if size and size + len(text) > CHUNK:
-                    break
-                found = words_of(text, pattern)
-                if with_codes:
-                    codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-                else:
-                    number.update(dict.fromkeys(found))
-                ids.append(batch.column(0)[at].as_py())
-                digest.update(f"{ids[-1]}:{len(text)}:".encode() + text.encode("utf-8", "surrogatepass"))
-                size += len(text) + 1
-                at += 1
-            yield f"{part}:{made}:{digest.hexdigest()}", ids, list(number), codes
-            made += 1
-            del number, codes, found, text
-        del batch
-        _give_back()
+
+def _raw(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
 
 
 def _give_back() -> None:
@@ -151,72 +132,80 @@ def _give_back() -> None:
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs; a null text is an empty one and has no ids.
 
-    docs is read twice and has to give the same rows in the same order both times, as files do; otherwise a task
-    fails, as the words of a chunk are then missing.
+    A null id stays null, repeated rows give a row each, an empty table none; other columns of docs, whatever their names, are not
+    looked at. Rows alike in id and text share a chunk.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    plain = docs.select(named(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    size = plain.agg(F.sum(F.length("text") + F.lit(1))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // CHUNK)))).alias("chunk")
+    texts = plain.select(chunk, "doc_id", "text").repartition("chunk")
     buckets = min(max(BUCKETS[0], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), BUCKETS[1])
-
-    def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, words, _ in _chunks(batches, pattern, False):
-            raw = [w.encode("utf-8", "surrogatepass") for w in words]
-            bucket = np.array([xxhash.xxh3_64_intdigest(w) for w in raw], np.uint64) % np.uint64(buckets)
-            for b in range(buckets):
-                own = np.flatnonzero(bucket == b)
-                if len(own):
-                    yield pa.RecordBatch.from_pydict({"chunk": [name], "bucket": [b], "numbers": [_small(_bytes_apart(np.diff(own, prepend=0)))], "words": [_packed([raw[k] for k in own])]}, schema=pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())]))
+    columns = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary())])
+
+    def dictionary(rows: pa.Table) -> pa.Table:
+        found: set[str] = set()
+        for text in rows["text"]:
+            found.update(words_of(text.as_py(), pattern))
+        raw = [*map(_raw, found)]
+        del found
+        dealt = _by_bucket(raw, buckets)
+        made = pa.table([[rows["chunk"][0].as_py()] * len(dealt), [*dealt], [_packed([raw[k] for k in own]) for own in dealt.values()]], schema=columns)
+        del raw, dealt
+        _give_back()
+        return made
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_word, tokens = _vocabulary(ranks, pattern)
         width = _width(tokens)
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            for name, numbers, words in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
+            for k in range(batch.num_rows):
                 out = []
-                for w in _unpacked(words):
+                for w in _unpacked(batch.column(2)[k].as_py()):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = np.array(encode_word(w), width).tobytes()
+                        ids = known[w] = np.array(encode_word(w.decode("utf-8", "surrogatepass")), width).tobytes()
                     out.append(ids)
-                yield pa.RecordBatch.from_pydict({"chunk": [name], "numbers": [numbers], "ids": [_packed(out)]}, schema=pa.schema([("chunk", pa.string()), ("numbers", pa.binary()), ("ids", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([_packed(out)], pa.binary())], schema=columns)
         known.clear()
         _give_back()
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, words, codes in _chunks(batches, pattern, True):
-            apart = [_small(_bytes_apart(c)) for c in codes]
-            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(ids), "doc_id": ids, "words": [len(words)] * len(ids), "codes": apart}, schema=pa.schema([("chunk", pa.string()), ("doc_id", pa.int64()), ("words", pa.int64()), ("codes", pa.binary())]))
-
-    def together(codes: pa.Table, replies: pa.Table) -> pa.Table:
-        if not codes.num_rows:
-            raise RuntimeError("the documents gave other rows when read again")
+    def together(rows: pa.Table, replies: pa.Table) -> pa.Table:
         width = _width(_vocabulary(ranks, pattern)[1])
-        ids: list[bytes | None] = [None] * codes["words"][0].as_py()
-        for numbers, blob in zip(replies["numbers"], replies["ids"]):
-            for k, x in zip(np.cumsum(_bytes_joined(_large(numbers.as_py())), dtype=np.int64).tolist(), _unpacked(blob.as_py())):
+        number = _Numbers()
+        codes = [np.fromiter(map(number.__getitem__, found), np.uint32, len(found)) for found in (words_of(t.as_py(), pattern) for t in rows["text"])]
+        raw = [*map(_raw, number)]
+        del number
+        ids: list[bytes] = [b""] * len(raw)
+        dealt = _by_bucket(raw, buckets)
+        for bucket, blob in zip(replies["bucket"].to_pylist(), replies["words"]):
+            for k, x in zip(dealt.pop(bucket), _unpacked(blob.as_py()), strict=True):
                 ids[k] = x
-        if any(x is None for x in ids):
-            raise RuntimeError("the documents gave other rows when read again")
-        own = [np.frombuffer(b"".join(map(ids.__getitem__, _bytes_joined(_large(c.as_py())).tolist())), width) for c in codes["codes"]]
+        if dealt:
+            raise RuntimeError("words of a chunk have no ids")
+        del raw
+        own = [np.frombuffer(b"".join(map(ids.__getitem__, c.tolist())), width) for c in codes]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
         found = pa.ListArray.from_arrays(ends, np.concatenate(own).astype(np.int32))
-        del ids, own
+        del ids, own, codes
         _give_back()
-        return pa.table({"doc_id": codes["doc_id"].combine_chunks(), "ids": found})
+        return pa.table({"doc_id": rows["doc_id"], "ids": found})
 
-    words = plain.mapInArrow(dictionary, "chunk string, bucket int, numbers binary, words binary").repartition("bucket")
-    replies = words.select("chunk", "numbers", "words").mapInArrow(encoded, "chunk string, numbers binary, ids binary")
-    numbered = plain.mapInArrow(positions, "chunk string, doc_id long, words long, codes binary")
-    return numbered.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(together, "doc_id long, ids array<int>")
+    words = texts.groupBy("chunk").applyInArrow(dictionary, "chunk long, bucket int, words binary").repartition("bucket")
+    replies = words.mapInArrow(encoded, "chunk long, bucket int, words binary")
+    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(together, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """encoded(doc_id, ids) with one more column, decoded binary: the bytes of its tokens. Null ids decode to nothing."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        _, token = _vocabulary(ranks, pattern)
-        _give_back()
-        decoded = [b"".join(map(token.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b"" for ids in batch.column(1)]
-        return {"doc_id": batch.column(0), "ids": batch.column(1), "decoded": decoded}
+        ids = batch.column(1)
+        taken = _vocabulary(ranks, pattern)[1].take(ids.flatten())
+        lengths = np.array([0 if n is None else n for n in pc.list_value_length(ids).to_pylist()], np.int64)
+        offsets = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * taken.offset) if len(taken) else np.zeros(1, np.int32)
+        ends = offsets[np.concatenate(([0], np.cumsum(lengths)))].astype(np.int32)
+        bytes_of = taken.buffers()[2] if len(taken) and taken.buffers()[2] is not None else pa.py_buffer(b"")
+        return {"doc_id": batch.column(0), "ids": ids, "decoded": pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), bytes_of])}
 
     return map_batches(encoded.select("doc_id", "ids"), each, "doc_id long, ids array<int>, decoded binary")

@@ -9,6 +9,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerweave.llm import bpe, packing
 
@@ -37,6 +38,19 @@ def test_encode_and_decode(spark, docs, monkeypatch):
     texts = sorted((_id(r), r["text"] or "") for r in docs.collect())
     assert [(i, reference.encode_ordinary(t), t.encode()) for i, t in texts] == sorted((_id(r), r["ids"], bytes(r["decoded"])) for r in got)
     assert bpe.encode(docs.limit(0), path, public.PATTERN).count() == 0
+    monkeypatch.setattr(bpe, "CHUNK", 20_000)  # many chunks, of documents that come from a shuffle in another order
+    mixed = docs.repartition(7).orderBy(F.rand()).repartition(3)
+    again = bpe.decode(bpe.encode(mixed, path, public.PATTERN), path, public.PATTERN).collect()
+    assert sorted((_id(r), r["ids"], bytes(r["decoded"])) for r in again) == sorted((_id(r), r["ids"], bytes(r["decoded"])) for r in got)
+
+
+def test_null_ids_decode_to_nothing(spark):
+    path = public.path("byte_bpe_50k.tiktoken")
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [72, 105]), (None, [33])], "doc_id long, ids array<int>").coalesce(1)
+    got = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(rows, path, public.PATTERN).collect()}
+    with open(path, "rb") as f:
+        token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    assert got == {1: b"", 2: b"", 3: token[72] + token[105], None: token[33]}
 
 
 def test_packed_numbers_round_trip():
