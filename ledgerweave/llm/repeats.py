@@ -3,17 +3,23 @@
 The rank of a position at a length is the class of equal strings of that length that start there. A full
 suffix array would shuffle every byte of the corpus at every doubling, so positions are first chosen by content:
 each window of min_bytes bytes takes as its anchor the GRAM bytes in it with the least hash, so equal windows have
-equal anchors at equal places. Consecutive windows with one anchor form an interval. The rounds then sort
-(rank of what all windows of an interval share, rank of all bytes that the interval covers) pairs:
+equal anchors at equal places. Consecutive windows with one anchor form an interval. The first round ranks anchors by
+their GRAM bytes. Each later one doubles the length: a position p is ranked at 2h by the pair (rank of p at h, rank of
+p + h at h), and the last two lengths, which are no powers of two, by pairs that overlap. Rounds sort the pairs, with the rank
+of all bytes that an interval covers:
 
-  * a shared part that is unique in the corpus: all windows of the interval are unique, it leaves;
+  * a pair that is unique in the corpus: all windows of the interval are unique, it leaves;
   * all covered bytes repeat: all its windows repeat, it is done; its first one stays as a partner for others;
-  * else it is cut into shorter intervals, whose shared parts are longer: GRAM bytes, then min_bytes - STEP + 1, then
-    min_bytes, which is past the threshold and decides each window.
+  * else it is cut into shorter intervals, so that all windows of each share the next length, up to min_bytes, which is the threshold
+    and decides each window.
 
-Each round is one shuffle by the first rank, and only what is still undecided goes on. Ranks are pairs of 64-bit
-fingerprints from independent tables; equal pairs are taken as equal strings. Rows of a batch with equal ranks are
-combined before the shuffle, so text that repeats itself does not send a row per byte.
+Each round is one shuffle by the pair, and only what is still undecided goes on. A rank is a 64-bit fingerprint: the rank of p + h
+has the same value wherever it is computed, so it is no join over positions but read off the document's own bytes. Equal pairs are taken
+as equal strings. Rows of a batch with equal ranks are combined before the shuffle, so text that repeats itself does not send a row per byte.
+
+An anchor that very many different texts follow (a common line before what differs) would be sorted in one task. So anchors are counted
+first, by SLOTS classes of their ranks; those of a class with over HEAVY times the usual number skip the short lengths and are ranked at
+min_bytes - STEP + 1 bytes at once, where they are spread by what follows them.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 from .shared import absent, columns_of, map_batches, named, whole_text
 
 GRAM, STEP = 32, 8
+#: Classes by which anchors are counted; times the mean, and at least FEW, that make a class a heavy one.
+SLOTS, HEAVY, FEW = 1 << 16, 16, 4096
 #: Bytes hashed at once; a power of two, as positions share a word with hashes.
 PIECE = 1 << 18
 _MASK = np.uint64(PIECE * 2 - 1)
@@ -102,9 +110,19 @@ def _shape(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return _mix(((low & 0xFFFF).astype(np.uint64) << _U(16)) | (high & 0xFFFF).astype(np.uint64))
 
 
-def _cut(text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, step: int, min_bytes: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The intervals cut at multiples of step from their anchors, with their ranks."""
+def _lengths(min_bytes: int) -> list[int]:
+    """The lengths at which positions are ranked: doubled while they are short of the last two."""
+    out = [GRAM]
+    while 2 * out[-1] < min_bytes - STEP + 1:
+        out.append(2 * out[-1])
+    return [*out, min_bytes - STEP + 1, min_bytes]
+
+
+def _cut(text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, min_bytes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The intervals cut from their anchors so that the windows of each share length bytes, with the pair of ranks of those and their covered rank."""
     one, two = _both()
+    step = min_bytes - length + 1
+    half = max(x for x in _lengths(min_bytes)[:-2] if x <= length)
     order = np.argsort(anchor + low, kind="stable")
     anchor, low, high = anchor[order], low[order], high[order]
     at = 0
@@ -119,11 +137,15 @@ def _cut(text: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray
         k = np.repeat(np.arange(len(n)), n)
         block = (lo // step)[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
         a, lo, hi = a[k], np.maximum(lo[k], block * step), np.minimum(hi[k], block * step + step - 1)
-        shared = one.of(s1, a + block * step + step - 1, a + block * step + min_bytes)
-        yield shared ^ _mix((block & 0xFFFF).astype(np.uint64)) if step > 1 else shared, two.of(s2, a + lo, a + hi + min_bytes) ^ (_shape(lo, hi) if step > 1 else _U(0)), a + begin, lo, hi
+        p, stop = a + block * step + step - 1, a + block * step + min_bytes
+        rank, beyond = one.of(s1, p, p + half), one.of(s1, stop - half, stop)
+        if step > 1:  # those that lie differently about their anchors can't be alike
+            yield rank ^ _mix((block & 0xFFFF).astype(np.uint64)), beyond, two.of(s2, a + lo, a + hi + min_bytes) ^ _shape(lo, hi), a + begin, lo, hi
+        else:
+            yield rank, beyond, two.of(s2, a + lo, a + hi + min_bytes), a + begin, lo, hi
 
 
-_ROUND = "core long, cover long, times long, kd long, kt long, anchor long, low long, high long"
+_ROUND = "rank long, beyond long, cover long, times long, kd long, kt long, anchor long, low long, high long"
 
 
 def _combined(found: list[tuple[np.ndarray, ...]], ids: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
@@ -131,11 +153,11 @@ def _combined(found: list[tuple[np.ndarray, ...]], ids: tuple[np.ndarray, np.nda
     of bytes that are known to repeat (times 0), for all of them."""
     if not found:
         return {c.split()[0]: np.zeros(0, np.int64) for c in _ROUND.split(", ")}
-    core, cover, row, anchor, low, high = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((cover, core))
-    core, cover, row, anchor, low, high = (x[order] for x in (core, cover, row, anchor, low, high))
-    head = np.flatnonzero(np.concatenate(([True], (core[1:] != core[:-1]) | (cover[1:] != cover[:-1]))))
-    times = np.diff(np.append(head, len(core)))
+    rank, beyond, cover, row, anchor, low, high = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((cover, beyond, rank))
+    rank, beyond, cover, row, anchor, low, high = (x[order] for x in (rank, beyond, cover, row, anchor, low, high))
+    head = np.flatnonzero(np.concatenate(([True], (rank[1:] != rank[:-1]) | (beyond[1:] != beyond[:-1]) | (cover[1:] != cover[:-1]))))
+    times = np.diff(np.append(head, len(rank)))
     again = np.repeat(times > 1, times)
     r, s, e = row[again], (anchor + low)[again], (anchor + high)[again]
     order = np.lexsort((s, r))
@@ -145,22 +167,39 @@ def _combined(found: list[tuple[np.ndarray, ...]], ids: tuple[np.ndarray, np.nda
     r, s = r[start], s[start]
     spread = _mix(ids[1][r].view(np.uint64) ^ s.astype(np.uint64))
     rows = np.concatenate([row[head], r])
-    made = {"core": np.concatenate([core[head], spread]).view(np.int64), "cover": np.concatenate([cover[head], spread]).view(np.int64), "times": np.concatenate([times, np.zeros(len(r), np.int64)])}
+    made = {c: np.concatenate([x[head], spread]).view(np.int64) for c, x in (("rank", rank), ("beyond", beyond), ("cover", cover))}
+    made |= {"times": np.concatenate([times, np.zeros(len(r), np.int64)])}
     made |= {"kd": ids[0][rows], "kt": ids[1][rows], "anchor": np.concatenate([anchor[head], s]), "low": np.concatenate([low[head], np.zeros(len(r), np.int64)]), "high": np.concatenate([high[head], stop - s])}
     return made
 
 
-def _first_round(docs: DataFrame, min_bytes: int) -> DataFrame:
+def _first_round(docs: DataFrame, min_bytes: int, heavy: np.ndarray) -> DataFrame:
+    """Rows of anchors ranked at GRAM bytes, and of those in heavy classes at the last length but one."""
+
+    def ranked(text: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for rank, cover, anchor, low, high in _anchored(text, min_bytes):
+            much = np.isin(rank & _U(SLOTS - 1), heavy) if len(heavy) else np.zeros(len(rank), bool)
+            yield tuple(x[~much] for x in (rank, np.zeros_like(rank), cover, anchor, low, high))
+            if much.any():
+                yield from _cut(text, anchor[much], low[much], high[much], min_bytes - STEP + 1, min_bytes)
+
     def each(batch: pa.RecordBatch) -> dict:
         ids = tuple(batch.column(i).to_numpy() for i in (0, 1))
-        found = [(c, u, np.full(len(a), i), a, lo, hi) for i, t in enumerate(batch.column(2).to_pylist()) for c, u, a, lo, hi in _anchored(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), min_bytes)]
+        found = [(r, b, u, np.full(len(a), i), a, lo, hi) for i, t in enumerate(batch.column(2).to_pylist()) for r, b, u, a, lo, hi in ranked(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))]
         return _combined(found, ids)
 
     return map_batches(docs.select("kd", "kt", "text"), each, _ROUND)
 
 
-def _next_round(docs: DataFrame, undecided: DataFrame, step: int, min_bytes: int) -> DataFrame:
-    """Rows of a round for the intervals that are still undecided, cut at multiples of step."""
+def _heavy(docs: DataFrame, min_bytes: int) -> np.ndarray:
+    """The classes of anchors with very many rows. A count for each class reaches the driver, however many documents there are."""
+    rows = _first_round(docs, min_bytes, np.zeros(0, np.uint64)).where("times > 0")
+    counts = rows.groupBy(F.pmod("rank", F.lit(SLOTS)).alias("slot")).count().toPandas()
+    return np.sort(counts["slot"][counts["count"] > max(FEW, HEAVY * counts["count"].sum() / SLOTS)].to_numpy().astype(np.uint64))
+
+
+def _next_round(docs: DataFrame, undecided: DataFrame, length: int, min_bytes: int) -> DataFrame:
+    """Rows of a round for the intervals that are still undecided, ranked at length bytes."""
     packed = F.shiftleft("anchor", 20).bitwiseOR(F.shiftleft(F.col("low") + 512, 10)).bitwiseOR(F.col("high") + 512)
     wanted = undecided.groupBy("kd", "kt").agg(F.collect_list(packed).alias("intervals"))
 
@@ -169,19 +208,19 @@ def _next_round(docs: DataFrame, undecided: DataFrame, step: int, min_bytes: int
         found = []
         for i, (t, x) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
             x = x.values.to_numpy()
-            cuts = _cut(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), x >> 20, (x >> 10 & 1023) - 512, (x & 1023) - 512, step, min_bytes)
-            found += [(c, u, np.full(len(a), i), a, lo, hi) for c, u, a, lo, hi in cuts]
+            cuts = _cut(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), x >> 20, (x >> 10 & 1023) - 512, (x & 1023) - 512, length, min_bytes)
+            found += [(r, b, u, np.full(len(a), i), a, lo, hi) for r, b, u, a, lo, hi in cuts]
         return _combined(found, ids)
 
     return map_batches(docs.select("kd", "kt", "text").join(wanted, ["kd", "kt"]).select("kd", "kt", "text", "intervals"), each, _ROUND)
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    """A round's rows with the number of equal pairs of ranks and, per first rank, of different pairs."""
-    pair = Window.partitionBy("core", "cover")
-    rows = rows.repartition("core").withColumn("number", F.sum("times").over(pair))
-    rows = rows.withColumn("first", (F.row_number().over(pair.orderBy("kd", "kt", "anchor", "low")) == 1) & (F.col("times") > 0))
-    return rows.withColumn("kinds", F.sum(F.col("first").cast("long")).over(Window.partitionBy("core")))
+    """A round's rows with the number of equal ones and, for each pair of ranks, of different covered ranks."""
+    alike = Window.partitionBy("rank", "beyond", "cover")
+    rows = rows.repartition("rank", "beyond").withColumn("number", F.sum("times").over(alike))
+    rows = rows.withColumn("first", (F.row_number().over(alike.orderBy("kd", "kt", "anchor", "low")) == 1) & (F.col("times") > 0))
+    return rows.withColumn("kinds", F.sum(F.col("first").cast("long")).over(Window.partitionBy("rank", "beyond")))
 
 
 def _repeated(ranked: DataFrame, min_bytes: int) -> DataFrame:
@@ -210,10 +249,10 @@ def _ranges(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> Data
     if min_bytes > GRAM + 512:  # places from -512 to 511 about an anchor are packed
         raise ValueError(f"min_bytes must be {GRAM + 512} at most")
     plain = _plain(docs, id_col, text_col)
-    ranked = _sorted(_first_round(plain, min_bytes))
+    ranked = _sorted(_first_round(plain, min_bytes, _heavy(plain, min_bytes)))
     ranges = _repeated(ranked, min_bytes)
-    for step in (STEP, 1):
-        ranked = _sorted(_next_round(plain, ranked.where("first and kinds > 1").select("kd", "kt", "anchor", "low", "high"), step, min_bytes))
+    for length in _lengths(min_bytes)[1:]:
+        ranked = _sorted(_next_round(plain, ranked.where("first and kinds > 1").select("kd", "kt", "anchor", "low", "high"), length, min_bytes))
         ranges = ranges.unionByName(_repeated(ranked, min_bytes))
     return ranges.groupBy("kd", "kt").agg(F.collect_list("range").alias("ranges"))
 

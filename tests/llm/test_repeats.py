@@ -93,3 +93,30 @@ def test_columns_of_any_names_stay(spark):
     rows = {tuple(r) for r in repeats.keep_rest(docs).collect()}
     assert rows == {(2, "", 1, 2, 3, 0), (-(2**63), "short", 4, 5, 6, 5), (None, None, 4, 5, 6, None), (1, "", 7, 8, 9, 0)}
     assert {r["doc_id"] for r in repeats.repeats_removed(docs).collect()} == {1, 2, -(2**63), None}
+
+
+def test_lengths_double_up_to_the_last_two():
+    assert repeats._lengths(200) == [32, 64, 128, 193, 200] and repeats._lengths(40) == [32, 33, 40] and repeats._lengths(544) == [32, 64, 128, 256, 512, 537, 544]
+
+
+@pytest.mark.parametrize("length", [40, 75, 300])
+def test_other_lengths_against_brute_force(spark, length):
+    rows = texts(5, 25)
+    got = repeats.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_bytes=length).collect()
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got], key=repr) == brute(rows, length)
+
+
+def test_heavy_anchors_are_spread_by_what_follows(spark, monkeypatch):
+    """A common line before different texts: its anchors skip the short lengths, with the same result."""
+    monkeypatch.setattr(repeats, "FEW", 100)
+    r = random.Random(4)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnop ", k=n))
+    line = "-" * 20 + " the same line stands before all of these texts " + "=" * 60
+    rows = [(k, line + noise(150 + k % 90)) for k in range(400)] + [(1000 + k, noise(30) + line * 3 + noise(40)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    heavy = repeats._heavy(repeats._plain(docs, "doc_id", "text"), 200)
+    assert len(heavy)
+    first = repeats._first_round(repeats._plain(docs, "doc_id", "text"), 200, heavy)
+    rows_of = first.groupBy("rank", "beyond").count()
+    assert rows_of.agg({"count": "max"}).first()[0] < 100
+    assert found(docs) == brute(rows)
