@@ -18,8 +18,8 @@ has the same value wherever it is computed, so it is no join over positions but
 as equal strings. Rows of a batch with equal ranks are combined before the shuffle, so text that repeats itself does not send a row per byte.
 
 An anchor that very many different texts follow (a common line before what differs) would be sorted in one task. So anchors are counted
-first, by SLOTS classes of their ranks; those of a class with over HEAVY times the usual number skip the short lengths and are ranked at
-min_bytes - STEP + 1 bytes at once, where they are spread by what follows them.
+first, by SLOTS classes of their ranks; those of a class with over HEAVY times the usual number are ranked at the longest doubled length at
+once, where they are spread by what follows them.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import absent, columns_of, map_batches, named, whole_text
+from .shared import columns_of, map_batches, named, whole_text
 
 GRAM, STEP = 32, 8
 #: Classes by which anchors are counted; times the mean, and at least FEW, that make a class a heavy one.
@@ -174,21 +174,21 @@ def _combined(found: list[tuple[np.ndarray, ...]], ids: tuple[np.ndarray, np.nda
 
 
 def _first_round(docs: DataFrame, min_bytes: int, heavy: np.ndarray) -> DataFrame:
-    """Rows of anchors ranked at GRAM bytes, and of those in heavy classes at the last length but one."""
+    """Rows of anchors ranked at GRAM bytes, and of those in heavy classes at the longest doubled length."""
 
     def ranked(text: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         for rank, cover, anchor, low, high in _anchored(text, min_bytes):
             much = np.isin(rank & _U(SLOTS - 1), heavy) if len(heavy) else np.zeros(len(rank), bool)
             yield tuple(x[~much] for x in (rank, np.zeros_like(rank), cover, anchor, low, high))
             if much.any():
-                yield from _cut(text, anchor[much], low[much], high[much], min_bytes - STEP + 1, min_bytes)
+                yield from _cut(text, anchor[much], low[much], high[much], _lengths(min_bytes)[-3], min_bytes)
 
     def each(batch: pa.RecordBatch) -> dict:
         ids = tuple(batch.column(i).to_numpy() for i in (0, 1))
         found = [(r, b, u, np.full(len(a), i), a, lo, hi) for i, t in enumerate(batch.column(2).to_pylist()) for r, b, u, a, lo, hi in ranked(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))]
         return _combined(found, ids)
 
-    return map_batches(docs.select("kd", "kt", "text"), each, _ROUND)
+    return map_batches(docs.select("kd", "kt", whole_text("text")), each, _ROUND)
 
 
 def _heavy(docs: DataFrame, min_bytes: int) -> np.ndarray:
@@ -212,7 +212,9 @@ def _next_round(docs: DataFrame, undecided: DataFrame, length: int, min_bytes: i
             found += [(r, b, u, np.full(len(a), i), a, lo, hi) for r, b, u, a, lo, hi in cuts]
         return _combined(found, ids)
 
-    return map_batches(docs.select("kd", "kt", "text").join(wanted, ["kd", "kt"]).select("kd", "kt", "text", "intervals"), each, _ROUND)
+    # What asks for all columns makes every round and the last join read one shuffle of the documents.
+    nulls = sum((F.col(c).isNull().cast("int") for c in docs.columns if c not in ("kd", "kt", "text")), F.lit(0))
+    return map_batches(docs.join(wanted, ["kd", "kt"]).select("kd", "kt", whole_text("text"), "intervals", nulls), each, _ROUND)
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -237,22 +239,23 @@ def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(own, F.lit(0)), F.xxhash64(own.isNull(), whole_text(text_col))
 
 
-def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(kd, kt, text) and the columns of docs as c0, c1, ..., so that no names clash."""
     kd, kt = _keys(id_col, text_col)
-    return docs.select(kd.alias("kd"), kt.alias("kt"), whole_text(text_col).alias("text"), named(id_col).isNull().alias("none"))
+    others = [c.alias(f"c{k}") for k, (c, name) in enumerate(zip(columns_of(docs), docs.columns)) if name.lower() != text_col.lower()]
+    return docs.select(kd.alias("kd"), kt.alias("kt"), named(text_col).cast("string").alias("text"), *others)
 
 
-def _ranges(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
-    """(kd, kt, ranges) of the rows that hold repeated strings: byte ranges, packed, in no order, that may overlap."""
+def _ranges(keyed: DataFrame, min_bytes: int) -> DataFrame:
+    """(kd, kt, ranges) of the rows of _keyed that hold repeated strings: byte ranges, packed, in no order, that may overlap."""
     if min_bytes < GRAM + STEP:
         raise ValueError(f"min_bytes must be {GRAM + STEP} at least")
     if min_bytes > GRAM + 512:  # places from -512 to 511 about an anchor are packed
         raise ValueError(f"min_bytes must be {GRAM + 512} at most")
-    plain = _plain(docs, id_col, text_col)
-    ranked = _sorted(_first_round(plain, min_bytes, _heavy(plain, min_bytes)))
+    ranked = _sorted(_first_round(keyed, min_bytes, _heavy(keyed, min_bytes)))
     ranges = _repeated(ranked, min_bytes)
     for length in _lengths(min_bytes)[1:]:
-        ranked = _sorted(_next_round(plain, ranked.where("first and kinds > 1").select("kd", "kt", "anchor", "low", "high"), length, min_bytes))
+        ranked = _sorted(_next_round(keyed, ranked.where("first and kinds > 1").select("kd", "kt", "anchor", "low", "high"), length, min_bytes))
         ranges = ranges.unionByName(_repeated(ranked, min_bytes))
     return ranges.groupBy("kd", "kt").agg(F.collect_list("range").alias("ranges"))
 
@@ -280,8 +283,9 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no rows; other columns of docs are not looked at.
     """
     kept = F.pandas_udf(_kept_rows, _KEPT)
-    rows = _plain(docs, id_col, text_col).join(_ranges(docs, id_col, text_col, min_bytes), ["kd", "kt"], "left")
-    return rows.select(F.when(~F.col("none"), F.col("kd")).alias("doc_id"), kept("text", "ranges").alias("kept")).select("doc_id", "kept.*")
+    keyed = _keyed(docs.select(named(id_col), named(text_col)), id_col, text_col)
+    rows = keyed.join(_ranges(keyed, min_bytes), ["kd", "kt"], "left")
+    return rows.select(F.col("c0").cast("long").alias("doc_id"), kept(whole_text("text"), "ranges").alias("kept")).select("doc_id", "kept.*")
 
 
 def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
@@ -294,8 +298,7 @@ def keep_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         cut = [t if t is None or x is None else _without(t.encode("utf-8", "surrogatepass"), x)[3].decode("utf-8", "ignore") for t, x in zip(text, ranges)]
         return pd.Series(cut, dtype=object)
 
-    kd, kt, own = absent(docs.columns, "kd", "kt", "ranges")
-    keyed = docs.withColumns(dict(zip((kd, kt), _keys(id_col, text_col))))
-    ranges = _ranges(docs, id_col, text_col, min_bytes).withColumnsRenamed({"kd": kd, "kt": kt, "ranges": own})
-    joined = keyed.join(ranges, [kd, kt], "left").withColumn(text_col, F.pandas_udf(rest, "string")(named(text_col).cast("string"), own))
-    return joined.select(columns_of(docs)).withColumn("n_chars", F.length(named(text_col)).cast("long"))
+    keyed = _keyed(docs, id_col, text_col)
+    rows = keyed.join(_ranges(keyed, min_bytes), ["kd", "kt"], "left").withColumn("text", F.pandas_udf(rest, "string")("text", "ranges"))
+    back = [(F.col("text") if name.lower() == text_col.lower() else F.col(f"c{k}")).alias(name) for k, name in enumerate(docs.columns)]
+    return rows.select(back).withColumn("n_chars", F.length(named(text_col)).cast("long"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerweave.llm import repeats
 
@@ -114,9 +115,24 @@ def test_heavy_anchors_are_spread_by_what_follows(spark, monkeypatch):
     line = "-" * 20 + " the same line stands before all of these texts " + "=" * 60
     rows = [(k, line + noise(150 + k % 90)) for k in range(400)] + [(1000 + k, noise(30) + line * 3 + noise(40)) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    heavy = repeats._heavy(repeats._plain(docs, "doc_id", "text"), 200)
+    keyed = repeats._keyed(docs, "doc_id", "text")
+    heavy = repeats._heavy(keyed, 200)
     assert len(heavy)
-    first = repeats._first_round(repeats._plain(docs, "doc_id", "text"), 200, heavy)
+    first = repeats._first_round(keyed, 200, heavy)
     rows_of = first.groupBy("rank", "beyond").count()
     assert rows_of.agg({"count": "max"}).first()[0] < 100
     assert found(docs) == brute(rows)
+
+
+def test_all_rounds_read_one_shuffle_of_the_texts(spark):
+    docs = spark.createDataFrame(texts(3, 20), "doc_id long, text string").withColumn("source", F.lit("a")).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = repeats.keep_rest(docs)
+        kept.collect()
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    reused = [x for x in plan.splitlines() if "ReusedExchange" in x and "hashpartitioning(kd" in x and "text#" in x]
+    assert len(reused) == 4
