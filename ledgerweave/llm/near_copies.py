@@ -8,7 +8,8 @@ texts, as the order bears on speed only). Within a cell the trie of fingerprints
 and what is found is compared exactly. The budget is wide: a pair of similarity 0.8 is beyond it with a chance under one in 10,000.
 
 A dense cell is no square of pairs. First, cells (large ones in parts of near fingerprints) give a spanning forest of what differs
-in CLOSE bits at most, one pair for each node; those that the exact check confirms make groups. Then only pairs of nodes of
+in CLOSE bits at most, one pair for each node, the nearest first, and pairs of each node with the one in the middle of its cell, which may be
+what the others were copied from; those that the exact check confirms make groups. Then only pairs of nodes of
 different groups are candidates.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import durable, map_batches, whole_text
-from .simhash import digests, first_of_each, majority, near_pairs
+from .simhash import digests, first_of_each, majority, near_pairs, union
 
 #: Bits in which the fingerprints of near copies may differ, and those of pairs of the first forests.
 BUDGET, CLOSE, SLACK = 24, 10, 1e-9
@@ -33,6 +34,8 @@ BUDGET, CLOSE, SLACK = 24, 10, 1e-9
 PART, COMMON, MOST = 8, 8, 200_000
 #: Nodes of a cell that are joined as one trie in one task, and rows of cells in one group.
 CELL, GROUP = 1024, 16_384
+#: Nodes of a cell from which on each is compared with the middle one.
+DENSE = 16
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -106,6 +109,28 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", (both / (F.col("u_n") + F.col("v_n") - both)).alias("similarity"))
 
 
+def nearest(fp: np.ndarray, start: np.ndarray, stop: np.ndarray, budget: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest as of near_pairs, of pairs that differ in few bits where these connect as much: such pairs are likelier to be similar."""
+    tree, out = np.arange(int(group.max(initial=-1)) + 1), []
+    for bits in [*range(2, budget, 2), budget]:
+        i, j = near_pairs(fp, start, stop, bits, tree[group], True)
+        out.append((i, j))
+        union(tree, group[i], group[j])
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def around_middle(fp: np.ndarray, start: np.ndarray, stop: np.ndarray, least: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) in each run of least places or more: each of them with the one whose bits are nearest to those that most have."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi in zip(start.tolist(), stop.tolist()):
+        if hi - lo >= least:
+            bits = np.unpackbits(fp[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
+            middle = lo + int(np.abs(bits - bits.mean(axis=0).round()).sum(axis=1).argmin())
+            near = np.arange(lo, hi)[np.bitwise_count(fp[lo:hi] ^ fp[middle]) <= BUDGET]
+            out.append((near, np.full(len(near), middle)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _trie_pairs(rows: DataFrame, least: float, budget: int, spanning: bool) -> DataFrame:
     """(u, v): candidates within the parts of cells of rows(token, part, node, n, at, fp, root), not of one root, each once."""
 
@@ -116,9 +141,15 @@ def _trie_pairs(rows: DataFrame, least: float, budget: int, spanning: bool) -> D
         start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (part[1:] != part[:-1]))))
         # A forest spans each part of a cell by itself: what is joined in one may need other pairs in another.
         name = np.unique(np.stack([np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token)))), root], axis=1), axis=0, return_inverse=True)[1].ravel()
-        i, j = near_pairs(fp.view(np.uint64), start, np.append(start[1:], len(token)), budget, name, spanning)
-        able = np.minimum(n[i] - at[i], n[j] - at[j]) >= least / (1 + least) * (n[i] + n[j]) - SLACK
-        found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)[able | spanning], axis=0)
+        fp, stop = fp.view(np.uint64), np.append(start[1:], len(token))
+        i, j = nearest(fp, start, stop, budget, name) if spanning else near_pairs(fp, start, stop, budget, name)
+        keep = np.full(len(i), spanning)
+        if spanning:
+            x, y = around_middle(fp, start, stop)
+            apart = (node[x] != node[y]) & (root[x] != root[y])
+            i, j, keep = np.concatenate([i, x[apart]]), np.concatenate([j, y[apart]]), np.append(keep, np.zeros(apart.sum(), bool))
+        keep |= np.minimum(n[i] - at[i], n[j] - at[j]) >= least / (1 + least) * (n[i] + n[j]) - SLACK
+        found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)[keep], axis=0)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
     groups = max(1, -(-rows.count() // GROUP))

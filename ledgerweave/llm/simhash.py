@@ -289,10 +289,10 @@ def _connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray, shift: int, budge
         k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
         x, y = al[s][pair] + k // nb[pair], bl[s][pair] + k % nb[pair]
         near = np.bitwise_count(a[x] ^ b[y]) <= budget
-        _union(parent, x[near], y[near] + shift)
+        union(parent, x[near], y[near] + shift)
 
 
-def _union(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+def union(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """Joins x with y in a forest in which every node points at its root, the smallest of its tree."""
     while len(x):
         x, y = parent[x], parent[y]
