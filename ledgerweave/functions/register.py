@@ -9,8 +9,8 @@ from . import text as T
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers nfkc (an Arrow UDF), SQL functions over it and over plain expressions, and the table function law_table_rows; returns the names."""
-    from ..sources.succession import LawTableRows
+    """Registers nfkc (an Arrow UDF), SQL functions over it and over plain expressions, and the table function json_nodes; returns the names."""
+    from ..sources.succession import NODES, JsonNodes
 
     spark.udf.register("nfkc", F.pandas_udf(T._nfkc, "string"))
     bare = "regexp_replace(nfkc(name), '[ 　]', '')"
@@ -24,5 +24,5 @@ def register(spark: SparkSession) -> list[str]:
     }
     for signature, body in plain.items():
         spark.sql(f"create or replace temporary function {signature} return {body}")
-    spark.udtf.register("law_table_rows", F.udtf(LawTableRows, returnType="source_law_id string, row_index int, old_text string, new_text string"))
-    return ["nfkc", *(s.split("(")[0] for s in plain), "law_table_rows"]
+    spark.udtf.register("json_nodes", F.udtf(JsonNodes, returnType=NODES))
+    return ["nfkc", *(s.split("(")[0] for s in plain), "json_nodes"]

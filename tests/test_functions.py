@@ -90,7 +90,7 @@ def test_registered_for_sql(spark, sf_dir):
     from ledgerweave.functions.register import register
     from ledgerweave.plans.harness import Harness
 
-    assert "law_table_rows" in register(spark)
+    assert "json_nodes" in register(spark)
     row = spark.sql("select corp_name_norm('㈱ ＡＢ') as a, iri_quote('a b*~') as b, looks_like_organ('財務省') as c, is_corporate_number('1') as d").first()
     assert tuple(row) == ("AB", "a%20b%2A~", True, False)
     names = Harness(spark, sf_dir).views()

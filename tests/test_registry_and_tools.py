@@ -54,6 +54,17 @@ def test_succession_table(spark):
             succession.succession_rows(spark.createDataFrame([("L", json.dumps(wrong))], "law_id string, tree string")).collect()
 
 
+def test_succession_table_in_a_table(spark):
+    """A cell's text has all that is below it; a table within a cell is a table of its own; a law with two tables raises."""
+    inner = table(("従前", "新"), ("a", "b"))
+    outer = {"tag": "Table", "children": [{"tag": "Row", "children": [{"tag": "C", "children": ["x", {"tag": "Ruby", "text": "y", "children": ["z"]}]}, {"tag": "C", "children": [inner]}]}]}
+    one = spark.createDataFrame([("L", json.dumps(outer, ensure_ascii=False))], "law_id string, tree string")
+    assert [(r["row_index"], r["old_text"], r["new_text"]) for r in succession.succession_rows(one).collect()] == [(1, "a", "b")]
+    two = spark.createDataFrame([("L", json.dumps({"tag": "Law", "children": [inner, inner]}, ensure_ascii=False))], "law_id string, tree string")
+    with pytest.raises(Exception, match="2 tables"):
+        succession.succession_rows(two).collect()
+
+
 def test_abolished_ministries(spark):
     assert succession.abolition_date('{"revision_info": {"amendment_enforcement_date": "2001-01-06"}}') == "2001-01-06"
     with pytest.raises(ValueError):
