@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import durable, map_batches, whole_text
+from .shared import Scratch, durable, map_batches, whole_text
 from .simhash import digests, first_of_each, majority, near_pairs, union
 
 #: Bits in which the fingerprints of near copies may differ, and those of pairs of the first forests.
@@ -183,14 +183,17 @@ def links(docs: DataFrame, described: DataFrame, words: int, least: float) -> Da
         sets = _sets(docs, described, pairs.select(F.explode(F.array("u", "v")).alias("node")), words)
         return durable(_compared(pairs, sets).where(F.col("similarity") >= least).select("u", "v"))
 
-    shared = durable(_shared(described))
-    bits = F.ceil(F.log2(F.col("m") / CELL))
-    parts = shared.withColumn("root", F.col("node")).withColumn("part", F.when(bits > 0, F.expr("shiftrightunsigned(fp, 64 - cast(greatest(ceil(log2(m / %d)), 1) as int))" % CELL)).otherwise(F.lit(0).cast("long")))
-    close = confirmed(_trie_pairs(parts, least, CLOSE, True))
-    roots = connected_components(close)
-    rooted = durable(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("part", F.lit(0).cast("long")))
-    small, large = rooted.where(F.col("m") <= CELL), rooted.where(F.col("m") > CELL)
-    return close.unionByName(confirmed(_trie_pairs(small, least, BUDGET, False).unionByName(_joined_pairs(large, least)).distinct()))
+    with Scratch(docs.sparkSession) as scratch:
+        shared = scratch.keep("shared", _shared(described))
+        bits = F.ceil(F.log2(F.col("m") / CELL))
+        parts = shared.withColumn("root", F.col("node")).withColumn("part", F.when(bits > 0, F.expr("shiftrightunsigned(fp, 64 - cast(greatest(ceil(log2(m / %d)), 1) as int))" % CELL)).otherwise(F.lit(0).cast("long")))
+        close = confirmed(_trie_pairs(parts, least, CLOSE, True))
+        roots = connected_components(close)
+        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("part", F.lit(0).cast("long"))
+        rooted = scratch.keep("rooted", rooted)
+        scratch.drop("shared")
+        small, large = rooted.where(F.col("m") <= CELL), rooted.where(F.col("m") > CELL)
+        return close.unionByName(confirmed(_trie_pairs(small, least, BUDGET, False).unionByName(_joined_pairs(large, least)).distinct()))
 
 
 def grouped(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

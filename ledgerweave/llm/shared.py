@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables in the shared folder, compressed, for what is read again within one computation and deleted before it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        remove_folder(self.spark, f"{self.folder}/{name}")
+
+    def __exit__(self, *error: object) -> None:
+        remove_folder(self.spark, self.folder)
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict[str, object]] | dict[str, object]], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to the columns of one result batch."""
     kind = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _struct(schema)])
