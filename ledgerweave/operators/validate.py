@@ -34,6 +34,11 @@ SHAPES: dict[str, dict[str, Property]] = {
     "Organization": {"corporateNumber": Property(1, pattern="^[0-9]{13}$"), "prefectureName": Property(), "cityName": Property()},
     "Expenditure": {"fiscalYear": Property(1), "project": Property(1, kind="uri"), "amount": Property(1), "recipientMatchCategory": Property(1, values=MATCH_CATEGORIES), "recipient": Property(kind="uri"), "payeeLabel": Property(), "inBlock": Property(kind="uri")},
     "ExpenditureBlock": {"fiscalYear": Property(1), "project": Property(1, kind="uri"), "blockId": Property(1), "amount": Property(), "paidByGovernment": Property(1), "fundedBy": Property(most=None, kind="uri"), "flowNote": Property(most=None)},
+    "AnnualBudget": {"fiscalYear": Property(1), "budgetFiscalYear": Property(1), "project": Property(1, kind="uri")} | {p: Property() for p in ("initialBudget", "supplementaryBudget", "carriedIn", "reserve", "available", "executed", "carriedOut", "nextYearRequest")},
+    "IndirectCost": {"fiscalYear": Property(1), "project": Property(1, kind="uri"), "amount": Property(1)},
+    "LawRevision": {"revisionOf": Property(1, kind="uri"), "enforcementDate": Property(1, pattern=r"^\d{4}-\d{2}-\d{2}$"), "amendmentLawNum": Property(), "revisionStatus": Property()},
+    "Ministry": {"corporateNumber": Property(1, pattern="^[0-9]{13}$"), "ministryCode": Property()},
+    "AbolishedGovernmentOrgan": {"abolitionDate": Property(1, pattern=r"^\d{4}-\d{2}-\d{2}$"), "succeededBy": Property(1, None, kind="uri")},
     "UnresolvedReference": {"text": Property(1), "reason": Property(1, values=UNRESOLVED_REASONS), "unresolvedFor": Property(kind="uri")},
 }
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,27 @@ from ..functions import iri
 from ..functions import text as T
 from ..operators import quads as Q
 from ..operators import records, release, resolve, validate
-from ..sources import readers
+from ..schema import TABLES
+from ..sources import readers, succession
+from ..sources.registry import SOURCES
+
+#: Sources that have a graph in a release, and the graph that says where these come from.
+GRAPHS = ("houjin-bangou", "egov-law", "egov-law-data", "rs-system", "ministry-codes")
+PROVENANCE = f"{iri.BASE}/graph/provenance"
+#: Columns of annual budgets and their predicates.
+MEASURES = {
+    "initial": "initialBudget", "supplementary": "supplementaryBudget", "carried_in": "carriedIn", "reserve": "reserve", "available": "available",
+    "executed": "executed", "carried_out": "carriedOut", "next_year_request": "nextYearRequest",
+}
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """Paths of one snapshot. laws may be missing, and with it jurisdictions; connections too, and with it flows of money."""
+    """Paths of one snapshot. laws may be missing, and with it jurisdictions; connections too, and with it flows of money.
+
+    succession is the document of the law whose table says what became of the old ministries; laws then have abolished organs too.
+    recorded has the day of recording of sources for which it is known.
+    """
 
     corporations: str
     ministries: str
@@ -32,8 +48,10 @@ class Inputs:
     connections: str | None = None
     laws: str | None = None
     old_ministries: str | None = None
+    succession: str | None = None
     date: str = "2024-01-01"
     payees_only: bool = True
+    recorded: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -43,12 +61,17 @@ class Built:
     violations: DataFrame
     gate: validate.Gate
     messages: list[str] = field(default_factory=list)
+    provenance: DataFrame | None = None
 
 
 def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     """The typed tables of a snapshot."""
     if inputs.old_ministries and not inputs.laws:
         raise ValueError("old ministries need laws")
+    if inputs.succession and not inputs.old_ministries:
+        raise ValueError("a table of succession needs old ministries")
+    if unknown := sorted(set(inputs.recorded) - set(SOURCES)):
+        raise ValueError(f"unknown sources: {unknown}")
     register = records.deduplicated_organizations(readers.corporations(spark, inputs.corporations))
     reference = readers.commented(spark, inputs.ministries, ["ministry_code", "name", "kensei_jun"])
     organs = register.where("kind_code = '101'")
@@ -56,15 +79,16 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     out = {"ministry": named.where("resolved is not null").select(F.col("resolved").alias("corp_no"), "name", "ministry_code"), "unmatched_ministry": named.where("resolved is null").select("name", "reason")}
     if inputs.laws:
         laws = readers.laws(spark, inputs.laws)
-        none = spark.createDataFrame([], "name string")
-        old = readers.commented(spark, inputs.old_ministries, ["name"]) if inputs.old_ministries else none
-        ladder = resolve.jurisdictions(laws, out["ministry"], old, none)
-        own = ladder.where("outcome = 'resolved'").groupBy("law_id").agg(F.sort_array(F.collect_set("resolved")).alias("jurisdiction"))
+        old = readers.commented(spark, inputs.old_ministries, ["name"]) if inputs.old_ministries else spark.createDataFrame([], "name string")
+        out["abolished_organ"] = _abolished(spark, inputs.succession, old, out["ministry"]) if inputs.succession else spark.createDataFrame([], TABLES["abolished_organ"])
+        ladder = resolve.jurisdictions(laws, out["ministry"], old, out["abolished_organ"])
+        of = lambda outcome: F.sort_array(F.collect_set(F.when(F.col("outcome") == outcome, F.col("resolved"))))
+        own = ladder.groupBy("law_id").agg(of("resolved").alias("jurisdiction"), of("resolved_abolished").alias("abolished_jurisdiction"))
         out["law"] = laws.drop("revision").dropDuplicates(["law_id"]).join(own, "law_id", "left")
         out["jurisdiction_ladder"] = ladder
         out["law_revision"] = laws.where("revision.enforcement_date is not null").select("law_id", "revision.*").distinct()
     else:
-        out["law"] = spark.createDataFrame([], "law_id string, law_title string, law_num string, abbrev array<string>, promulgation_date date, jurisdiction array<string>")
+        out |= {n: spark.createDataFrame([], TABLES[n]) for n in ("law", "law_revision", "abolished_organ")}
 
     keys = ["fiscal_year", "project_id"]
     spine = records.first(readers.review(spark, inputs.summary, "summary"), ["project_id"], ["row_idx"])
@@ -91,6 +115,7 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
         out["expenditure_block"] = records.blocks(records.block_attributes(payees), kinds.where("kind in ('paid', 'edge')")).join(year, "project_id").withColumn("fiscal_year", F.col("fiscal_year").cast("int"))
         out["indirect_cost"] = records.indirect_costs(kinds.where("kind = 'indirect'")).join(year, "project_id").withColumn("fiscal_year", F.col("fiscal_year").cast("int"))
     else:
+        out["indirect_cost"] = spark.createDataFrame([], TABLES["indirect_cost"])
         out["expenditure_block"] = records.block_attributes(payees).join(year, "project_id").withColumns({"fiscal_year": F.col("fiscal_year").cast("int"), "paid_by_government": F.lit(False), "funded_by": F.array().cast("array<string>"), "flow_notes": F.array().cast("array<string>")})
     wanted = out["expenditure"].select(F.col("recipient").alias("corp_no")).unionByName(out["ministry"].select("corp_no"))
     out["organization"] = register.join(wanted, "corp_no", "left_semi") if inputs.payees_only else register
@@ -98,6 +123,16 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     return out
 
 
+def _abolished(spark: SparkSession, path: str, old: DataFrame, ministries: DataFrame) -> DataFrame:
+    """Abolished organs: old ministries that the law's table has, with the current ministries that their new names lead to."""
+    document = spark.read.text(path, wholetext=True).first()["value"]
+    rows = succession.succession_rows(spark.createDataFrame([succession.law_document(document, path)], "law_id string, tree string")).where("not dropped").select("row_index", "old_name", "new_name")
+    matched = resolve.old_ministries(rows.select("row_index", "old_name"), old)
+    current = resolve.successors(rows.select(F.col("new_name").alias("name")).distinct(), ministries.select("name")).select(F.col("name").alias("new_name"), "successor")
+    pairs = matched.join(rows, "row_index").join(current, "new_name").select(F.col("target").alias("name"), "successor")
+    return succession.abolished(pairs, ministries, succession.abolition_date(document))
+
+
 def _unresolved(t: dict[str, DataFrame], cited: DataFrame) -> DataFrame:
     """(iri, text, reason, key, unresolved_for) of what was tried and not found."""
     year, pid = F.col("fiscal_year"), F.col("project_id")
@@ -116,25 +151,53 @@ def _unresolved(t: dict[str, DataFrame], cited: DataFrame) -> DataFrame:
 def quads_of(t: dict[str, DataFrame], date: str) -> DataFrame:
     """All tables as quads, each source in a graph of its own with the date it was fetched on."""
     day = F.lit(date).cast("date")
-    graph = {s: iri.graph(F.lit(s), day) for s in ("houjin-bangou", "egov-law", "rs-system", "ministry-codes")}
+    graph = {s: iri.graph(F.lit(s), day) for s in GRAPHS}
     year, pid = F.col("fiscal_year"), F.col("project_id")
     project, block = iri.project(year, pid), iri.block(year, pid, F.col("block_id"))
     money = graph["rs-system"]
     made = Q.emit(t["organization"], iri.organization(F.col("corp_no")), ["Organization"], graph["houjin-bangou"], {"corporateNumber": F.col("corp_no"), "prefectureName": F.nullif(F.col("prefecture"), F.lit("")), "cityName": F.nullif(F.col("city"), F.lit(""))}, label=F.col("name"))
-    made = made.unionByName(Q.emit(t["ministry"], iri.organization(F.col("corp_no")), ["Ministry"], graph["ministry-codes"], {"corporateNumber": F.col("corp_no")}))
-    made = made.unionByName(Q.emit(t["law"], iri.law(F.col("law_id")), ["Law"], graph["egov-law"], {"lawNum": F.col("law_num"), "promulgationDate": F.col("promulgation_date").cast("string")}, {"jurisdiction": F.transform("jurisdiction", iri.organization)}, label=F.col("law_title")))
+    made = made.unionByName(Q.emit(t["ministry"], iri.organization(F.col("corp_no")), ["Ministry"], graph["ministry-codes"], {"corporateNumber": F.col("corp_no"), "ministryCode": F.nullif(F.col("ministry_code"), F.lit(""))}))
+    made = made.unionByName(Q.emit(t["abolished_organ"], iri.abolished_organ(F.col("name")), ["AbolishedGovernmentOrgan"], graph["egov-law-data"], {"abolitionDate": F.col("abolition_date").cast("string")}, {"succeededBy": F.transform("succeeded_by", iri.organization)}, label=F.col("name")))
+    made = made.unionByName(Q.emit(t["law"], iri.law(F.col("law_id")), ["Law"], graph["egov-law"], {"lawNum": F.col("law_num"), "promulgationDate": F.col("promulgation_date").cast("string")}, {"jurisdiction": F.concat(F.transform("jurisdiction", iri.organization), F.transform("abolished_jurisdiction", iri.abolished_organ))}, label=F.col("law_title")))
+    r = {"enforcementDate": F.col("enforcement_date").cast("string"), "amendmentLawNum": F.nullif(F.col("amendment_law_num"), F.lit("")), "revisionStatus": F.col("status")}
+    made = made.unionByName(Q.emit(t["law_revision"], iri.law_revision(F.col("law_id"), F.col("enforcement_date"), F.col("amendment_law_num")), ["LawRevision"], graph["egov-law"], r, {"revisionOf": iri.law(F.col("law_id"))}))
     made = made.unionByName(Q.emit(t["budget_project"], project, ["BudgetProject"], money, {"projectId": pid, "fiscalYear": year, "budgetAmount": F.col("budget_amount")}, {"ministry": F.when(F.col("ministry").isNotNull(), iri.organization(F.col("ministry"))), "basisLaw": F.transform("basis_law", iri.law)}, label=F.col("name")))
     e = {"amount": F.col("amount"), "fiscalYear": year, "recipientMatchCategory": F.col("recipient_match_category"), "payeeLabel": F.col("payee_label")}
     made = made.unionByName(Q.emit(t["expenditure"], iri.expenditure(year, pid, F.col("seq")), ["Expenditure"], money, e, {"project": project, "recipient": F.when(F.col("recipient").isNotNull(), iri.organization(F.col("recipient"))), "inBlock": F.when(F.col("block_id").isNotNull(), block)}, label=F.col("label")))
     b = {"blockId": F.col("block_id"), "fiscalYear": year, "amount": F.col("amount"), "paidByGovernment": F.col("paid_by_government").cast("string")}
+    a = {"fiscalYear": year, "budgetFiscalYear": F.col("budget_fiscal_year"), **{name: F.col(c) for c, name in MEASURES.items()}}
+    made = made.unionByName(Q.emit(t["annual_budget"], iri.annual_budget(year, pid, F.col("budget_fiscal_year")), ["AnnualBudget"], money, a, {"project": project}))
+    made = made.unionByName(Q.emit(t["indirect_cost"], iri.indirect_cost(year, pid, F.col("item")), ["IndirectCost"], money, {"fiscalYear": year, "amount": F.col("amount")}, {"project": project}, label=F.col("item")))
     funded = F.transform("funded_by", lambda s: F.concat(project, F.lit("/block/"), iri.quote(s)))
     made = made.unionByName(Q.emit(t["expenditure_block"], block, ["ExpenditureBlock"], money, b, {"project": project, "fundedBy": funded}, label=F.nullif(F.col("block_name"), F.lit(""))))
     u = t["unresolved_reference"]
     return made.unionByName(Q.emit(u, F.col("iri"), ["UnresolvedReference"], money, {"text": F.col("text"), "reason": F.col("reason")}, {"unresolvedFor": F.col("unresolved_for")}))
 
 
+def counters(t: dict[str, DataFrame]) -> dict[str, int]:
+    """What the report tells of how names were resolved: outcomes by step and reason, each by one aggregation."""
+    by = [("expenditure", "recipient_match_category", "recipient"), ("unresolved_reference", "reason", "unresolved"), ("unmatched_ministry", "reason", "ministry")]
+    by += [("jurisdiction_ladder", "outcome", "jurisdiction")] * ("jurisdiction_ladder" in t)
+    out = {f"{head}_{str(r['k']).lower()}": r["n"] for table, c, head in by for r in t[table].groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")).collect()}
+    projects = records.counters(t["budget_project"], projects_with_ministry=F.col("ministry").isNotNull(), projects_with_amount=F.col("budget_amount").isNotNull(), projects_with_law=F.size("basis_law") > 0)
+    blocks = records.counters(t["expenditure_block"], blocks_paid_by_government=F.col("paid_by_government"), blocks_funded_by_blocks=F.size("funded_by") > 0)
+    return out | projects.first().asDict() | blocks.first().asDict()
+
+
+def provenance_of(quads: DataFrame, inputs: Inputs) -> DataFrame:
+    """Quads that say of each graph where it comes from, in a graph of their own."""
+    spark = quads.sparkSession
+    rows = spark.createDataFrame([(s, SOURCES[s].name, SOURCES[s].licence, inputs.date, inputs.recorded.get(s)) for s in GRAPHS], "source string, name string, licence string, generated_on string, recorded_on string")
+    rows = rows.withColumn("g", iri.graph(F.col("source"), F.col("generated_on").cast("date"))).join(quads.select("g").distinct(), "g", "left_semi")
+    values = {"sourceName": F.col("name"), "license": F.col("licence"), "generatedOn": F.col("generated_on"), "recordedOn": F.col("recorded_on")}
+    return Q.emit(rows, F.col("g"), ["GraphProvenance"], F.lit(PROVENANCE), values)
+
+
 def build(spark: SparkSession, inputs: Inputs, out: str, allow_partial: bool = False) -> Built:
-    """Writes tables, the quads of passing graphs and their manifest, and the report below out; raises if the gate refuses."""
+    """Writes tables, the quads of passing graphs, where these come from, their manifest, failing graphs apart, and the report below out.
+
+    Raises if the gate refuses; the report is written before.
+    """
     t = {}
     for name, rows in tables(spark, inputs).items():
         rows.write.mode("overwrite").parquet(f"{out}/tables/{name}")
@@ -154,9 +217,16 @@ def build(spark: SparkSession, inputs: Inputs, out: str, allow_partial: bool = F
     told = t["expenditure"].groupBy("recipient_match_category").agg(F.count("*").alias("n")).withColumnRenamed("recipient_match_category", "category")
     inferred = F.when(F.col("recipient").isNotNull(), "resolved").when(F.col("payee_label").isNotNull(), "bundled").when(F.col("reason").isNotNull(), "unresolved").otherwise("sentinel_or_nonexistent_houjin_bangou")
     again = t["expenditure"].groupBy(inferred.alias("category")).agg(F.count("*").alias("n"))
+    recount = lambda rows: rows.groupBy().agg(F.count("*").alias("n")).select(F.lit("abolished").alias("kind"), "n")
+    linked = clean.where((F.col("p") == iri.term("core", "jurisdiction")) & F.col("o").startswith(f"{iri.BASE}/id/org/abolished/")).select("s", "o").distinct()
+    named = t["law"].select("law_id", F.explode("abolished_jurisdiction").alias("name")).distinct()
+    gate.add("abolished_jurisdictions", validate.count_mismatches(recount(named), recount(linked), ["kind"]))
     gate.add("category_counts", validate.count_mismatches(told, again, ["category"]))
+    if gate.faults["shape_violations"]:
+        validate.quarantined(quads, found, f"{out}/quarantine/{inputs.date}-{uuid4().hex[:8]}")
     release.replace_graphs(clean, f"{out}/quads")
+    provenance_of(clean, inputs).write.mode("overwrite").parquet(f"{out}/provenance")
     release.manifest(clean).write.mode("overwrite").parquet(f"{out}/manifest")
-    report = {"date": inputs.date, "faults": gate.faults, "checked": gate.checked, "rows": {n: rows.count() for n, rows in t.items()}}
+    report = {"date": inputs.date, "faults": gate.faults, "checked": gate.checked, "counters": counters(t), "rows": {n: rows.count() for n, rows in t.items()}}
     spark.createDataFrame([(json.dumps(report, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
-    return Built(t, clean, found, gate, gate.close(allow_partial))
+    return Built(t, clean, found, gate, gate.close(allow_partial, ("shape_violations",)), spark.read.parquet(f"{out}/provenance"))

@@ -7,8 +7,8 @@ TABLES: dict[str, str] = {
     "organization": "corp_no string, name string, kind_code string, prefecture string, city string, street string, updated_on string, row_idx bigint",
     "ministry": "corp_no string, name string, ministry_code string",
     "abolished_organ": "name string, abolition_date date, succeeded_by array<string>",
-    "law": "law_id string, law_num string, law_num_type string, law_title string, abbrev array<string>, promulgation_date date, repeal_status string, jurisdiction array<string>",
-    "law_revision": "law_id string, enforcement_date date, amendment_law_num string, status string, g string",
+    "law": "law_id string, law_num string, law_num_type string, law_title string, abbrev array<string>, promulgation_date date, repeal_status string, jurisdiction array<string>, abolished_jurisdiction array<string>",
+    "law_revision": "law_id string, enforcement_date date, amendment_law_num string, status string",
     "budget_project": "fiscal_year int, project_id string, name string, ministry string, budget_amount bigint, basis_law array<string>",
     "expenditure": "fiscal_year int, project_id string, seq int, label string, amount bigint, recipient string, recipient_match_category string, payee_label string, role string, block_id string",
     "expenditure_block": "fiscal_year int, project_id string, block_id string, block_name string, role string, amount bigint, payee_count bigint, paid_by_government boolean, funded_by array<string>, flow_notes array<string>",
@@ -35,5 +35,5 @@ SEARCHABLE = ("Organization", "GovernmentOrgan", "Ministry", "AbolishedGovernmen
 #: Predicates whose object must be an instance of the class.
 REFERENCES = (
     ("jurisdiction", "Organization"), ("ministry", "Ministry"), ("basisLaw", "Law"), ("recipient", "Organization"), ("project", "BudgetProject"),
-    ("inBlock", "ExpenditureBlock"), ("fundedBy", "ExpenditureBlock"), ("succeededBy", "Organization"), ("unresolvedFor", "Entity"),
+    ("inBlock", "ExpenditureBlock"), ("fundedBy", "ExpenditureBlock"), ("succeededBy", "Organization"), ("revisionOf", "Law"), ("unresolvedFor", "Entity"),
 )
