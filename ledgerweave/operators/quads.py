@@ -81,12 +81,17 @@ def search(entities: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
     Rows of an entity are put together before the limit, so that entities with many rows don't crowd out others.
     """
+    return found(entities, query, limit).limit(limit)
+
+
+def found(entities: DataFrame, query: str, limit: int) -> DataFrame:
+    """search's hits in order, one more than limit, so that a caller can tell whether there are more. Columns beside the label are of one row."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be from 1 to 100")
     hits = entities.where(F.col("type").isin(*SEARCHABLE) & F.lower("label").contains(query.lower()))
     rest = [c for c in entities.columns if c not in ("id", "label")]
-    once = hits.groupBy("id").agg(F.min("label").alias("label"), *[F.min(c).alias(c) for c in rest])
-    return once.orderBy("label", "id").limit(limit)
+    once = hits.groupBy("id").agg(F.min(F.struct("label", *rest)).alias("hit")).select("id", "hit.*")
+    return once.orderBy("label", "id").limit(limit + 1)
 
 
 def attributes(quads: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import iri
+from ..operators import quads as Q
 from .catalog import query
 from .harness import Harness
 
@@ -30,13 +32,13 @@ def _with_successor(rows: DataFrame, t: Harness) -> DataFrame:
 @query(f"SELECT fiscal_year, CAST(sum(budget_amount) AS BIGINT) AS total_budget, count(*) AS projects FROM project WHERE ministry = '{MINISTRY}' AND budget_amount IS NOT NULL GROUP BY fiscal_year")
 def cq02_ministry_budget_by_year(t: Harness, ministry: str = MINISTRY) -> DataFrame:
     rows = t.project.where((F.col("ministry") == ministry) & F.col("budget_amount").isNotNull())
-    return rows.groupBy("fiscal_year").agg(F.sum("budget_amount").alias("total_budget"), F.count("*").alias("projects"))
+    return rows.groupBy("fiscal_year").agg(F.sum("budget_amount").alias("total_budget"), F.count("*").alias("projects")).orderBy("fiscal_year")
 
 
 @query(f"SELECT e.project_id, p.name, e.fiscal_year, e.seq, e.amount FROM expenditure e JOIN project p ON e.project_id = p.project_id WHERE e.recipient = '{RECIPIENT}'")
 def cq03_expenditures_of_recipient(t: Harness, recipient: str = RECIPIENT) -> DataFrame:
     rows = t.expenditure.where(F.col("recipient") == recipient).select("project_id", "fiscal_year", "seq", "amount")
-    return rows.join(t.project.select("project_id", "name"), "project_id").select("project_id", "name", "fiscal_year", "seq", "amount")
+    return rows.join(t.project.select("project_id", "name"), "project_id").select("project_id", "name", "fiscal_year", "seq", "amount").orderBy("fiscal_year", "project_id", "seq")
 
 
 @query(f"""SELECT DISTINCT p.ministry, o.name AS ministry_name, l.law_id, l.title FROM expenditure e JOIN project p ON e.project_id = p.project_id
@@ -64,7 +66,7 @@ def cq05_ministry_of_basis_law(t: Harness) -> DataFrame:
 
 @query("SELECT project_id, category, count(*) AS n FROM expenditure GROUP BY project_id, category")
 def cq06_unresolved_recipients_per_project(t: Harness) -> DataFrame:
-    return t.expenditure.groupBy("project_id", "category").agg(F.count("*").alias("n"))
+    return t.expenditure.groupBy("project_id", "category").agg(F.count("*").alias("n")).orderBy("project_id", "category")
 
 
 @query("SELECT DISTINCT r.g, v.source_name, v.generated_on FROM revision r JOIN provenance v ON r.g = v.g WHERE r.law_id = 'L11'")
@@ -91,7 +93,7 @@ def cq09_jurisdiction_resolution_status(t: Harness) -> DataFrame:
 
 @query("SELECT source_name, generated_on AS as_of, CASE WHEN recorded_on IS NOT NULL THEN '記録日' ELSE '取得日' END AS date_kind FROM provenance")
 def cq10_release_freshness(t: Harness) -> DataFrame:
-    return t.provenance.select("source_name", F.col("generated_on").alias("as_of"), F.when(F.col("recorded_on").isNotNull(), "記録日").otherwise("取得日").alias("date_kind"))
+    return t.provenance.select("source_name", F.col("generated_on").alias("as_of"), F.when(F.col("recorded_on").isNotNull(), "記録日").otherwise("取得日").alias("date_kind")).orderBy("source_name")
 
 
 @query("""SELECT j.law_id, j.organ, o.name AS organ_name, CASE WHEN s.name IS NOT NULL THEN o.successor END AS successor, s.name AS successor_name
@@ -106,7 +108,7 @@ def cq11_succession_of_abolished(t: Harness) -> DataFrame:
 def cq12_government_paid_total(t: Harness) -> DataFrame:
     """What the government itself pays out: entry blocks and indirect costs."""
     items = t.block.where("paid").select("fiscal_year", "amount").unionByName(t.indirect.select("fiscal_year", "amount"))
-    return items.groupBy("fiscal_year").agg(F.sum("amount").alias("government_paid"), F.count("*").alias("items"))
+    return items.groupBy("fiscal_year").agg(F.sum("amount").alias("government_paid"), F.count("*").alias("items")).orderBy("fiscal_year")
 
 
 @query("""SELECT b.project_id, p.name, b.block_id, b.block_name, b.paid, b.amount, f.source_id, s.block_name AS source_name FROM block b JOIN funding f ON b.project_id = f.project_id AND b.block_id = f.block_id
@@ -116,7 +118,8 @@ def cq13_money_through_stages(t: Harness) -> DataFrame:
     sources = t.block.select("project_id", F.col("block_id").alias("source_id"), F.col("block_name").alias("source_name"))
     passed = t.block.join(t.funding, ["project_id", "block_id"]).join(sources, ["project_id", "source_id"])
     top = passed.orderBy(F.desc("amount"), "project_id", "block_id", "source_id").limit(20)
-    return top.join(t.project.select("project_id", "name"), "project_id").select("project_id", "name", "block_id", "block_name", "paid", "amount", "source_id", "source_name")
+    rows = top.join(t.project.select("project_id", "name"), "project_id").select("project_id", "name", "block_id", "block_name", "paid", "amount", "source_id", "source_name")
+    return rows.orderBy(F.desc("amount"), "project_id", "block_id", "source_id")
 
 
 @query("""SELECT sheet_year, budget_year, CAST(sum(initial) AS BIGINT) AS initial, CAST(sum(supplementary) AS BIGINT) AS supplementary, CAST(sum(carried_in) AS BIGINT) AS carried_in, CAST(sum(reserve) AS BIGINT) AS reserve,
@@ -124,7 +127,7 @@ CAST(sum(available) AS BIGINT) AS available, CAST(sum(executed) AS BIGINT) AS ex
 def cq14_budget_and_execution(t: Harness) -> DataFrame:
     """Sums of all measures; a project with a missing one isn't in any of them."""
     measures = ["initial", "supplementary", "carried_in", "reserve", "available", "executed"]
-    return t.annual.dropna(subset=measures).groupBy("sheet_year", "budget_year").agg(*[F.sum(m).alias(m) for m in measures], F.count("*").alias("projects"))
+    return t.annual.dropna(subset=measures).groupBy("sheet_year", "budget_year").agg(*[F.sum(m).alias(m) for m in measures], F.count("*").alias("projects")).orderBy("sheet_year", "budget_year")
 
 
 @query("""SELECT p.ministry, o.name, p.fiscal_year, CAST(sum(p.budget_amount) AS BIGINT) AS total_budget, count(DISTINCT p.project_id) AS projects
@@ -140,7 +143,7 @@ def cq15_ministry_budget_ranking(t: Harness) -> DataFrame:
 def cq16_request_vs_initial(t: Harness) -> DataFrame:
     """Requests beside initial budgets of one year; the two aren't paired by project, see cq20."""
     rows = t.annual.dropna(subset=["next_request", "initial"])
-    return rows.groupBy("budget_year").agg(F.sum("next_request").alias("requested"), F.sum("initial").alias("initial"), F.count("*").alias("records"))
+    return rows.groupBy("budget_year").agg(F.sum("next_request").alias("requested"), F.sum("initial").alias("initial"), F.count("*").alias("records")).orderBy("budget_year")
 
 
 @query("SELECT category, CAST(sum(amount) AS BIGINT) AS total_amount, count(*) AS expenditures FROM expenditure GROUP BY category")
@@ -152,9 +155,6 @@ def cq17_recipient_identification(t: Harness) -> DataFrame:
 UNION ALL SELECT 'Law', count(*) FROM law UNION ALL SELECT 'BudgetProject', count(*) FROM project""")
 def cq18_kg_scale(t: Harness) -> DataFrame:
     """Instances by type over the set union of graphs: organs are in two graphs and count once."""
-    from ..functions import iri
-    from ..operators import quads as Q
-
     typed = lambda rows, key, kind, g: rows.select(F.col(key).cast("string").alias("s"), F.lit(Q.TYPE).alias("p"), F.lit(iri.term("core", kind)).alias("o"), F.lit(g).alias("g"))
     made = typed(t.organ, "corp_no", "Organ", "ministry").unionByName(typed(t.organ, "corp_no", "Organ", "corporation")).unionByName(typed(t.organ.where("abolished"), "corp_no", "AbolishedGovernmentOrgan", "succession"))
     made = made.unionByName(typed(t.organization, "corp_no", "Organization", "corporation")).unionByName(typed(t.law, "law_id", "Law", "law")).unionByName(typed(t.project, "project_id", "BudgetProject", "budget"))
@@ -165,7 +165,7 @@ def cq18_kg_scale(t: Harness) -> DataFrame:
 def cq19_naive_sum_vs_entry_only(t: Harness) -> DataFrame:
     """Adding all blocks counts money once for every stage; entry blocks alone don't."""
     entry = F.when(F.col("paid"), F.col("amount")).otherwise(F.lit(0).cast("bigint"))
-    return t.block.groupBy("fiscal_year").agg(F.sum("amount").alias("naive_sum"), F.sum(entry).alias("entry_only"), F.count("*").alias("blocks"))
+    return t.block.groupBy("fiscal_year").agg(F.sum("amount").alias("naive_sum"), F.sum(entry).alias("entry_only"), F.count("*").alias("blocks")).orderBy("fiscal_year")
 
 
 @query("""SELECT a.budget_year AS request_year, CAST(sum(a.next_request) AS BIGINT) AS requested_both, CAST(sum(b.initial) AS BIGINT) AS initial_both, count(*) AS projects_in_both, CAST(sum(CASE WHEN a.next_request = b.initial THEN 1 ELSE 0 END) AS BIGINT) AS exact_matches
@@ -175,7 +175,7 @@ def cq20_request_exactly_granted(t: Harness) -> DataFrame:
     asked = t.annual.where("next_request is not null").select("project_id", F.col("budget_year").alias("request_year"), (F.col("budget_year") + 1).alias("budget_year"), "next_request")
     both = asked.join(t.annual.select("project_id", "budget_year", "initial"), ["project_id", "budget_year"])
     exact = F.sum(F.when(F.col("next_request") == F.col("initial"), 1).otherwise(0))
-    return both.groupBy("request_year").agg(F.sum("next_request").alias("requested_both"), F.sum("initial").alias("initial_both"), F.count("*").alias("projects_in_both"), exact.alias("exact_matches"))
+    return both.groupBy("request_year").agg(F.sum("next_request").alias("requested_both"), F.sum("initial").alias("initial_both"), F.count("*").alias("projects_in_both"), exact.alias("exact_matches")).orderBy("request_year")
 
 
 @query("SELECT project_id, category, count(*) AS n FROM expenditure GROUP BY project_id, category")
@@ -188,7 +188,7 @@ def legacy_cq06_inferred_category(t: Harness) -> DataFrame:
     reference = e.where("l_suppkey % 7 <> 0 and block_id = 'R'").select(*keys, F.lit(True).alias("_reference"))
     rows = e.select(*keys).join(recipient, keys, "left").join(label, keys, "left").join(reference, keys, "left")
     category = F.when(F.col("_recipient"), "resolved").when(F.col("_reference"), "unresolved").when(F.col("_label"), "bundled").otherwise("sentinel_or_nonexistent_houjin_bangou")
-    return rows.groupBy("project_id", category.alias("category")).agg(F.count("*").alias("n"))
+    return rows.groupBy("project_id", category.alias("category")).agg(F.count("*").alias("n")).orderBy("project_id", "category")
 
 
 @query("SELECT corp_no, name, kind_code, prefecture, city FROM organization WHERE corp_no = '0000000001001'")
@@ -208,7 +208,7 @@ def p0_03_provenance_of_all_edges(t: Harness) -> DataFrame:
 
 @query("SELECT source_name, max(generated_on) AS last_on FROM provenance GROUP BY source_name")
 def p0_04_release_freshness(t: Harness) -> DataFrame:
-    return t.provenance.groupBy("source_name").agg(F.max("generated_on").alias("last_on"))
+    return t.provenance.groupBy("source_name").agg(F.max("generated_on").alias("last_on")).orderBy("source_name")
 
 
 @query("SELECT reason, count(*) AS n FROM unresolved GROUP BY reason")
@@ -220,3 +220,35 @@ def p0_05_unresolved_count(t: Harness) -> DataFrame:
 def p0_06_organizations_without_number(t: Harness) -> DataFrame:
     """Organizations that nothing refers to by number."""
     return t.organization.join(t.expenditure.select(F.col("recipient").alias("corp_no")), "corp_no", "left_anti").select("corp_no", "name")
+
+
+@query("""SELECT corp_no AS ministry, name, corp_no, CASE WHEN CAST(corp_no AS INTEGER) % 3 <> 0 THEN 'K' || CAST(CAST(corp_no AS INTEGER) AS VARCHAR) END AS ministry_code FROM organ WHERE name IS NOT NULL AND NOT abolished ORDER BY name""")
+def p0_02_ministries_by_name(t: Harness) -> DataFrame:
+    """Ministries by name with their numbers, and their codes where these are known: a ministry without a code stays."""
+    quads = _ministry_quads(t)
+    codes = quads.where(F.col("p") == iri.term("core", "ministryCode")).select("s", F.col("o").alias("ministry_code"))
+    numbers = quads.where(F.col("p") == iri.term("core", "corporateNumber")).select("s", F.col("o").alias("corp_no"))
+    named = Q.labels(quads).where("label is not null and not described").select("s", F.col("label").alias("name"))
+    rows = Q.specific_types(quads).where("type = 'Ministry'").join(named, "s").join(numbers, "s").join(codes, "s", "left")
+    return rows.select(F.col("s").alias("ministry"), "name", "corp_no", "ministry_code").orderBy("name")
+
+
+def _ministry_quads(t: Harness) -> DataFrame:
+    """Organs that aren't abolished as ministries; those whose key divides by three have no code."""
+    key = F.col("corp_no").cast("int")
+    code = F.when(key % 3 != 0, F.concat(F.lit("K"), key.cast("string")))
+    return Q.emit(t.organ.where("not abolished"), F.col("corp_no"), ["Ministry"], F.lit("ministry"), {"corporateNumber": F.col("corp_no"), "ministryCode": code}, label=F.col("name"))
+
+
+@query("SELECT corp_no AS s, kind FROM (SELECT corp_no, CASE WHEN kind_code = '101' THEN 'GovernmentOrgan' ELSE 'Organization' END AS kind FROM organization WHERE CAST(corp_no AS BIGINT) % 9 = 0 AND CAST(corp_no AS BIGINT) % 2 = 0)")
+def p0_06_without_corporate_number(t: Harness) -> DataFrame:
+    """Organizations of any class that no graph gives a number: the number of every ninth is left out of its own graph, and of these every other is in a second graph."""
+    key, kind = F.col("corp_no").cast("long"), F.when(F.col("kind_code") == "101", "GovernmentOrgan").otherwise("Organization")
+    number = F.struct(F.lit(iri.term("core", "corporateNumber")).alias("p"), F.col("corp_no").alias("o"))
+    typed = F.struct(F.lit(Q.TYPE).alias("p"), F.concat(F.lit(iri.term("core", "")), kind).alias("o"))
+    own = t.organization.select(F.col("corp_no").alias("s"), F.explode(F.array_compact(F.array(typed, F.when(key % 9 != 0, number)))).alias("q"), F.lit("register").alias("g"))
+    second = t.organization.where(key % 2 == 1).select(F.col("corp_no").alias("s"), number.alias("q"), F.lit("review").alias("g"))
+    quads = own.unionByName(second).select("s", "q.*", "g")
+    organizations = quads.where((F.col("p") == Q.TYPE) & F.col("o").isin(*[iri.term("core", k) for k in ("Organization", "GovernmentOrgan", "Ministry")]))
+    numbered = quads.where(F.col("p") == iri.term("core", "corporateNumber")).select("s")
+    return organizations.join(numbered, "s", "left_anti").select("s", iri.local_name(F.col("o")).alias("kind")).distinct()

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators import quads as Q
@@ -48,12 +49,16 @@ def overview(spark: SparkSession, sf_dir: str, questions: tuple[str, ...] = QUES
 
 @dataclass
 class Tools:
-    """Tools over entities(id, type, label), edges and provenance, with the graphs that their answers came from."""
+    """Tools over entities(id, type, label), edges and provenance, with the graphs that their answers came from.
+
+    quads, where they are given, hold what an entity's attributes are. An unknown id is an error, not an empty answer.
+    """
 
     entities: DataFrame
     edges: DataFrame
     provenance: DataFrame
     graphs: set[str] = field(default_factory=set)
+    quads: DataFrame | None = None
 
     def schemas(self) -> list[dict[str, Any]]:
         text, number = {"type": "string"}, {"type": "integer", "minimum": 1}
@@ -73,27 +78,46 @@ class Tools:
             return {"error": str(e)}
 
     def _search(self, q: str, limit: int = 20) -> dict[str, Any]:
-        rows = [r.asDict() for r in Q.search(self.entities, q, limit + 1 if limit < 100 else limit).collect()]
+        rows = [r.asDict() for r in Q.found(self.entities, q, limit).collect()]
         return {"hits": rows[:limit], "truncated": len(rows) > limit}
 
     def _entity(self, id: str) -> dict[str, Any]:
-        row = self.entities.where(self.entities["id"] == id).first()
-        if row is None:
-            raise ValueError(f"no such entity: {id}")
+        self._known(id)
+        row = self.entities.where(self.entities["id"] == id).orderBy("label").first()
         rows, groups = Q.relationships(self.edges.where((self.edges["src"] == id) | (self.edges["dst"] == id)), self.entities.selectExpr("id as s", "type"))
         own = [r.asDict() for r in rows.where(rows["id"] == id).collect()]
-        self.graphs |= {r["g"] for r in own}
-        return row.asDict() | {"relationships": own, "groups": {r["other_type"]: r["entities"] for r in groups.where(groups["id"] == id).collect()}}
+        said = Q.attributes(self.quads.where(self.quads["s"] == id)).orderBy("predicate", "value").collect() if self.quads is not None else []
+        attributes: dict[str, list[dict[str, Any]]] = {}
+        for r in said:
+            attributes.setdefault(r["predicate"], []).append({"value": r["value"], "lang": r["lang"], "graphs": r["graphs"]})
+        used = {r["g"] for r in own} | {g for r in said for g in r["graphs"]}
+        self.graphs |= used
+        others = self._described({r["other"] for r in own})
+        return row.asDict() | {"attributes": attributes, "relationships": [r | {"other_label": others[r["other"]]["label"]} for r in own], "graphs": {r["g"]: r for r in self._provenance(used)}, "groups": {r["other_type"]: r["entities"] for r in groups.where(groups["id"] == id).collect()}}
 
     def _neighborhood(self, id: str, depth: int = 1) -> dict[str, Any]:
-        found = graph.neighborhood(self.edges, id, depth)
-        self.graphs |= {e[3] for e in found.edges}
-        return vars(found)
+        self._known(id)
+        return self._hydrated(graph.neighborhood(self.edges, id, depth))
 
     def _path(self, start: str, goal: str, max_depth: int = 4) -> dict[str, Any]:
-        found = graph.find_path(self.edges, start, goal, max_depth)
-        self.graphs |= {e[3] for e in found.edges}
-        return vars(found)
+        self._known(start, goal)
+        return self._hydrated(graph.find_path(self.edges, start, goal, max_depth))
+
+    def _known(self, *ids: str) -> None:
+        have = {r["id"] for r in self.entities.where(self.entities["id"].isin(*ids)).select("id").distinct().collect()}
+        if missing := [i for i in ids if i not in have]:
+            raise ValueError(f"no such entity: {', '.join(missing)}")
+
+    def _described(self, ids: set[str]) -> dict[str, dict[str, Any]]:
+        """Type and label of each id, as many as a bounded answer has; an end that no graph gives a type is told as unknown."""
+        rows = self.entities.where(self.entities["id"].isin(*sorted(ids))).groupBy("id").agg(F.min(F.struct("label", "type")).alias("e")).collect() if ids else []
+        known = {r["id"]: {"type": r["e"]["type"], "label": r["e"]["label"]} for r in rows}
+        return {i: known.get(i, {"type": "unknown", "label": None}) for i in sorted(ids)}
+
+    def _hydrated(self, found: graph.Neighborhood | graph.Path) -> dict[str, Any]:
+        used = {e[3] for e in found.edges}
+        self.graphs |= used
+        return vars(found) | {"entities": self._described(set(found.nodes)), "graphs": {r["g"]: r for r in self._provenance(used)}}
 
     def _ontology(self) -> dict[str, Any]:
         from ..schema import REFERENCES, SUPERCLASSES
@@ -102,8 +126,10 @@ class Tools:
 
     def sources(self) -> list[dict[str, Any]]:
         """Where the answers so far came from; a graph without provenance is told as unavailable."""
-        spark = self.edges.sparkSession
-        if not self.graphs:
+        return self._provenance(self.graphs)
+
+    def _provenance(self, graphs: set[str]) -> list[dict[str, Any]]:
+        if not graphs:
             return []
-        used = spark.createDataFrame([(g,) for g in sorted(self.graphs)], "g string")
+        used = self.edges.sparkSession.createDataFrame([(g,) for g in sorted(graphs)], "g string")
         return [r.asDict() for r in Q.with_provenance(used, self.provenance).orderBy("g").collect()]

@@ -95,3 +95,28 @@ def test_tools(spark):
     assert tools.run("get_entity", {"id": "m"})["groups"] == {"Law": 1}
     assert "error" in tools.run("get_entity", {"id": "zz"}) and "error" in tools.run("nothing", {}) and "error" in tools.run("get_neighborhood", {"id": "l", "depth": 9})
     assert [(s["source_name"], s["available"]) for s in tools.sources()] == [("register", True)]
+
+
+def test_entity_detail_and_hydrated_answers(spark):
+    entities = spark.createDataFrame([("l", "Law", "Alpha"), ("m", "Ministry", "Beta")], "id string, type string, label string")
+    edges = spark.createDataFrame([("l", "m", "jurisdiction", "g1"), ("l", "x", "basisLaw", "g3")], "src string, dst string, predicate string, g string")
+    provenance = spark.createDataFrame([("g1", "register"), ("g2", "laws")], "g string, source_name string")
+    core = "http://d/def/core#"
+    quads = spark.createDataFrame([("l", core + "lawNum", "n", "literal", None, None, g) for g in ("g2", "g1")] + [("l", core + "jurisdiction", "m", "uri", None, None, "g1")], "s string, p string, o string, o_kind string, o_lang string, o_dt string, g string")
+    tools = overview.Tools(entities, edges, provenance, quads=quads)
+    got = tools.run("get_entity", {"id": "l"})
+    assert got["attributes"] == {"lawNum": [{"value": "n", "lang": None, "graphs": ["g1", "g2"]}]}
+    assert {g: r["available"] for g, r in got["graphs"].items()} == {"g1": True, "g2": True, "g3": False}
+    assert {r["other"]: r["other_label"] for r in got["relationships"]} == {"m": "Beta", "x": None}
+    near = tools.run("get_neighborhood", {"id": "l"})
+    assert near["entities"] == {"l": {"type": "Law", "label": "Alpha"}, "m": {"type": "Ministry", "label": "Beta"}, "x": {"type": "unknown", "label": None}}
+    assert tools.run("find_path", {"start": "m", "goal": "l"})["entities"]["m"]["label"] == "Beta"
+    assert tools.run("get_neighborhood", {"id": "zz"}) == {"error": "no such entity: zz"} and tools.run("find_path", {"start": "l", "goal": "zz"}) == {"error": "no such entity: zz"}
+
+
+def test_search_tells_of_more_at_every_limit(spark):
+    entities = spark.createDataFrame([(f"{i:03}", "Law", "same") for i in range(101)] + [("000", "Ministry", "zzz same")], "id string, type string, label string")
+    tools = overview.Tools(entities, spark.createDataFrame([], "src string, dst string, predicate string, g string"), spark.createDataFrame([], "g string, source_name string"))
+    full = tools.run("search_entities", {"q": "SAME", "limit": 100})
+    assert len(full["hits"]) == 100 and full["truncated"] and full["hits"][0] == {"id": "000", "label": "same", "type": "Law"}
+    assert "error" in tools.run("search_entities", {"q": "", "limit": 101})
