@@ -1,7 +1,7 @@
 """Documents as token sequences of a fixed size: exact-complement packing, then best fit.
 
-Tokens: each distinct string between white space is given to the tokenizer once per worker; only texts with characters
-outside a plain set, or with added tokens of the tokenizer, go to it whole.
+Tokens: each distinct string between white space is given to the tokenizer once per worker, without the mark that may follow its
+letters; only texts with characters outside a plain set, or with added tokens of the tokenizer, go to it whole.
 
 Packing: what fits together depends on lengths alone, so the plan is made from the number of pieces per
 length, at most one number per length from 1 to the size. Longest first, the gap that a piece leaves is filled by one,
@@ -25,8 +25,8 @@ from .shared import durable, map_batches, whole_text
 SIZE, END = 4096, 1
 #: Characters that the tokenizer's normaliser leaves alone but for case and white space; its words never hold white space.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
-#: Strings between white space whose ids a worker remembers.
-REMEMBERED = 700_000
+#: Strings between white space whose ids a worker remembers, twice: those of now, and those before, of which it takes what comes again.
+REMEMBERED = 350_000
 
 
 class Tokens:
@@ -37,11 +37,34 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.marks = {c: self._ids([c])[0] for c in ".,;:!?"}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of strings of letters: the tokenizer makes one word of each, and the last token of a word has its mark."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        whole = ids.tobytes()
+        stop = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        return [whole[i:j] for i, j in zip([0, *stop], stop)]
+
+    def _learn(self, new: set[str]) -> None:
+        if again := self.older.keys() & new:
+            self.known.update((w, self.older[w]) for w in again)
+            new = new - again
+        marked = {w for w in new if w[-1] in self.marks and w[:-1].isalpha()}
+        letters = {w for w in new if w.isalpha()}
+        if rest := list(new - marked - letters):
+            self.known.update(zip(rest, self._ids(rest)))
+        if words := list(letters | {w[:-1] for w in marked}.difference(self.known)):
+            self.known.update(zip(words, self._words(words)))
+        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1]]) for w in marked)
+
     def of(self, text: str) -> bytes:
         try:
             plain = not text.encode("latin-1").translate(None, _PLAIN)
@@ -51,15 +74,10 @@ class Tokens:
         if not plain or any(t in lower for t in self.added):  # added tokens may lie anywhere in a text
             return self._ids([text])[0]
         parts = lower.split()
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        new = list({w for w in parts if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({*parts})
-        self.known.update(zip(new, self._ids(new)))
+        if new := set(parts).difference(self.known):
+            if len(self.known) > REMEMBERED:
+                self.known, self.older, new = {}, self.known, set(parts)
+            self._learn(new)
         return b"".join(map(self.known.__getitem__, parts))
 
 

@@ -133,3 +133,13 @@ def test_added_tokens_are_those_of_the_untouched_tokenizer(spark):
     assert np.frombuffer(packing.Tokens(path).of(text), "<u4").tolist() == ids
     docs = spark.createDataFrame([(1, text, 3, 5)], "doc_id long, text string, length int, _part int")
     assert [(r["length"], r["ids_crc32"]) for r in packing.packed(docs, path).collect()] == [(len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))]
+
+
+@pytest.mark.parametrize("remembered", [packing.REMEMBERED, 20])
+def test_remembered_words_give_what_the_tokenizer_gives(monkeypatch, remembered):
+    """Letters with marks after them, digits, contractions, capitals, and words that come again after the memory was renewed."""
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    own, chance = packing.Tokens(public.path("word_bpe_49k.json")), random.Random(3)
+    for _ in range(2000):
+        text = "".join(chance.choices("abéßsSt'dlmre .,;:!?12ÿ\t\n\r\"-ÀÞ", k=chance.randrange(80)))
+        assert own.of(text) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
