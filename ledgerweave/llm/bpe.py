@@ -3,7 +3,7 @@
 Documents are dealt out to chunks of bounded size by a hash of their id and text. A chunk writes down its distinct words, which
 are dealt out by their hash, packed by bucket, so that each distinct word of the corpus meets one dictionary and is encoded once.
 The ids go back to the chunk, whose documents are split into words again, with positions, and put together by position.
-Both readings are of one shuffle of the texts, and what is written down does not depend on the order of rows, so
+Both readings are of one shuffle of the texts, compressed, and what is written down does not depend on the order of rows, so
 a part that is computed again after a lost executor gives the same. Decoding takes ids from the table of token bytes, whose size
 is fixed by the vocabulary: a join by id in each worker.
 """
@@ -102,6 +102,12 @@ def _unpacked(blob: bytes) -> list[bytes]:
     return [blob[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
+def _shrunk(batch: pa.RecordBatch) -> dict:
+    """Texts as they are shuffled: each compressed by itself."""
+    own = zstandard.ZstdCompressor(level=1)
+    return {"chunk": batch.column(0), "doc_id": batch.column(1), "text": [own.compress(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]}
+
+
 class _Numbers(dict):
     """The number of each word, by first occurrence."""
 
@@ -138,14 +144,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     plain = docs.select(named(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     size = plain.agg(F.sum(F.length("text") + F.lit(1))).first()[0] or 0
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // CHUNK)))).alias("chunk")
-    texts = plain.select(chunk, "doc_id", "text").repartition("chunk")
+    texts = map_batches(plain.select(chunk, "doc_id", "text"), _shrunk, "chunk long, doc_id long, text binary").repartition("chunk")
     buckets = min(max(BUCKETS[0], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), BUCKETS[1])
     columns = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary())])
 
     def dictionary(rows: pa.Table) -> pa.Table:
         found: set[str] = set()
         for text in rows["text"]:
-            found.update(words_of(text.as_py(), pattern))
+            found.update(words_of(_large(text.as_py()).decode(), pattern))
         raw = [*map(_raw, found)]
         del found
         dealt = _by_bucket(raw, buckets)
@@ -173,7 +179,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def together(rows: pa.Table, replies: pa.Table) -> pa.Table:
         width = _width(_vocabulary(ranks, pattern)[1])
         number = _Numbers()
-        codes = [np.fromiter(map(number.__getitem__, found), np.uint32, len(found)) for found in (words_of(t.as_py(), pattern) for t in rows["text"])]
+        codes = [np.fromiter(map(number.__getitem__, found), np.uint32, len(found)) for found in (words_of(_large(t.as_py()).decode(), pattern) for t in rows["text"])]
         raw = [*map(_raw, number)]
         del number
         ids: list[bytes] = [b""] * len(raw)
