@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, packing, pii, repeats, sharding, simhash, toxicity, vectors
+from . import bpe, licences, packing, pii, recompression, repeats, sharding, simhash, toxicity, vectors
 from .shared import table
 
 
@@ -65,9 +65,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op13_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompression.passages_removed(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_pii, op3_pivot_distance_top_k, op4_stable_projection_ann, op5_byte_level_bpe, op6_license_scan, op7_best_fit_packing, op8_suffix_array_dedup, op9_lookup_table_sharding, op10_toxicity)
+    for f in (op1_simhash_near_dedup, op2_pii, op3_pivot_distance_top_k, op4_stable_projection_ann, op5_byte_level_bpe, op6_license_scan, op7_best_fit_packing, op8_suffix_array_dedup, op9_lookup_table_sharding, op10_toxicity, op13_substring_recompression)
 }
 
 def _placement_sql() -> str:
@@ -85,4 +90,12 @@ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NU
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, x.e) DESC, x.vec_id) AS rank FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id) WHERE rank <= 10""",
     "op9_lookup_table_sharding": _placement_sql(),
+    "op13_substring_recompression": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS word,
+  generate_subscripts(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''), 1) AS pos FROM documents),
+s AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS passage,
+  pos + 19 <= max(pos) OVER (PARTITION BY doc_id) AS whole FROM w),
+r AS (SELECT doc_id, word, pos, whole AND row_number() OVER (PARTITION BY passage, whole ORDER BY doc_id, pos) > 1 AS later FROM s),
+c AS (SELECT doc_id, word, pos, coalesce(max(CASE WHEN later THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) > pos - 20, false) AS gone FROM r)
+SELECT d.doc_id, count(c.pos) AS n_words, count(c.pos) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
 }

@@ -71,10 +71,15 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables in the shared folder, compressed, for what is read again within one computation and deleted before it ends."""
+    """Tables in the shared folder, compressed, for what is read again within one computation and deleted before it ends.
 
-    def __init__(self, spark: SparkSession):
+    Lasting ones are read by the result, whenever that is, and deleted when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession, lasting: bool = False):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid4().hex}"
+        if lasting:
+            remove_folder(spark, self.folder, at_exit=True)
 
     def __enter__(self) -> Scratch:
         return self
