@@ -1,4 +1,7 @@
-"""Small files that are put in place at once: a pointer that is replaced, an exclusive file that only one writer can make.
+"""Small files that are there at once or not at all: a pointer that moves on, an exclusive file that only one writer can make.
+
+A pointer is a folder of numbered files, of which the last one counts. Moving it writes a file apart and renames it to the next number, so a
+reader finds the old one or the new one at any time, on stores too where putting one file in place of another leaves a gap.
 
 They go through the Hadoop file system of their path, so they lie beside what Spark writes.
 """
@@ -63,18 +66,27 @@ def create(spark: SparkSession, path: str, text: str) -> None:
         raise
 
 
-def replace(spark: SparkSession, path: str, text: str) -> None:
-    """Puts a file in place of the one that is there, so that a reader sees the old or the new one, and never none."""
-    jvm, new = spark._jvm, f"{path}.{uuid4().hex}"
-    _write(spark, new, text, False)
-    files = jvm.org.apache.hadoop.fs
-    source, target = files.Path(new), files.Path(path)
-    options = spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 1)
-    options[0] = getattr(files, "Options$Rename").OVERWRITE
-    context = files.FileContext.getFileContext(source.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
-    context.rename(source, target, options)
-
-
-def read_json(spark: SparkSession, path: str) -> dict | None:
-    text = read(spark, path)
-    return None if text is None else json.loads(text)
+def advance(spark: SparkSession, folder: str, value: dict, keep: int = 10) -> None:
+    """Moves a pointer to value. Of two writers at once one is refused with FileExistsError; the last keep values stay."""
+    fs, at = _path(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = _numbers(spark, folder)
+    apart, number = path(f"{folder}/.{uuid4().hex}"), there[-1] + 1 if there else 0
+    _write(spark, apart.toString(), json.dumps(value), False)
+    if fs.exists(path(f"{folder}/{number:012d}")) or not fs.rename(apart, path(f"{folder}/{number:012d}")):
+        fs.delete(apart, False)
+        raise FileExistsError(f"{folder}/{number:012d}")
+    for old in there[: -keep + 1 or None] if keep > 1 else there:
+        fs.delete(path(f"{folder}/{old:012d}"), False)
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n) for n in names(spark, folder) if n.isdigit())
+
+
+def latest(spark: SparkSession, folder: str) -> dict | None:
+    """The value that a pointer is at; None if it was never moved."""
+    while there := _numbers(spark, folder):
+        if (text := read(spark, f"{folder}/{there[-1]:012d}")) is not None:
+            return json.loads(text)
+    return None

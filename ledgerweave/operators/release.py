@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import TABLES
+from . import pointer
 from .quads import line
 
 
@@ -72,27 +76,40 @@ def multi_valued(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_distinct(value).alias("n_values"), F.count("*").alias("n_rows")).where("n_values > 1")
 
 
-def _files(spark, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def stage(quads: DataFrame, declared: DataFrame, root: str) -> None:
-    """Checks quads against their manifest, then puts them in place: incoming is written, current becomes previous, incoming becomes current.
+def stage(quads: DataFrame, declared: DataFrame, root: str, keep: int = 2) -> str:
+    """Checks quads against their manifest, writes them as a version of their own, and then points to it; returns the version's name.
 
-    Anything wrong raises before current is touched. Renames go through the file system of root, so any that Spark writes to will do.
+    Readers follow the pointer, which moves at once, so there is always a release to read; anything wrong raises before it moves. The
+    last keep versions stay for readers that are at them and for rollback.
     """
     spark = quads.sparkSession
     if not verify(quads, declared).isEmpty():
         raise ValueError("the quads aren't what the manifest declares")
-    names = {n: _files(spark, f"{root}/{n}") for n in ("incoming", "current", "previous")}
-    fs = names["incoming"][0]
-    fs.delete(names["incoming"][1], True)
-    replace_graphs(quads, f"{root}/incoming")
-    if fs.exists(names["current"][1]):
-        fs.delete(names["previous"][1], True)
-        fs.rename(names["current"][1], names["previous"][1])
-    fs.rename(names["incoming"][1], names["current"][1])
+    before = pointer.latest(spark, f"{root}/release") or {"now": None, "before": []}
+    version = uuid4().hex
+    replace_graphs(quads, f"{root}/versions/{version}")
+    past = [*([before["now"]] if before["now"] else []), *before["before"]]
+    pointer.advance(spark, f"{root}/release", {"now": version, "before": past})
+    for old in past[keep - 1 :]:
+        pointer.remove(spark, f"{root}/versions/{old}")
+    return version
+
+
+def served(spark: SparkSession, root: str) -> DataFrame:
+    """The quads of the release that the pointer names."""
+    now = pointer.latest(spark, f"{root}/release")
+    if now is None:
+        raise FileNotFoundError(f"no release at {root}")
+    return spark.read.schema(TABLES["quads"]).parquet(f"{root}/versions/{now['now']}")
+
+
+def rollback(spark: SparkSession, root: str) -> str:
+    """Points to the version before, by one write; raises if there is none any more."""
+    now = pointer.latest(spark, f"{root}/release")
+    if not now or not now["before"] or not pointer.exists(spark, f"{root}/versions/{now['before'][0]}"):
+        raise FileNotFoundError(f"no earlier release at {root}")
+    pointer.advance(spark, f"{root}/release", {"now": now["before"][0], "before": now["before"][1:]})
+    return now["before"][0]
 
 
 def publish(quads: DataFrame, folder: str) -> None:

@@ -2,14 +2,12 @@
 
 A delivery is a folder of quads, then a row for each of its graphs that says how many there are. The stream reads both. However many batches a
 graph's rows come in, they lie beside the graph's earlier versions, and a version becomes the current one when it is whole: when as many rows came as
-were declared. What is current is a table of its own for each batch, and a pointer that is replaced at once names the last one; so a reader never sees
+were declared. What is current is a table of its own for each batch, and a pointer that moves at once names the last one; so a reader never sees
 part of a graph, a batch that is run again writes the same, and a stream that was stopped anywhere goes on.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -47,7 +45,7 @@ def _keep(batch: DataFrame, number: int, path: str) -> None:
     batch = batch.withColumn("batch", F.lit(number))
     rows = batch.where("n is null").drop("n")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("g", "delivery", "batch").parquet(f"{path}/rows")
-    last = pointer.read_json(spark, f"{path}/current") or {"now": None, "before": None}
+    last = pointer.latest(spark, f"{path}/current") or {"now": None, "before": None}
     before = last["before"] if last["now"] == number else last["now"]  # a batch that is run again begins where it began
     state = spark.createDataFrame([], _STATE) if before is None else spark.read.schema(_STATE).parquet(f"{path}/versions/{before}")
     came = batch.groupBy("g", "delivery").agg(F.count(F.when(F.col("n").isNull(), 1)).alias("n"), F.max("n").alias("declared"))
@@ -55,14 +53,14 @@ def _keep(batch: DataFrame, number: int, path: str) -> None:
     whole = state.where("n = declared").groupBy("g").agg(F.max("delivery").alias("newest"))
     state = state.join(whole, "g", "left").where("newest is null or delivery >= newest").drop("newest")
     state.write.mode("overwrite").parquet(f"{path}/versions/{number}")
-    pointer.replace(spark, f"{path}/current", json.dumps({"now": number, "before": before}))
+    pointer.advance(spark, f"{path}/current", {"now": number, "before": before})
     if before is not None and last["before"] not in (None, before):
         pointer.remove(spark, f"{path}/versions/{last['before']}")
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """(g, delivery) of the current version of each graph."""
-    now = (pointer.read_json(spark, f"{path}/current") or {}).get("now")
+    now = (pointer.latest(spark, f"{path}/current") or {}).get("now")
     state = spark.createDataFrame([], _STATE) if now is None else spark.read.schema(_STATE).parquet(f"{path}/versions/{now}")
     return state.where("n = declared").groupBy("g").agg(F.max("delivery").alias("delivery"))
 
@@ -76,7 +74,7 @@ def read_graphs(spark: SparkSession, path: str) -> DataFrame:
 
 def waiting(spark: SparkSession, path: str) -> DataFrame:
     """(g, delivery, n, declared) of versions of which rows, or what declares them, have not come yet."""
-    now = (pointer.read_json(spark, f"{path}/current") or {}).get("now")
+    now = (pointer.latest(spark, f"{path}/current") or {}).get("now")
     state = spark.createDataFrame([], _STATE) if now is None else spark.read.schema(_STATE).parquet(f"{path}/versions/{now}")
     return state.where("not (n <=> declared)")
 

@@ -102,11 +102,39 @@ def test_release_is_staged_only_if_intact(spark, inputs, tmp_path):
     with pytest.raises(ValueError, match="declares"):
         release.stage(less, declared, root)
     release.stage(less, release.manifest(less), root)
-    assert spark.read.parquet(f"{root}/current").select("g").distinct().count() == 3 and spark.read.parquet(f"{root}/previous").select("g").distinct().count() == 4
+    graphs = lambda: release.served(spark, root).select("g").distinct().count()
+    assert graphs() == 3
+    release.rollback(spark, root)
+    assert graphs() == 4
+    with pytest.raises(FileNotFoundError):
+        release.rollback(spark, root)
     release.publish(made.quads, str(tmp_path / "published"))
     assert release.published_is_intact(spark, str(tmp_path / "published"))
 
 
+def test_a_reader_never_fails_while_releases_are_swapped(spark, tmp_path):
+    import threading
+
+    root, schema = str(tmp_path / "served"), "s string, p string, o string, o_kind string, o_lang string, o_dt string, g string"
+    first, second = (spark.createDataFrame([(f"s{n}", "p", "o", "uri", None, None, f"g{n}")] * n, schema).distinct() for n in (1, 2))
+    release.stage(first, release.manifest(first), root)
+    seen, over = [], threading.Event()
+
+    def read():
+        while not over.is_set():
+            seen.append([r["g"] for r in release.served(spark, root).collect()])
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for quads in (second, first, second):
+        release.stage(quads, release.manifest(quads), root, keep=3)
+    release.rollback(spark, root)
+    over.set()
+    reader.join()
+    assert seen and all(x in (["g1"], ["g2"]) for x in seen)
+    assert [r["g"] for r in release.served(spark, root).collect()] == ["g1"]
+
+
 def test_guards(spark, inputs):
     import dataclasses
 

@@ -56,7 +56,7 @@ def test_a_graph_is_seen_only_when_it_is_whole(spark, folders):
 def test_a_stream_that_is_stopped_in_a_batch_loses_and_doubles_nothing(spark, folders, monkeypatch, after):
     rows = [(f"s{k}", "g") for k in range(8)]
     ingest.deliver(quads(spark, rows).repartition(4), folders[0], "1")
-    keep, replace = ingest._keep, ingest.pointer.replace
+    keep, advance = ingest._keep, ingest.pointer.advance
 
     def broken(batch, number, path):
         if number != 2:
@@ -64,7 +64,7 @@ def test_a_stream_that_is_stopped_in_a_batch_loses_and_doubles_nothing(spark, fo
         if after == "pointer":
             keep(batch, number, path)
             raise RuntimeError("stopped")
-        target, name = (ingest.pointer, "read_json") if after == "rows" else (ingest.pointer, "replace")
+        target, name = (ingest.pointer, "latest") if after == "rows" else (ingest.pointer, "advance")
 
         def stop(*_):
             raise RuntimeError("stopped")
@@ -77,7 +77,7 @@ def test_a_stream_that_is_stopped_in_a_batch_loses_and_doubles_nothing(spark, fo
     with pytest.raises(StreamingQueryException):
         run(spark, *folders, files=1)
     monkeypatch.setattr(ingest, "_keep", keep)
-    assert ingest.pointer.replace is replace
+    assert ingest.pointer.advance is advance
     assert run(spark, *folders, files=1) == rows
     assert len(os.listdir(f"{folders[1]}/versions")) <= 3
 
