@@ -1,7 +1,7 @@
 """The build: source files to typed tables, quads, checks, and a release that passes the gate.
 
-Tables are DataFrames throughout. The actions are the write of the quads, which everything after reads, one count for each check and the
-report, which is written before the gate decides.
+Tables are DataFrames throughout. The actions are the writes of the tables, whose jobs count what the report tells of them, the writes of the quads
+before and after the checks, one count for each check and the report, which is written before the gate decides.
 """
 
 from __future__ import annotations
@@ -10,19 +10,24 @@ import json
 from dataclasses import dataclass, field
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import iri
 from ..functions import text as T
 from ..operators import quads as Q
-from ..operators import records, release, resolve, validate
-from ..schema import TABLES
+from ..operators import pointer, records, release, resolve, validate
+from ..schema import MATCH_CATEGORIES, SENTINELS, TABLES, UNRESOLVED_REASONS
 from ..sources import readers, succession
 from ..sources.registry import SOURCES
 
 #: Sources that have a graph in a release, and the graph that says where these come from.
 GRAPHS = ("houjin-bangou", "egov-law", "egov-law-data", "rs-system", "ministry-codes")
+#: What each graph is made from, itself first: a change in any of them makes it anew.
+NEEDS = {
+    "houjin-bangou": ("houjin-bangou", "rs-system", "ministry-codes"), "ministry-codes": ("ministry-codes", "houjin-bangou"), "egov-law-data": ("egov-law-data", "ministry-codes", "houjin-bangou"),
+    "egov-law": ("egov-law", "egov-law-data", "ministry-codes", "houjin-bangou"), "rs-system": ("rs-system", "egov-law", "egov-law-data", "ministry-codes", "houjin-bangou"),
+}
 PROVENANCE = f"{iri.BASE}/graph/provenance"
 #: Columns of annual budgets and their predicates.
 MEASURES = {
@@ -96,6 +101,7 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     of_spine = lambda rows: rows.drop("fiscal_year").join(year, "project_id")
     cited = of_spine(readers.review(spark, inputs.law_citations, "law"))
     laws_cited = resolve.basis_laws(cited, out["law"])
+    out["basis_law_citation"] = laws_cited.select("project_id", "law_id", "law_title", "resolved", "method", "reason", "key")
     basis = laws_cited.where("resolved is not null").groupBy("project_id").agg(F.array_sort(F.collect_set("resolved")).alias("basis_law"))
     budget = of_spine(readers.review(spark, inputs.budget, "budget"))
     aggregate = records.aggregate_budget_rows(budget, keys)
@@ -108,7 +114,7 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     payees = of_spine(readers.review(spark, inputs.payees, "payee"))
     lines = records.expenditures(payees)
     found = resolve.recipients(lines, register)
-    out["expenditure"] = found.join(year, "project_id").select(F.col("fiscal_year").cast("int").alias("fiscal_year"), "project_id", "seq", F.col("payee").alias("label"), "amount", "recipient", F.col("category").alias("recipient_match_category"), F.when(F.col("category") == "bundled", F.col("payee")).alias("payee_label"), "role", F.nullif(F.col("block_id"), F.lit("")).alias("block_id"), "reason")
+    out["expenditure"] = found.join(year, "project_id").select(F.col("fiscal_year").cast("int").alias("fiscal_year"), "project_id", "seq", F.col("payee").alias("label"), "amount", "recipient", F.col("category").alias("recipient_match_category"), F.when(F.col("category") == "bundled", F.col("payee")).alias("payee_label"), "role", F.nullif(F.col("block_id"), F.lit("")).alias("block_id"), "reason", "method", F.col("corp_no").alias("given_number"))
     if inputs.connections:
         joined = of_spine(readers.review(spark, inputs.connections, "connection"))
         kinds = records.connection_kinds(joined)
@@ -174,43 +180,140 @@ def quads_of(t: dict[str, DataFrame], date: str) -> DataFrame:
     return made.unionByName(Q.emit(u, F.col("iri"), ["UnresolvedReference"], money, {"text": F.col("text"), "reason": F.col("reason")}, {"unresolvedFor": F.col("unresolved_for")}))
 
 
-def counters(t: dict[str, DataFrame]) -> dict[str, int]:
-    """What the report tells of how names were resolved: outcomes by step and reason, each by one aggregation."""
-    by = [("expenditure", "recipient_match_category", "recipient"), ("unresolved_reference", "reason", "unresolved"), ("unmatched_ministry", "reason", "ministry")]
-    by += [("jurisdiction_ladder", "outcome", "jurisdiction")] * ("jurisdiction_ladder" in t)
-    out = {f"{head}_{str(r['k']).lower()}": r["n"] for table, c, head in by for r in t[table].groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")).collect()}
-    projects = records.counters(t["budget_project"], projects_with_ministry=F.col("ministry").isNotNull(), projects_with_amount=F.col("budget_amount").isNotNull(), projects_with_law=F.size("basis_law") > 0)
-    blocks = records.counters(t["expenditure_block"], blocks_paid_by_government=F.col("paid_by_government"), blocks_funded_by_blocks=F.size("funded_by") > 0)
-    return out | projects.first().asDict() | blocks.first().asDict()
+def _named(prefix: str, column: str, values: tuple[str, ...]) -> dict[str, Column]:
+    return {f"{prefix}_{v.lower()}": F.col(column) == v for v in values}
+
+
+def _counters() -> dict[str, dict[str, Column]]:
+    """What the report counts of each table, besides its rows."""
+    has = lambda c: F.col(c).isNotNull()
+    category, number = F.col("recipient_match_category"), F.col("given_number")
+    untried = category == "sentinel_or_nonexistent_houjin_bangou"
+    outcomes = ("resolved", "AMBIGUOUS", "resolved_abolished", "OLD_MINISTRY", "OBSOLETE_ORGANIZATION", "NO_CANDIDATE", "EXTRACTION_FAILED")
+    return {
+        "organization": {"government_organs": F.col("kind_code") == "101", "organizations_without_name": F.coalesce("name", F.lit("")) == "", "organizations_without_place": F.coalesce("prefecture", F.lit("")) == ""},
+        "ministry": {"ministries_with_code": F.coalesce("ministry_code", F.lit("")) != ""},
+        "unmatched_ministry": _named("ministry", "reason", ("AMBIGUOUS", "NO_CANDIDATE")),
+        "abolished_organ": {"abolished_organs_with_successor": F.size("succeeded_by") > 0},
+        "law": {"laws_with_jurisdiction": F.size("jurisdiction") > 0, "laws_with_abolished_jurisdiction": F.size("abolished_jurisdiction") > 0, "laws_without_number": F.coalesce("law_num", F.lit("")) == ""},
+        "jurisdiction_ladder": _named("jurisdiction", "outcome", outcomes),
+        "law_revision": {"revisions_without_amendment": F.coalesce("amendment_law_num", F.lit("")) == ""},
+        "basis_law_citation": {"basis_law_resolved": has("resolved"), **_named("basis_law_by", "method", ("law_id", "title_raw", "title_stripped")), **_named("basis_law", "reason", ("AMBIGUOUS", "NO_CANDIDATE")), "basis_law_out_of_scope": F.col("resolved").isNull() & F.col("reason").isNull()},
+        "budget_project": {"projects_with_ministry": has("ministry"), "projects_without_ministry": F.col("ministry").isNull(), "projects_with_amount": has("budget_amount"), "projects_without_amount": F.col("budget_amount").isNull(), "projects_with_law": F.size("basis_law") > 0},
+        "annual_budget": {"annual_budgets_with_initial": has("initial"), "annual_budgets_executed": has("executed"), "annual_budgets_of_own_year": F.col("fiscal_year") == F.col("budget_fiscal_year"), "annual_budgets_with_request": has("next_year_request")},
+        "expenditure": {**_named("recipient", "recipient_match_category", MATCH_CATEGORIES), "recipient_sentinel": untried & number.isin(*SENTINELS), "recipient_nonexistent_number": untried & ~number.isin(*SENTINELS), **_named("recipient_by", "method", ("houjin_bangou", "name")), **_named("recipient", "reason", ("AMBIGUOUS", "NO_CANDIDATE")), "expenditures_without_block": F.col("block_id").isNull(), "expenditures_without_amount": F.col("amount").isNull()},
+        "expenditure_block": {"blocks_paid_by_government": F.col("paid_by_government"), "blocks_funded_by_blocks": F.size("funded_by") > 0, "blocks_without_amount": F.col("amount").isNull()},
+        "indirect_cost": {"indirect_costs_without_item": F.coalesce("item", F.lit("")) == ""},
+        "unresolved_reference": _named("unresolved", "reason", UNRESOLVED_REASONS),
+    }
 
 
-def provenance_of(quads: DataFrame, inputs: Inputs) -> DataFrame:
-    """Quads that say of each graph where it comes from, in a graph of their own."""
+def _write_counted(rows: DataFrame, name: str, path: str) -> dict[str, int]:
+    """Writes a table; its counters are observed by the job that writes it."""
+    seen = Observation()
+    wanted = {"rows": F.lit(True), **_counters().get(name, {})}
+    rows.observe(seen, *[F.count(F.when(c, 1)).alias(n) for n, c in wanted.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def provenance_of(quads: DataFrame, inputs: Inputs, dates: dict[str, str] | None = None) -> DataFrame:
+    """Quads that say of each graph where it comes from, in a graph of their own. dates has those of graphs of an earlier release."""
     spark = quads.sparkSession
-    rows = spark.createDataFrame([(s, SOURCES[s].name, SOURCES[s].licence, inputs.date, inputs.recorded.get(s)) for s in GRAPHS], "source string, name string, licence string, generated_on string, recorded_on string")
+    dates = dict.fromkeys(GRAPHS, inputs.date) | (dates or {})
+    rows = spark.createDataFrame([(s, SOURCES[s].name, SOURCES[s].licence, dates[s], inputs.recorded.get(s)) for s in GRAPHS], "source string, name string, licence string, generated_on string, recorded_on string")
     rows = rows.withColumn("g", iri.graph(F.col("source"), F.col("generated_on").cast("date"))).join(quads.select("g").distinct(), "g", "left_semi")
     values = {"sourceName": F.col("name"), "license": F.col("licence"), "generatedOn": F.col("generated_on"), "recordedOn": F.col("recorded_on")}
     return Q.emit(rows, F.col("g"), ["GraphProvenance"], F.lit(PROVENANCE), values)
 
 
-def build(spark: SparkSession, inputs: Inputs, out: str, allow_partial: bool = False) -> Built:
+# Carry-over: a graph whose source, and all that it depends on, are as they were in an earlier release is taken from there.
+
+
+def _files(inputs: Inputs) -> dict[str, list[str]]:
+    """The files of each source."""
+    by = {"houjin-bangou": [inputs.corporations], "ministry-codes": [inputs.ministries], "egov-law": [inputs.laws], "egov-law-data": [inputs.old_ministries, inputs.succession], "rs-system": [inputs.summary, inputs.budget, inputs.law_citations, inputs.payees, inputs.connections]}
+    return {source: [f for f in files if f] for source, files in by.items()}
+
+
+def digests(spark: SparkSession, inputs: Inputs) -> dict[str, list[str]]:
+    """SHA-256 of the content of each source's files, taken where they are read; a file is one value, so it must be under 2 GB."""
+    files = _files(inputs)
+    rows = spark.read.format("binaryFile").load(sorted({f for x in files.values() for f in x})).select(F.col("path"), F.sha2("content", 256).alias("sha256")).collect()
+    return {source: sorted(r["sha256"] for r in rows if any(r["path"].split(":", 1)[-1].lstrip("/").startswith(f.split(":", 1)[-1].lstrip("/")) for f in own)) for source, own in files.items()}
+
+
+def _address(spark: SparkSession, source: str, date: str) -> str:
+    return spark.range(1).select(iri.graph(F.lit(source), F.lit(date).cast("date"))).first()[0]
+
+
+def shipped(spark: SparkSession, folder: str) -> dict:
+    """What a build that passed its gate says of itself: the date and the digests of each source, and what it was asked to do."""
+    said = pointer.latest(spark, f"{folder}/shipped")
+    if said is None:
+        raise FileNotFoundError(f"{folder} was never shipped: no build there passed its gate")
+    return said
+
+
+def carried(spark: SparkSession, inputs: Inputs, now: dict[str, list[str]], previous: str) -> dict[str, tuple[str, str]]:
+    """(date, graph) by source of what may be taken from the release at previous. That it isn't what its manifest declares raises.
+
+    A graph is taken if its source and all that it depends on have the same files, the release has it, and it still has no violation of a
+    shape: carrying over spares building a graph, not checking it.
+    """
+    said = shipped(spark, previous)
+    quads = spark.read.parquet(f"{previous}/quads")
+    declared = spark.read.parquet(f"{previous}/manifest")
+    if not release.verify(quads, declared).isEmpty():
+        raise ValueError(f"the quads of {previous} aren't what its manifest declares")
+    if said["options"] != _options(inputs):
+        return {}
+    graphs = {_address(spark, s, d): (s, d) for s, d in said["dates"].items()}
+    there = {r["g"] for r in declared.select("g").collect()}  # a row for each graph of a release
+    files = "source string, date string, sha256 array<string>"
+    rows = release.carried_over(
+        spark.createDataFrame([(s, None, x) for s, x in now.items() if x], files).drop("date"), spark.createDataFrame([(s, said["dates"][s], x) for s, x in said["sha256"].items()], files).withColumn("date", F.col("date").cast("date")),
+        spark.createDataFrame([(s, n) for s, needed in NEEDS.items() for n in needed if now[n] or said["sha256"].get(n)], "source string, needed string"), spark.createDataFrame([(s, g in there) for g, (s, _) in graphs.items()], "source string, intact boolean"),
+    )
+    alike = {r["source"] for r in rows.where("carried").collect()}
+    wanted = {g: (s, d) for g, (s, d) in graphs.items() if s in alike}
+    wrong = {r["g"] for r in validate.violations(quads.where(F.col("g").isin(*wanted))).select("g").distinct().collect()} if wanted else set()
+    return {s: (d, g) for g, (s, d) in wanted.items() if g not in wrong}
+
+
+def _options(inputs: Inputs) -> dict:
+    return {"payees_only": inputs.payees_only}
+
+
+def build(spark: SparkSession, inputs: Inputs, out: str, allow_partial: bool = False, previous: str | None = None) -> Built:
     """Writes tables, the quads of passing graphs, where these come from, their manifest, failing graphs apart, and the report below out.
 
-    Raises if the gate refuses; the report is written before.
+    Raises if the gate refuses; the report is written before, and what passes is marked as shipped after. With the folder of an earlier build as previous,
+    graphs whose sources didn't change are taken from it, with the date they had.
     """
-    t = {}
-    for name, rows in tables(spark, inputs).items():
-        rows.write.mode("overwrite").parquet(f"{out}/tables/{name}")
-        t[name] = spark.read.parquet(f"{out}/tables/{name}")
-    quads_of(t, inputs.date).distinct().write.mode("overwrite").parquet(f"{out}/quads_before_checks")
+    now = digests(spark, inputs)
+    taken = carried(spark, inputs, now, previous) if previous else {}
+    t, rows, counted = {}, {}, {}
+    for name, made in tables(spark, inputs).items():
+        seen = _write_counted(made, name, f"{out}/tables/{name}")
+        rows[name], t[name] = seen.pop("rows"), spark.read.parquet(f"{out}/tables/{name}")
+        counted |= seen
+    own = quads_of(t, inputs.date)
+    if taken:
+        own = own.where(~F.col("g").isin(*[_address(spark, s, inputs.date) for s in taken]))
+        own = own.unionByName(spark.read.parquet(f"{previous}/quads").where(F.col("g").isin(*[g for _, g in taken.values()])))
+    own.distinct().write.mode("overwrite").parquet(f"{out}/quads_before_checks")
     quads = spark.read.parquet(f"{out}/quads_before_checks")
     found = validate.violations(quads)
-    clean = validate.passing(quads, found)
+    found.write.mode("overwrite").parquet(f"{out}/violations")
+    found = spark.read.parquet(f"{out}/violations")
+    validate.passing(quads, found).write.mode("overwrite").partitionBy("g").parquet(f"{out}/quads")
+    clean = spark.read.schema(TABLES["quads"]).parquet(f"{out}/quads")
     gate = validate.Gate()
     gate.add("shape_violations", found)
     gate.checked["shape_violations"] = quads.where(F.col("p") == Q.TYPE).count()
     gate.add("uncovered_classes", validate.uncovered_classes(quads, {**validate.SHAPES, "Ministry": {}}))
     gate.add("broken_references", validate.broken_references(clean))
+    gate.checked["broken_references"] = clean.where((F.col("o_kind") != Q.LITERAL) & (F.col("p") != Q.TYPE)).count()
     gate.add("block_sums", validate.block_sums(t["expenditure_block"], t["expenditure"]), F.col("wrong"))
     gate.add("annual_identities", validate.annual_identities(t["annual_budget"]), F.col("wrong"))
     gate.add("project_amounts", validate.project_amounts(t["budget_project"], t["annual_budget"]), F.col("wrong"))
@@ -224,9 +327,11 @@ def build(spark: SparkSession, inputs: Inputs, out: str, allow_partial: bool = F
     gate.add("category_counts", validate.count_mismatches(told, again, ["category"]))
     if gate.faults["shape_violations"]:
         validate.quarantined(quads, found, f"{out}/quarantine/{inputs.date}-{uuid4().hex[:8]}")
-    release.replace_graphs(clean, f"{out}/quads")
-    provenance_of(clean, inputs).write.mode("overwrite").parquet(f"{out}/provenance")
+    dates = {s: d for s, (d, _) in taken.items()}
+    provenance_of(clean, inputs, dates).write.mode("overwrite").parquet(f"{out}/provenance")
     release.manifest(clean).write.mode("overwrite").parquet(f"{out}/manifest")
-    report = {"date": inputs.date, "faults": gate.faults, "checked": gate.checked, "counters": counters(t), "rows": {n: rows.count() for n, rows in t.items()}}
+    report = {"date": inputs.date, "faults": gate.faults, "checked": gate.checked, "counters": counted, "rows": rows, "carried_over": {s: g for s, (_, g) in taken.items()}}
     spark.createDataFrame([(json.dumps(report, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
-    return Built(t, clean, found, gate, gate.close(allow_partial, ("shape_violations",)), spark.read.parquet(f"{out}/provenance"))
+    messages = gate.close(allow_partial, ("shape_violations", "broken_references"))
+    pointer.advance(spark, f"{out}/shipped", {"dates": {s: dates.get(s, inputs.date) for s in GRAPHS}, "sha256": {s: x for s, x in now.items() if x}, "options": _options(inputs)})
+    return Built(t, clean, found, gate, messages, spark.read.parquet(f"{out}/provenance"))

@@ -29,7 +29,8 @@ class Released:
         quads = self.quads if quads is None else quads
         types = quads.where((F.col("p") == Q.TYPE) & F.col("o").isin(*[iri.term("core", k) for k in kinds])).groupBy("s").agg(F.min(iri.local_name(F.col("o"))).alias("kind"), F.min("g").alias("g"))
         predicates = {"label": Q.LABEL} | {c: iri.term("core", p) for c, p in columns.items()}
-        values = quads.where(F.col("p").isin(*predicates.values())).groupBy("s").agg(*[F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in predicates.items()])
+        own = quads.where(F.col("p").isin(*predicates.values())).join(types.select("s"), "s", "left_semi")  # a class may be few of all that have labels
+        values = own.groupBy("s").agg(*[F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in predicates.items()])
         return types.join(values, "s", "left")
 
     def _links(self, predicate: str, source: str, target: str) -> DataFrame:

@@ -140,3 +140,55 @@ def test_guards(spark, inputs):
 
     with pytest.raises(ValueError, match="need laws"):
         build.tables(spark, dataclasses.replace(inputs, laws=None, old_ministries="x"))
+
+
+def _change(path, column, kind, value):
+    rows = list(csv.reader(open(path, encoding="utf-8-sig")))
+    rows[1][readers.REVIEW[kind][1][column]] = value
+    write(path, rows)
+
+
+def test_unchanged_graphs_are_carried_over(spark, inputs, tmp_path):
+    import dataclasses
+
+    one, two, three = (str(tmp_path / x) for x in ("one", "two", "three"))
+    made = build.build(spark, inputs, one)
+    report = lambda out: json.loads(spark.read.text(f"{out}/report").first()["value"])
+    counters = report(one)["counters"]
+    assert len(counters) >= 40 and counters["recipient_by_houjin_bangou"] == 1 and counters["recipient_sentinel"] == 1 and counters["basis_law_by_title_stripped"] == 1
+    later = dataclasses.replace(inputs, date="2024-02-01")
+    again = build.build(spark, later, two, previous=one)
+    assert {g.rsplit("/", 1)[1] for g in report(two)["carried_over"].values()} == {"2024-01-01"} and len(report(two)["carried_over"]) == 4
+    assert again.quads.exceptAll(made.quads).isEmpty() and made.quads.exceptAll(again.quads).isEmpty()
+    assert {r["o"] for r in again.provenance.where(F.col("p").endswith("generatedOn")).collect()} == {"2024-01-01"}
+    # laws and ministries don't depend on the budget review, the register of payees does; of two releases back the graph keeps its date
+    _change(inputs.summary, "name", "summary", "new name")
+    last = build.build(spark, dataclasses.replace(inputs, date="2024-03-01"), three, previous=two)
+    assert set(report(three)["carried_over"]) == {"egov-law", "ministry-codes"}
+    assert sorted(r["g"].split("/graph/")[1] for r in last.quads.select("g").distinct().collect()) == ["egov-law/2024-01-01", "houjin-bangou/2024-03-01", "ministry-codes/2024-01-01", "rs-system/2024-03-01"]
+
+
+def test_what_may_not_be_carried_over(spark, inputs, tmp_path):
+    import dataclasses
+
+    one, two = (str(tmp_path / x) for x in ("one", "two"))
+    build.build(spark, inputs, one)
+    now = build.digests(spark, inputs)
+    later = dataclasses.replace(inputs, date="2024-02-01")
+    assert set(build.carried(spark, later, now, one)) == {"egov-law", "houjin-bangou", "ministry-codes", "rs-system"}
+    # a changed dependency forces all that are made from it
+    assert build.carried(spark, later, now | {"houjin-bangou": ["other"]}, one) == {}
+    assert set(build.carried(spark, later, now | {"egov-law": ["other"]}, one)) == {"houjin-bangou", "ministry-codes"}
+    assert build.carried(spark, dataclasses.replace(later, payees_only=False), now, one) == {}
+    with pytest.raises(FileNotFoundError, match="never shipped"):
+        build.carried(spark, later, now, str(tmp_path / "nothing"))
+    # a graph that breaks a shape of today is built anew, though it is as it was shipped
+    quads = spark.read.parquet(f"{one}/quads")
+    wrong = quads.where(~(F.col("g").contains("egov-law/") & F.col("p").endswith("lawNum")))
+    wrong.write.partitionBy("g").parquet(f"{two}/quads")
+    release.manifest(wrong).write.parquet(f"{two}/manifest")
+    build.pointer.advance(spark, f"{two}/shipped", build.shipped(spark, one))
+    assert set(build.carried(spark, later, now, two)) == {"houjin-bangou", "ministry-codes", "rs-system"}
+    release.manifest(quads).write.mode("overwrite").parquet(f"{two}/manifest")
+    with pytest.raises(ValueError, match="declares"):
+        build.carried(spark, later, now, two)
