@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .resolve import small
 
 
@@ -163,12 +164,15 @@ def find_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, visit
 
 
 def hops_from(edges: DataFrame, centers: DataFrame, most: int) -> DataFrame:
-    """(node, hops) for all nodes within most steps of centers(node), by one join for each step; nodes beyond are left out."""
-    pairs = both_ways(edges).select("node", "other")
-    reached = centers.select("node", F.lit(0).alias("hops")).distinct()
-    front = reached
+    """(node, hops) for all nodes within most steps of centers(node), by one join for each step; nodes beyond are left out.
+
+    A front is checkpointed before the next step reads it, so a step plans one join and not all those before.
+    """
+    pairs = both_ways(edges).select("node", "other").distinct()
+    front = reached = cut(centers.select("node", F.lit(0).alias("hops")).distinct())
     for step in range(1, most + 1):
-        front = front.select("node").join(pairs, "node").select(F.col("other").alias("node")).distinct().join(reached, "node", "left_anti").select("node", F.lit(step).alias("hops"))
+        new = small(front.select("node")).join(pairs, "node").select(F.col("other").alias("node")).distinct().join(reached, "node", "left_anti").select("node", F.lit(step).alias("hops"))
+        front = cut(new) if step < most else new
         reached = reached.unionByName(front)
     return reached
 
@@ -222,6 +226,46 @@ def bridges(edges: DataFrame, hits: DataFrame, least: int = 2) -> DataFrame:
     return near.where(F.col("hits") >= least).join(hits, "node", "left_anti")
 
 
+#: Classes whose instances can join two hits; those of others belong to one entity each.
+CONNECTING = ("Ministry", "GovernmentOrgan", "AbolishedGovernmentOrgan", "Organization", "Law", "LawRevision", "BudgetProject", "UnresolvedReference")
+
+
+def search_graph(edges: DataFrame, types: DataFrame, hits: DataFrame, connecting: tuple[str, ...] = CONNECTING, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of a search: its hits(node), and of their neighbours those of a connecting type or next to at least this many hits.
+
+    nodes(node, type, role, component): role is connected_hit, isolated_hit (no link is left), connecting or bridge; component is the least node that
+    can be reached by links, which are the edges at a hit between nodes that stay.
+    """
+    hits = hits.select("node").distinct()
+    one, two = (hits.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}")) for c in ("src", "dst"))
+    near = edges.join(small(one), "src", "left").join(small(two), "dst", "left").where("_src or _dst")
+    neighbours = near.where("_src and _dst is null").select(F.col("dst").alias("node"), F.col("src").alias("hit")).unionByName(near.where("_dst and _src is null").select(F.col("src").alias("node"), F.col("dst").alias("hit")))
+    counted = neighbours.groupBy("node").agg(F.count_distinct("hit").alias("hits")).join(types.select("node", "type"), "node", "left")
+    kept = counted.where(F.col("type").isin(*connecting) | (F.col("hits") >= least)).select("node", "type", F.when(F.col("type").isin(*connecting), "connecting").otherwise("bridge").alias("role"))
+    stays = kept.select("node").unionByName(hits)
+    links = near.drop("_src", "_dst").join(stays.withColumnRenamed("node", "src"), "src", "left_semi").join(stays.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
+    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("_linked", F.lit(True))
+    own = hits.join(types.select("node", "type"), "node", "left").join(ends, "node", "left").select("node", "type", F.when(F.col("_linked"), "connected_hit").otherwise("isolated_hit").alias("role"))
+    nodes = own.unionByName(kept)
+    return nodes.join(least_reached(links, nodes), "node"), links
+
+
+def least_reached(links: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
+    """(node, component): the least node of each one's component. Every round sends least nodes along links and then to the component of the least one
+    found, so chains shorten as they grow; rounds are checkpointed and end when nothing changes."""
+    both = cut(links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    now = cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    for _ in range(most):
+        near = both.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("_near"))
+        new = now.join(near, "node", "left").select("node", F.least("component", F.coalesce("_near", "component")).alias("component"))
+        jump = new.select(F.col("node").alias("component"), F.col("component").alias("_further"))
+        new = cut(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("_further", "component")).alias("component")))
+        if new.join(now, ["node", "component"], "left_anti").isEmpty():
+            return now
+        now = new
+    raise ValueError(f"components still change after {most} rounds")
+
+
 def lanes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id, type) with lane: who receives money by an edge recipient is a recipient, others go by type."""
     paid = edges.where("predicate = 'recipient'").select(F.col("dst").alias("id")).distinct().withColumn("_paid", F.lit(True))
