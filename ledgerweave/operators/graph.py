@@ -170,9 +170,11 @@ def hops_from(edges: DataFrame, centers: DataFrame, most: int) -> DataFrame:
     """
     pairs = both_ways(edges).select("node", "other").distinct()
     front = reached = cut(centers.select("node", F.lit(0).alias("hops")).distinct())
+    last = front.limit(0)
     for step in range(1, most + 1):
-        new = small(front.select("node")).join(pairs, "node").select(F.col("other").alias("node")).distinct().join(reached, "node", "left_anti").select("node", F.lit(step).alias("hops"))
-        front = cut(new) if step < most else new
+        seen = last.unionByName(front)  # a neighbour of the front is in it, in the front before it, or new
+        new = small(front.select("node")).join(pairs, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(step).alias("hops"))
+        last, front = front, cut(new) if step < most else new
         reached = reached.unionByName(front)
     return reached
 

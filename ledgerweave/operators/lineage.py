@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir, so that a lost executor costs nothing and plans stay short."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; only on one machine is one made where none is set."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +17,16 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, so that a lost executor costs nothing and plans stay short."""
+    shared(df.sparkSession)
     return df.checkpoint()
+
+
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)

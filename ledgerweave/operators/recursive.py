@@ -14,6 +14,7 @@ def walks(links: DataFrame, starts: DataFrame, most: int, keys: tuple[str, ...]
     """(*keys, start, node, depth, visited) of all walks from starts(*keys, node) along links(*keys, src, dst) of up to most steps that visit no node twice."""
     if not 0 <= most <= 100:
         raise ValueError("most must be from 0 to 100")
+    links.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # most and visited nodes are the bounds
     own = "".join(f"{k}, " for k in keys)
     same = " AND ".join(["w.node = l.src", *(f"w.{k} = l.{k}" for k in keys)])
     walked = "".join(f"w.{k}, " for k in keys)

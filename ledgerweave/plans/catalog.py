@@ -26,7 +26,7 @@ def query(sql: str | None = None, prelude: bool = True) -> Callable:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import checks, competency, derived  # noqa: F401
+    from . import checks, competency, derived, linked  # noqa: F401
 
 
 load()

@@ -111,16 +111,23 @@ def undeclared_graphs(t: Harness) -> DataFrame:
     return release.undeclared(t.edge, declared).select("src", "dst", "predicate")
 
 
-@query("""SELECT * FROM (VALUES ('law', true), ('budget', false), ('corporation', true), ('lost', false)) x(source, carried)""", prelude=False)
+@query("""WITH changed AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 500 = 3)
+SELECT n_name AS source, n_nationkey NOT IN (SELECT k FROM changed) AND (n_nationkey + 1) % 25 NOT IN (SELECT k FROM changed) AND n_nationkey % 10 <> 4 AS carried FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""", prelude=False)
 def carried_over_graphs(t: Harness) -> DataFrame:
-    """budget depends on a file that changed; lost was unchanged but isn't intact in the previous release."""
-    s = t.spark
-    date = F.lit("2024-01-01").cast("date")
-    before = s.createDataFrame([("law", ["a", "b"]), ("budget", ["c"]), ("corporation", ["d"]), ("lost", ["e"]), ("codes", ["f"])], "source string, sha256 array<string>").withColumn("date", date)
-    now = s.createDataFrame([("law", ["b", "a"]), ("budget", ["c"]), ("corporation", ["d"]), ("lost", ["e"]), ("codes", ["g"])], "source string, sha256 array<string>")
-    needs = s.createDataFrame([("law", "law"), ("law", "corporation"), ("budget", "budget"), ("budget", "codes"), ("corporation", "corporation"), ("lost", "lost")], "source string, needed string")
-    shipped = s.createDataFrame([("law", True), ("budget", True), ("corporation", True), ("lost", False)], "source string, intact boolean")
-    return release.carried_over(now, before, needs, shipped).where("source <> 'codes'").select("source", "carried")
+    """Two snapshots of customers with a file for each nation and segment: a nation depends on itself and the next one; some customers changed, and some nations aren't intact in the earlier release."""
+    nations = t.raw("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("source"))
+    customers = t.raw("customer").join(nations, F.col("c_nationkey") == F.col("k"))
+    value = F.concat_ws(" ", "c_custkey", "c_name")
+
+    def files(changed: bool) -> DataFrame:
+        text = F.when(F.lit(changed) & (F.col("c_custkey") % 500 == 3), F.concat(value, F.lit(" anew"))).otherwise(value)
+        parts = release.graph_digests(customers.select(F.concat_ws("|", "source", "c_mktsegment").alias("g"), text.alias("value")))
+        return parts.groupBy(F.substring_index("g", "|", 1).alias("source")).agg(F.collect_list("digest").alias("sha256"))
+
+    after = nations.select(((F.col("k") + 24) % 25).alias("k"), F.col("source").alias("needed"))
+    needs = nations.select("source", F.col("source").alias("needed")).unionByName(nations.join(after, "k").select("source", "needed"))
+    shipped = nations.select("source", (F.col("k") % 10 != 4).alias("intact"))
+    return release.carried_over(files(True), files(False).withColumn("date", F.lit("2024-01-01").cast("date")), needs, shipped).select("source", "carried")
 
 
 @query("SELECT corp_no FROM organ WHERE corp_no NOT IN (SELECT ministry FROM project WHERE ministry IS NOT NULL) OR corp_no IN (SELECT organ FROM jurisdiction)")
