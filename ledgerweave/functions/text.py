@@ -15,6 +15,10 @@ ERAS = "令和|平成|昭和|大正|明治"
 NUMERALS = "[〇一二三四五六七八九十百千元]+"
 ORGAN_ENDINGS = "省|府|庁|院|委員会"
 ORGAN_WORDS = ("人事院", "閣")
+#: Fixed values too: what a law number begins with, the form of an ordinance's number, and of a rule's once its date is gone.
+DATED = f"^(?:{ERAS}){NUMERALS}年"
+ORDINANCE = f"{DATED}(.+?)令第.+号(?:の{NUMERALS})*$"
+RULE = "^(.+?)規則"
 
 _SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -71,16 +75,15 @@ def looks_like_organ(c: Column) -> Column:
 
 def ministries_of(law_num: Column) -> Column:
     """struct(status, names) from a law number: found, none (no ministry's ordinance or rule) or failed (of that form, but without a name)."""
-    ordinance = f"^(?:{ERAS}){NUMERALS}年(.+?)令第.+号(?:の{NUMERALS})*$"
-    names = F.split(F.regexp_extract(law_num, ordinance, 1), "・")
-    rest = F.regexp_replace(law_num, f"^(?:{ERAS}){NUMERALS}年", "")
-    rule = F.regexp_extract(rest, "^(.+?)規則", 1)
+    names = F.split(F.regexp_extract(law_num, ORDINANCE, 1), "・")
+    rest = F.regexp_replace(law_num, DATED, "")
+    rule = F.regexp_extract(rest, RULE, 1)
     made = lambda status, value: F.struct(F.lit(status).alias("status"), value.alias("names"))
     no_names = F.lit(None).cast("array<string>")
     single = (F.size(names) == 1) & (F.length(names[0]) == 1)
     of_ordinance = F.when(F.forall(names, looks_like_organ), made("found", names)).when(single, made("none", no_names)).otherwise(made("failed", no_names))
-    of_rule = F.when(rest.rlike("^.+?規則"), made("found", F.split(rule, "・"))).when(rest.startswith("規則"), made("failed", no_names)).otherwise(made("none", no_names))
-    return F.when(law_num.rlike(ordinance), of_ordinance).otherwise(of_rule)
+    of_rule = F.when(rest.rlike(RULE), made("found", F.split(rule, "・"))).when(rest.startswith("規則"), made("failed", no_names)).otherwise(made("none", no_names))
+    return F.when(law_num.rlike(ORDINANCE), of_ordinance).otherwise(of_rule)
 
 
 def truth(c: Column) -> Column:

@@ -166,14 +166,15 @@ def find_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, visit
 def hops_from(edges: DataFrame, centers: DataFrame, most: int) -> DataFrame:
     """(node, hops) for all nodes within most steps of centers(node), by one join for each step; nodes beyond are left out.
 
-    A front is checkpointed before the next step reads it, so a step plans one join and not all those before.
+    Edges and every front are kept as tables before the next step reads them, so a step plans one join and not all those before. A neighbour of a front is in that
+    front, in the one before it, or new, so no step looks at all that was reached.
     """
-    pairs = both_ways(edges).select("node", "other").distinct()
+    pairs = cut(both_ways(edges).select("node", "other"))
     front = reached = cut(centers.select("node", F.lit(0).alias("hops")).distinct())
     last = front.limit(0)
     for step in range(1, most + 1):
-        seen = last.unionByName(front)  # a neighbour of the front is in it, in the front before it, or new
-        new = small(front.select("node")).join(pairs, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(step).alias("hops"))
+        seen = last.unionByName(front)
+        new = front.select("node").join(pairs, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(step).alias("hops"))
         last, front = front, cut(new) if step < most else new
         reached = reached.unionByName(front)
     return reached
@@ -188,7 +189,7 @@ def flow_levels(links: DataFrame, nodes: DataFrame, keys: list[str], most: int)
     """nodes(*keys, node) with level: 0 without inflow in links(*keys, src, dst), else one more than the highest source.
 
     A node's level is the length of the longest path to it: step k keeps the ends of paths of k links, which become fewer from step
-    to step. most bounds the steps, for cycles too.
+    to step; every fourth step's are kept as a table. most bounds the steps, for cycles too.
     """
     ends = links.select(*keys, F.col("dst").alias("node")).distinct()
     every = nodes.select(*keys, "node", F.lit(0).alias("level"), F.lit(True).alias("_own"))
@@ -196,6 +197,7 @@ def flow_levels(links: DataFrame, nodes: DataFrame, keys: list[str], most: int)
         every = every.unionByName(ends.select(*keys, "node", F.lit(step).alias("level"), F.lit(False).alias("_own")))
         if step < most:
             ends = links.join(ends.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").select(*keys, F.col("dst").alias("node")).distinct()
+            ends = cut(ends) if step % 4 == 0 else ends
     return every.groupBy(*keys, "node").agg(F.max("level").alias("level"), F.max("_own").alias("_own")).where("_own").drop("_own")
 
 

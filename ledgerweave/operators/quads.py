@@ -7,6 +7,7 @@ graph and repeated triples before any join; a pattern with a graph variable look
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,12 +86,16 @@ def search(entities: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 
 def found(entities: DataFrame, query: str, limit: int) -> DataFrame:
-    """search's hits in order, one more than limit, so that a caller can tell whether there are more. Columns beside the label are of one row."""
+    """search's hits in order, one more than limit, so that a caller can tell whether there are more.
+
+    Of an entity's rows the label is the least, and every other column the first that isn't null in the order of row_idx, if there is such a column, or else of the labels.
+    """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be from 1 to 100")
     hits = entities.where(F.col("type").isin(*SEARCHABLE) & F.lower("label").contains(query.lower()))
     rest = [c for c in entities.columns if c not in ("id", "label")]
-    once = hits.groupBy("id").agg(F.min(F.struct("label", *rest)).alias("hit")).select("id", "hit.*")
+    place = F.struct("row_idx" if "row_idx" in rest else "label", *[c for c in rest if c != "row_idx"])
+    once = hits.groupBy("id").agg(F.min("label").alias("label"), *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in rest])
     return once.orderBy("label", "id").limit(limit + 1)
 
 
@@ -142,10 +147,10 @@ def parsed(lines: DataFrame, graphs: list[str] | None = None) -> DataFrame:
         lines = lines.where(F.regexp_extract("value", r" <([^>]*)> \.$", 1).isin(*graphs))
     part = lambda k: F.regexp_extract("value", _LINE, k)
     given = lambda k: F.nullif(part(k), F.lit(""))
-    text = part(5)
-    hidden = "\u0000"
-    for found, wanted in (("\\\\", hidden), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), (hidden, "\\")):
-        text = F.replace(text, F.lit(found), F.lit(wanted))
+    # Pairs of backslashes part the text; between them every backslash begins an escape of its own.
+    parts = F.split(part(5), r"\\\\", -1)
+    plain = lambda c: reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")), c)
+    text = F.array_join(F.transform(parts, plain), "\\")
     kind = F.when(F.col("value").rlike(r"^<[^>]*> <[^>]*> <"), URI).when(F.col("value").rlike(r"^<[^>]*> <[^>]*> _:"), "bnode").otherwise(LITERAL)
     fine = F.when(F.col("value").rlike(_LINE), True).otherwise(F.raise_error(F.concat(F.lit("not a line of N-Quads: "), "value")).cast("boolean"))
     o = F.when(kind == URI, part(3)).when(kind == "bnode", part(4)).otherwise(text)

@@ -107,17 +107,17 @@ def cq11_succession_of_abolished(t: Harness) -> DataFrame:
 (SELECT fiscal_year, amount FROM block WHERE paid UNION ALL SELECT fiscal_year, amount FROM indirect) GROUP BY fiscal_year""")
 def cq12_government_paid_total(t: Harness) -> DataFrame:
     """What the government itself pays out: entry blocks and indirect costs."""
-    items = t.block.where("paid").select("fiscal_year", "amount").unionByName(t.indirect.select("fiscal_year", "amount"))
-    return items.groupBy("fiscal_year").agg(F.sum("amount").alias("government_paid"), F.count("*").alias("items")).orderBy("fiscal_year")
+    return t.paid_items.groupBy("fiscal_year").agg(F.sum("amount").alias("government_paid"), F.count("*").alias("items")).orderBy("fiscal_year")
 
 
 @query("""SELECT b.project_id, p.name, b.block_id, b.block_name, b.paid, b.amount, f.source_id, s.block_name AS source_name FROM block b JOIN funding f ON b.project_id = f.project_id AND b.block_id = f.block_id
 JOIN block s ON f.project_id = s.project_id AND f.source_id = s.block_id JOIN project p ON p.project_id = b.project_id ORDER BY b.amount DESC, b.project_id, b.block_id, f.source_id LIMIT 20""")
 def cq13_money_through_stages(t: Harness) -> DataFrame:
     """The 20 largest amounts that pass from one stage to the next; the project breaks ties."""
-    sources = t.block.select("project_id", F.col("block_id").alias("source_id"), F.col("block_name").alias("source_name"))
-    passed = t.block.join(t.funding, ["project_id", "block_id"]).join(sources, ["project_id", "source_id"])
-    top = passed.orderBy(F.desc("amount"), "project_id", "block_id", "source_id").limit(20)
+    sources = t.kept_block.select("project_id", F.col("block_id").alias("source_id"), F.col("block_name").alias("source_name"))
+    passed = t.kept_block.join(t.kept_funding.join(sources.select("project_id", "source_id"), ["project_id", "source_id"], "left_semi"), ["project_id", "block_id"])
+    first = passed.orderBy(F.desc("amount"), "project_id", "block_id", "source_id").limit(20)
+    top = sources.join(F.broadcast(first), ["project_id", "source_id"])  # 20 rows
     rows = top.join(t.project.select("project_id", "name"), "project_id").select("project_id", "name", "block_id", "block_name", "paid", "amount", "source_id", "source_name")
     return rows.orderBy(F.desc("amount"), "project_id", "block_id", "source_id")
 

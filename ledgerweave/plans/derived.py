@@ -107,8 +107,8 @@ def node_degrees(t: Harness) -> DataFrame:
 @query("""SELECT b.project_id, b.block_id AS node, CAST(count(f.source_id) AS INTEGER) AS level FROM block b LEFT JOIN funding f ON b.project_id = f.project_id AND b.block_id = f.block_id GROUP BY b.project_id, b.block_id""")
 def flow_levels(t: Harness) -> DataFrame:
     """Every earlier block funds the later ones, so the longest path to a block has as many steps as it has sources."""
-    links = t.funding.select("project_id", F.col("source_id").alias("src"), F.col("block_id").alias("dst"))
-    return graph.flow_levels(links, t.block.select("project_id", F.col("block_id").alias("node")), ["project_id"], 3)
+    links = t.kept_funding.select("project_id", F.col("source_id").alias("src"), F.col("block_id").alias("dst"))
+    return graph.flow_levels(links, t.kept_block.select("project_id", F.col("block_id").alias("node")), ["project_id"], 3)
 
 
 @query("""SELECT dst AS node, count(DISTINCT src) AS hits FROM edge WHERE src IN ('L1', 'L11', 'L21', 'L31', 'L51') AND predicate = 'jurisdiction' GROUP BY dst HAVING count(DISTINCT src) >= 2""")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.lineage import cut
 from ..operators.records import numbered
 
 
@@ -106,7 +107,7 @@ class Harness:
 
     def views(self) -> list[str]:
         """Temporary views of all tables, for questions in SQL; returns their names."""
-        names = [n for n, v in vars(type(self)).items() if isinstance(v, cached_property)]
+        names = [n for n, v in vars(type(self)).items() if isinstance(v, cached_property) and not n.startswith("kept_")]
         for n in names:
             getattr(self, n).createOrReplaceTempView(n)
         return names
@@ -157,6 +158,26 @@ class Harness:
         rows = self.expenditure.groupBy("project_id", "fiscal_year", "block_id").agg(F.sum("amount").alias("amount"), F.count("*").alias("payees"), (F.min("seq") == 0).alias("paid"))
         return rows.select("project_id", "fiscal_year", "block_id", F.when(F.col("project_id") % 5 != 0, F.concat(F.lit("block "), "block_id")).alias("block_name"), (F.col("amount") + F.when(F.col("project_id") % 101 == 0, 1).otherwise(0)).alias("amount"), "payees", "paid")
 
+    @cached_property
+    def kept_block(self) -> DataFrame:
+        """block, computed once for questions that read it again and again; it stays partitioned by project."""
+        return cut(self.block)
+
+    @cached_property
+    def kept_funding(self) -> DataFrame:
+        sources = self.kept_block.select("project_id", F.col("block_id").alias("source_id"))
+        return self.kept_block.select("project_id", "block_id").join(sources, "project_id").where("source_id < block_id")
+
+    @cached_property
+    def paid_items(self) -> DataFrame:
+        """(fiscal_year, amount) of entry blocks and of indirect costs, from one pass over the lines: a line counts for its block, and with a tax for its item too."""
+        line = self.line.join(self.year, "project_id")
+        key = lambda kind, name, amount, seq: F.struct(F.lit(kind).alias("kind"), name.alias("key"), amount.alias("amount"), seq.alias("seq"))
+        both = F.array(key("block", F.col("l_returnflag"), F.col("amount"), F.col("seq")), F.when(F.col("l_tax") > 0, key("indirect", F.col("l_linenumber").cast("string"), cents(F.col("l_extendedprice") * F.col("l_tax")), F.lit(0))))
+        rows = line.select("project_id", "fiscal_year", F.explode(F.array_compact(both)).alias("x")).groupBy("project_id", "fiscal_year", "x.kind", "x.key").agg(F.sum("x.amount").alias("amount"), F.min("x.seq").alias("seq"))
+        off = F.when((F.col("kind") == "block") & (F.col("project_id") % 101 == 0), 1).otherwise(0)
+        return rows.where("seq = 0").select("fiscal_year", (F.col("amount") + off).alias("amount"))
+
     @cached_property
     def funding(self) -> DataFrame:
         sources = self.block.select("project_id", F.col("block_id").alias("source_id"))

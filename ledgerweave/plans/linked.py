@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import iri
 from ..operators import digest_tree, graph, lineage, ontology, records, recursive, release, resolve, validate
 from ..operators import quads as Q
-from ..sources import nquads_sink
+from ..sources import api_snapshot, nquads_sink
 from ..streaming import ingest
 from .catalog import query
 from .derived import CENTER
@@ -67,9 +67,9 @@ walk AS (SELECT project_id, node, 0 AS depth, [node] AS visited FROM start UNION
 SELECT project_id, node, max(depth) AS level FROM walk GROUP BY project_id, node""", prelude=False)
 def flow_levels_with_cycles(t: Harness) -> DataFrame:
     """Levels of blocks where every third project pays back from its last block to its first, as recursive SQL."""
-    links = t.funding.select("project_id", F.col("source_id").alias("src"), F.col("block_id").alias("dst"))
-    back = t.block.where("project_id % 3 = 0").groupBy("project_id").agg(F.max("block_id").alias("src"), F.min("block_id").alias("dst")).where("src <> dst")
-    return recursive.longest_levels(links.unionByName(back), t.block.select("project_id", F.col("block_id").alias("node")), ("project_id",), 6)
+    links = t.kept_funding.select("project_id", F.col("source_id").alias("src"), F.col("block_id").alias("dst"))
+    back = t.kept_block.where("project_id % 3 = 0").groupBy("project_id").agg(F.max("block_id").alias("src"), F.min("block_id").alias("dst")).where("src <> dst")
+    return recursive.longest_levels(links.unionByName(back), t.kept_block.select("project_id", F.col("block_id").alias("node")), ("project_id",), 6)
 
 
 _FIRST = "(SELECT node, src, dst, predicate, row_number() OVER (PARTITION BY node ORDER BY direction, predicate, other) AS n FROM (SELECT src AS node, 'outgoing' AS direction, predicate, dst AS other, src, dst FROM edge UNION ALL SELECT dst, 'incoming', predicate, src, src, dst FROM edge))"
@@ -287,3 +287,23 @@ def streamed_graph_versions(t: Harness) -> DataFrame:
     ingest.deliver(quads.where("g = 'jurisdiction' and s like '%1'"), source, "2")
     ingest.write_graphs(ingest.read_quads(t.spark, source, 2), out, state).awaitTermination()
     return ingest.read_graphs(t.spark, out).groupBy("g").agg(F.count("*").alias("n")).join(ingest.versions(t.spark, out), "g")
+
+
+# An API's snapshot
+
+
+@query("""SELECT project_id, 2024 AS fiscal_year, name, amount AS budget_amount, budget_fiscal_year, initial, CASE WHEN budget_fiscal_year = 2023 THEN executed END AS executed FROM (
+SELECT CAST(o_orderkey AS VARCHAR) AS project_id, 'project ' || CAST(o_orderkey AS VARCHAR) AS name, CAST(round(o_totalprice * 100) AS BIGINT) AS amount, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS executed,
+  unnest(list_concat(CASE WHEN o_orderkey % 3 <> 0 THEN [struct_pack(budget_fiscal_year := 2024, initial := CAST(round(o_totalprice * 100) AS BIGINT))] ELSE [] END, CASE WHEN o_orderkey % 4 <> 0 THEN [struct_pack(budget_fiscal_year := 2023, initial := o_custkey * 10)]
+    WHEN o_orderkey % 5 <> 0 THEN [struct_pack(budget_fiscal_year := 2023, initial := NULL::BIGINT)] ELSE [] END), recursive := true) FROM orders)""", prelude=False)
+def api_snapshot_records(t: Harness) -> DataFrame:
+    """Orders as pages of JSON with a manifest of their bytes and numbers, checked, and read as projects with annual budgets; histories lack a year, or the list has what they lack."""
+    k, amount = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
+    year = lambda n, value: F.struct(F.lit(n).alias("fiscal_year"), value.alias("initial_budgets_total_amount"))
+    history = F.array_compact(F.array(F.when(k % 3 != 0, year(2024, amount)), F.when(k % 4 != 0, year(2023, F.col("o_custkey") * 10))))
+    row = F.struct(k.cast("string").alias("id"), F.lpad(k.cast("string"), 12, "0").alias("project_number"), F.concat(F.lit("project "), k.cast("string")).alias("name"), F.lit(2024).alias("fiscal_year"), F.lit(True).alias("is_published"), amount.alias("finalized_amount_for_initial_budget"), F.when(k % 5 != 0, F.col("o_custkey")).alias("previous_year_execution_amount"), history.alias("budget_data"))
+    pages = t.raw("orders").groupBy(F.concat(F.lit("page-"), F.floor(k / 1000).cast("string")).alias("file")).agg(F.count("*").alias("rows"), F.encode(F.to_json(F.struct(F.collect_list(row).alias("results"))), "utf-8").alias("content"))
+    pages = lineage.cut(pages)
+    rows = api_snapshot.checked(pages.select("file", "content"), pages.select("file", F.sha2("content", 256).alias("sha256"), "rows"), pages.agg(F.sum("rows")).first()[0], 2024)
+    projects, annual = api_snapshot.records(rows, 2024)
+    return projects.join(annual, ["project_id", "fiscal_year"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import iri
 from ..operators import quads as Q
+from ..operators.lineage import cut
 
 
 class Released:
@@ -98,6 +99,19 @@ class Released:
         rows = self._class(("IndirectCost",), project_id="project", fiscal_year="fiscalYear", amount="amount")
         return rows.select("project_id", _int("fiscal_year"), F.col("label").alias("item"), _long("amount"))
 
+    @cached_property
+    def kept_block(self) -> DataFrame:
+        return cut(self.block)
+
+    @cached_property
+    def kept_funding(self) -> DataFrame:
+        return self.funding
+
+    @cached_property
+    def paid_items(self) -> DataFrame:
+        """(fiscal_year, amount) of entry blocks and of indirect costs."""
+        return self.block.where("paid").select("fiscal_year", "amount").unionByName(self.indirect.select("fiscal_year", "amount"))
+
     @cached_property
     def annual(self) -> DataFrame:
         measures = {"initial": "initialBudget", "supplementary": "supplementaryBudget", "carried_in": "carriedIn", "reserve": "reserve", "available": "available", "executed": "executed", "next_request": "nextYearRequest"}

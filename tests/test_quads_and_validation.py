@@ -94,3 +94,14 @@ def test_breakdowns(spark):
     detail = spark.createDataFrame([("p", "general", 3), ("p", "special", 4), ("q", "general", 1)], "project_id string, kind string, amount bigint")
     total = spark.createDataFrame([("p", 7), ("q", 2), ("r", 5)], "project_id string, amount bigint")
     assert {r["project_id"]: r["wrong"] for r in validate.breakdown_totals(detail, total, ["project_id"]).collect()} == {"p": False, "q": True}
+
+
+def test_texts_of_any_characters_come_back_from_lines(spark):
+    texts = ["a\u0000b", "\\n", "\\\n", '\\"', "\\\\", 'end\\', "\t\r\n\"", "\\\\\\n", ""]
+    rows = spark.createDataFrame([("s", "p", t, "literal", None, None, "g") for t in texts], "s string, p string, o string, o_kind string, o_lang string, o_dt string, g string")
+    assert sorted(r["o"] for r in Q.parsed(rows.select(Q.line().alias("value"))).collect()) == sorted(texts)
+
+
+def test_search_takes_the_first_value_that_is_there(spark):
+    rows = spark.createDataFrame([("i", "Law", "b law", None, 1), ("i", "Law", "a law", "second", 2), ("i", "Law", "c law", "third", 3)], "id string, type string, label string, place string, row_idx int")
+    assert [(r["label"], r["place"]) for r in Q.search(rows, "law").collect()] == [("a law", "second")]

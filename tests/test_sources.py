@@ -132,3 +132,53 @@ def test_inventory(spark):
     assert rest.unchanged(start, start) and not rest.unchanged(start, start.limit(1))
     files = spark.createDataFrame([("a", bytearray(b"PK\x03")), ("b", bytearray(b"<html>"))], "path string, content binary")
     assert [r["is_zip"] for r in rest.is_zip(files).orderBy("path").collect()] == [True, False]
+
+
+def _api_page(*rows):
+    return json.dumps({"results": list(rows)}).encode()
+
+
+def _api_row(k, **changed):
+    return {"id": f"u{k}", "project_number": f"00{k}", "name": "n", "fiscal_year": 2024, "is_published": True, "finalized_amount_for_initial_budget": 10, "previous_year_execution_amount": 4, "budget_data": [{"fiscal_year": 2024, "initial_budgets_total_amount": 10}]} | changed
+
+
+def test_an_api_snapshot_is_checked_as_a_whole(spark):
+    import hashlib
+
+    from ledgerweave.sources import api_snapshot
+
+    def checked(*pages, reported=None, sha=None, rows=None):
+        made = [(f"p{k}", bytearray(p)) for k, p in enumerate(pages)]
+        told = [(f"p{k}", sha or hashlib.sha256(p).hexdigest(), rows or len(json.loads(p)["results"])) for k, p in enumerate(pages)]
+        return api_snapshot.checked(spark.createDataFrame(made, "file string, content binary"), spark.createDataFrame(told, api_snapshot.MANIFEST), reported or sum(len(json.loads(p)["results"]) for p in pages), 2024)
+
+    assert checked(_api_page(_api_row(1), _api_row(2)), _api_page(_api_row(3))).count() == 3
+    for pages, more, said in (([_api_page(_api_row(1))], {"sha": "0" * 64}, "other bytes"), ([_api_page(_api_row(1))], {"rows": 2}, "other numbers"), ([_api_page(_api_row(1))], {"reported": 5}, "5 reported"), ([_api_page(_api_row(1, fiscal_year=2023))], {}, "other years"), ([_api_page(_api_row(1, is_published=False))], {}, "unpublished"), ([_api_page(_api_row(1)), _api_page(_api_row(1))], {}, "ids twice")):
+        with pytest.raises(readers.LayoutError, match=said):
+            checked(*pages, **more)
+    rows = lambda *x: checked(_api_page(*x))
+    projects, annual = api_snapshot.records(rows(_api_row(1), _api_row(2, budget_data=None), _api_row(3, previous_year_execution_amount=None, budget_data=[{"fiscal_year": 2023, "initial_budgets_total_amount": 7}])), 2024)
+    assert sorted((r["project_id"], r["budget_amount"]) for r in projects.collect()) == [("1", 10), ("2", 10), ("3", 10)]
+    assert sorted(((r["project_id"], r["budget_fiscal_year"], r["initial"], r["executed"]) for r in annual.collect()), key=repr) == [("1", 2023, None, 4), ("1", 2024, 10, None), ("2", 2023, None, 4), ("3", 2023, 7, None)]
+    twice = [{"fiscal_year": 2023, "initial_budgets_total_amount": 1}] * 2
+    for bad, said in ((rows(_api_row(1, finalized_amount_for_initial_budget=9)), "list and history"), (rows(_api_row(1, project_number="１")), "not a number"), (rows(_api_row(1), _api_row(2, project_number="01")), "a number twice"), (rows(_api_row(1, budget_data=twice)), "a year twice")):
+        with pytest.raises(Exception, match=said):
+            [x.collect() for x in api_snapshot.records(bad, 2024)]
+
+
+def test_connectors_look_before_they_keep(spark, tmp_path, monkeypatch, capsys):
+    from ledgerweave.sources import connectors
+
+    answers = {"http://r/all.zip": b"PK\x03\x04", "http://l/L1": b'{"law_full_text": {}}', "http://l/L2": b"<html>", "http://l/L3": b'{"message": "none"}'}
+    monkeypatch.setattr(connectors, "get", lambda url: answers.get(url, b"PK" if "good" in url else b"<html>"))
+    at = str(tmp_path / "lake")
+    assert connectors.main([at, "2024-01-01", "--register", "http://r/all.zip", "--laws", "http://l", "--law", "L1", "--review", "http://bad", "--year", "2024"], spark) == 1
+    said = capsys.readouterr().out
+    assert "houjin-bangou: fetched" in said and "egov-law-data: fetched" in said and "rs-system: failed" in said and "isn't an archive" in said
+    assert {(r["source"], r["file"]) for r in lake.manifest(spark, at).collect()} == {("houjin-bangou", "register.zip"), ("egov-law-data", "law_data_L1.json")}
+    assert connectors.main([at, "2024-01-01", "--review", "http://good", "--year", "2024", "--group", "summary"], spark) == 0
+    for law_id, match in (("L2", "isn't JSON"), ("L3", "no text")):
+        with pytest.raises(connectors.UnexpectedContent, match=match):
+            connectors.law("http://l", law_id)[f"law_data_{law_id}.json"]()
+    with pytest.raises(SystemExit):
+        connectors.main([at, "2024-01-01", "--review", "http://good"], spark)
