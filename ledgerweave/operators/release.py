@@ -13,19 +13,17 @@ from .quads import line
 
 
 def graph_digests(lines: DataFrame) -> DataFrame:
-    """(g, n, digest) for lines(g, value): SHA-256 over the digests of a graph's distinct sorted lines.
+    """(g, n, digest) for lines(g, value), in any order: SHA-256 over the digests of parts, these over the digests of theirs, and so on down to lines.
 
-    Lines are reduced to digests and those to 4096 parts per graph before they meet, so the largest graph is not one group of lines.
+    A line's part is told by the first digits of its own digest, so no row holds more than 256 parts, or the lines of one part of 16 million. Parts that
+    differ are named by digest_tree.
     """
-    each = lines.select("g", F.sha2("value", 256).alias("d")).withColumn("part", F.substring("d", 1, 3))
-    parts = each.groupBy("g", "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
-    return parts.groupBy("g").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
-
-
-def line_digest(lines: DataFrame) -> DataFrame:
-    """(g, digest) over the sorted lines themselves, each ended by a line feed. For graphs whose lines fit one task."""
-    text = F.array_join(F.array_sort(F.collect_list("value")), "\n")
-    return lines.groupBy("g").agg(F.sha2(F.concat(text, F.lit("\n")), 256).alias("digest"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    d = lines.select("g", F.sha2("value", 256).alias("d"))
+    made = d.groupBy("g", F.substring("d", 1, 6).alias("part")).agg(F.count("*").alias("n"), joined("d").alias("d"))
+    for digits in (4, 2):
+        made = made.groupBy("g", F.substring("part", 1, digits).alias("part")).agg(F.sum("n").alias("n"), joined(F.concat_ws(" ", "part", "d")).alias("d"))
+    return made.groupBy("g").agg(F.sum("n").alias("n"), joined(F.concat_ws(" ", "part", "d")).alias("digest"))
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:

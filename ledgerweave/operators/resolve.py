@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import SENTINELS
+from .lineage import cut
 
 LOCAL_ROWS = 100_000
 
@@ -125,7 +126,7 @@ def old_ministries(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def successors(names: DataFrame, references: DataFrame, most: int | None = None) -> DataFrame:
     """(name, successor, mechanism) for names(name): equal to a reference, or what is left after taking references off its head, again and again.
 
-    A loop of joins, one for each part, until no name is open (each round shortens the rest); names still open after most rounds raise, and so do
+    A loop of joins, one for each part, until no name is open (each round shortens the rest, and every third is kept as a table); names still open after most rounds raise, and so do
     several possible heads. Names that aren't resolved are left out.
     """
     known = references.select(F.col("name").alias("ref")).distinct()
@@ -144,4 +145,5 @@ def successors(names: DataFrame, references: DataFrame, most: int | None = None)
         one = heads.groupBy("name", "rest").agg(F.count("*").alias("n"), F.first("ref").alias("ref"), F.first("heads").alias("heads"))
         one = one.where(_unique(F.col("n") == 1, "several heads of", F.col("rest")))
         left = one.select("name", F.expr("substring(rest, length(ref) + 1)").alias("rest"), F.concat("heads", F.array("ref")).alias("heads"))
+        left = cut(left) if rounds % 3 == 0 else left
     return done

@@ -41,7 +41,8 @@ class Inputs:
     """Paths of one snapshot. laws may be missing, and with it jurisdictions; connections too, and with it flows of money.
 
     succession is the document of the law whose table says what became of the old ministries; laws then have abolished organs too.
-    recorded has the day of recording of sources for which it is known.
+    recorded has the day of recording of sources for which it is known. plain_register says that the register is uncompressed and without line breaks in
+    cells, so that its files are split among tasks.
     """
 
     corporations: str
@@ -56,6 +57,7 @@ class Inputs:
     succession: str | None = None
     date: str = "2024-01-01"
     payees_only: bool = True
+    plain_register: bool = False
     recorded: dict[str, str] = field(default_factory=dict)
 
 
@@ -77,7 +79,8 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
         raise ValueError("a table of succession needs old ministries")
     if unknown := sorted(set(inputs.recorded) - set(SOURCES)):
         raise ValueError(f"unknown sources: {unknown}")
-    register = records.deduplicated_organizations(readers.corporations(spark, inputs.corporations))
+    read = readers.plain_corporations if inputs.plain_register else readers.corporations
+    register = records.deduplicated_organizations(read(spark, inputs.corporations))
     reference = readers.commented(spark, inputs.ministries, ["ministry_code", "name", "kensei_jun"])
     organs = register.where("kind_code = '101'")
     named = resolve.by_unique_name(reference, "name", organs.select(F.col("name").alias("n"), "corp_no"), "n", "corp_no")

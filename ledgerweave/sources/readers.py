@@ -6,6 +6,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,13 @@ def _rows_of(content: bytes, name: str) -> Iterator[list[str]]:
 
 
 def csv_rows(spark: SparkSession, path: str, width: int, columns: dict[str, int], header: Sequence[str] | None = None) -> DataFrame:
-    """Columns by place, with row_idx from 0, of CSV files or zip archives of one.
+    """Columns by place, with row_idx, of CSV files or zip archives of one. Rows of a file are numbered from 0, those of the next by name go on far above.
 
     Files are parts of the work: one file is read by one task as a stream of batches. A row of another width raises, and so
     does another header where one is given.
     """
+    files = spark.read.format("binaryFile").load(path)
+    place = {_plain(f): k << 40 for k, f in enumerate(sorted(files.inputFiles(), key=_plain))}
     schema = StructType([*[StructField(c, StringType()) for c in columns], StructField("row_idx", LongType())])
     kind = pa.schema([*[(c, pa.string()) for c in columns], ("row_idx", pa.int64())])
     places = list(columns.values())
@@ -63,17 +66,23 @@ def csv_rows(spark: SparkSession, path: str, width: int, columns: dict[str, int]
                 if header is not None and (first := next(rows, None)) != list(header):
                     raise LayoutError(f"{name}: unexpected header {first}")
                 held: list[list] = []
+                first_idx = place[_plain(name)]
                 for k, row in enumerate(rows):
                     if len(row) != width:
                         raise LayoutError(f"{name}: row {k} has {len(row)} columns, not {width}")
-                    held.append([*[row[p] for p in places], k])
+                    held.append([*[row[p] for p in places], first_idx + k])
                     if len(held) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), kind)], schema=kind)
                         held = []
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), kind)], schema=kind)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, schema)
+    return files.select("path", "content").mapInArrow(read, schema)
+
+
+def _plain(uri: str) -> str:
+    """A file's path, however its address is written."""
+    return unquote(uri.split(":", 1)[-1]).lstrip("/")
 
 
 def corporations(spark: SparkSession, path: str, least_share: float = 0.5) -> DataFrame:

@@ -182,3 +182,10 @@ def test_connectors_look_before_they_keep(spark, tmp_path, monkeypatch, capsys):
             connectors.law("http://l", law_id)[f"law_data_{law_id}.json"]()
     with pytest.raises(SystemExit):
         connectors.main([at, "2024-01-01", "--review", "http://good"], spark)
+
+
+def test_rows_are_numbered_over_files(spark, tmp_path):
+    for name, k in (("b é.csv", 2), ("a.csv", 1)):
+        (tmp_path / name).write_text(f"x{k},y\nz{k},w\n", encoding="utf-8")
+    got = readers.csv_rows(spark, str(tmp_path), 2, {"first": 0}).orderBy("row_idx").collect()
+    assert [r["first"] for r in got] == ["x1", "z1", "x2", "z2"] and got[0]["row_idx"] == 0
