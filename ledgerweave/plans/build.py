@@ -7,6 +7,7 @@ before and after the checks, one count for each check and the report, which is w
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from uuid import uuid4
 
@@ -71,8 +72,19 @@ class Built:
     provenance: DataFrame | None = None
 
 
-def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
-    """The typed tables of a snapshot."""
+class _Kept(dict):
+    """Tables by name, each put through keep when it is set, so that what is made from it reads what was kept."""
+
+    def __init__(self, keep: Callable[[str, DataFrame], DataFrame]):
+        super().__init__()
+        self.keep = keep
+
+    def __setitem__(self, name: str, rows: DataFrame) -> None:
+        super().__setitem__(name, self.keep(name, rows))
+
+
+def tables(spark: SparkSession, inputs: Inputs, keep: Callable[[str, DataFrame], DataFrame] = lambda _, rows: rows) -> dict[str, DataFrame]:
+    """The typed tables of a snapshot. keep may write a table, or what several are made from (whose names begin with _), and give back what reads it."""
     if inputs.old_ministries and not inputs.laws:
         raise ValueError("old ministries need laws")
     if inputs.succession and not inputs.old_ministries:
@@ -80,31 +92,35 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     if unknown := sorted(set(inputs.recorded) - set(SOURCES)):
         raise ValueError(f"unknown sources: {unknown}")
     read = readers.plain_corporations if inputs.plain_register else readers.corporations
-    register = records.deduplicated_organizations(read(spark, inputs.corporations))
+    out = _Kept(keep)
+    register = keep("_register", records.deduplicated_organizations(read(spark, inputs.corporations)))
     reference = readers.commented(spark, inputs.ministries, ["ministry_code", "name", "kensei_jun"])
     organs = register.where("kind_code = '101'")
-    named = resolve.by_unique_name(reference, "name", organs.select(F.col("name").alias("n"), "corp_no"), "n", "corp_no")
-    out = {"ministry": named.where("resolved is not null").select(F.col("resolved").alias("corp_no"), "name", "ministry_code"), "unmatched_ministry": named.where("resolved is null").select("name", "reason")}
+    named = keep("_named_ministry", resolve.by_unique_name(reference, "name", organs.select(F.col("name").alias("n"), "corp_no"), "n", "corp_no"))
+    out["ministry"] = named.where("resolved is not null").select(F.col("resolved").alias("corp_no"), "name", "ministry_code")
+    out["unmatched_ministry"] = named.where("resolved is null").select("name", "reason")
     if inputs.laws:
         laws = readers.laws(spark, inputs.laws)
         old = readers.commented(spark, inputs.old_ministries, ["name"]) if inputs.old_ministries else spark.createDataFrame([], "name string")
         out["abolished_organ"] = _abolished(spark, inputs.succession, old, out["ministry"]) if inputs.succession else spark.createDataFrame([], TABLES["abolished_organ"])
-        ladder = resolve.jurisdictions(laws, out["ministry"], old, out["abolished_organ"])
+        out["jurisdiction_ladder"] = resolve.jurisdictions(laws, out["ministry"], old, out["abolished_organ"])
+        ladder = out["jurisdiction_ladder"]
         of = lambda outcome: F.sort_array(F.collect_set(F.when(F.col("outcome") == outcome, F.col("resolved"))))
         own = ladder.groupBy("law_id").agg(of("resolved").alias("jurisdiction"), of("resolved_abolished").alias("abolished_jurisdiction"))
         out["law"] = laws.drop("revision").dropDuplicates(["law_id"]).join(own, "law_id", "left")
-        out["jurisdiction_ladder"] = ladder
         out["law_revision"] = laws.where("revision.enforcement_date is not null").select("law_id", "revision.*").distinct()
     else:
-        out |= {n: spark.createDataFrame([], TABLES[n]) for n in ("law", "law_revision", "abolished_organ")}
+        for n in ("law", "law_revision", "abolished_organ"):
+            out[n] = spark.createDataFrame([], TABLES[n])
 
     keys = ["fiscal_year", "project_id"]
-    spine = records.first(readers.review(spark, inputs.summary, "summary"), ["project_id"], ["row_idx"])
+    spine = keep("_spine", records.first(readers.review(spark, inputs.summary, "summary"), ["project_id"], ["row_idx"]))
     year = spine.select("project_id", "fiscal_year")
     of_spine = lambda rows: rows.drop("fiscal_year").join(year, "project_id")
     cited = of_spine(readers.review(spark, inputs.law_citations, "law"))
     laws_cited = resolve.basis_laws(cited, out["law"])
-    out["basis_law_citation"] = laws_cited.select("project_id", "law_id", "law_title", "resolved", "method", "reason", "key")
+    out["basis_law_citation"] = laws_cited.select("project_id", "fiscal_year", "law_id", "law_title", "resolved", "method", "reason", "key")
+    laws_cited = out["basis_law_citation"]
     basis = laws_cited.where("resolved is not null").groupBy("project_id").agg(F.array_sort(F.collect_set("resolved")).alias("basis_law"))
     budget = of_spine(readers.review(spark, inputs.budget, "budget"))
     aggregate = records.aggregate_budget_rows(budget, keys)
@@ -114,7 +130,7 @@ def tables(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     owned = resolve.by_unique_name(spine.withColumn("ministry", T.strip(F.col("ministry"))), "ministry", out["ministry"].select(F.col("name").alias("n"), "corp_no"), "n", "corp_no")
     out["budget_project"] = owned.join(amounts, "project_id", "left").join(basis, "project_id", "left").select(F.col("fiscal_year").cast("int").alias("fiscal_year"), "project_id", "name", F.col("resolved").alias("ministry"), "budget_amount", "basis_law", F.col("ministry").alias("ministry_name"), "reason")
 
-    payees = of_spine(readers.review(spark, inputs.payees, "payee"))
+    payees = keep("_payee", of_spine(readers.review(spark, inputs.payees, "payee")))
     lines = records.expenditures(payees)
     found = resolve.recipients(lines, register)
     out["expenditure"] = found.join(year, "project_id").select(F.col("fiscal_year").cast("int").alias("fiscal_year"), "project_id", "seq", F.col("payee").alias("label"), "amount", "recipient", F.col("category").alias("recipient_match_category"), F.when(F.col("category") == "bundled", F.col("payee")).alias("payee_label"), "role", F.nullif(F.col("block_id"), F.lit("")).alias("block_id"), "reason", "method", F.col("corp_no").alias("given_number"))
@@ -290,16 +306,25 @@ def _options(inputs: Inputs) -> dict:
 def build(spark: SparkSession, inputs: Inputs, out: str, allow_partial: bool = False, previous: str | None = None) -> Built:
     """Writes tables, the quads of passing graphs, where these come from, their manifest, failing graphs apart, and the report below out.
 
+    Tables are made from those written before, and what several are made from lies in work, so no source is read twice.
+
     Raises if the gate refuses; the report is written before, and what passes is marked as shipped after. With the folder of an earlier build as previous,
     graphs whose sources didn't change are taken from it, with the date they had.
     """
     now = digests(spark, inputs)
     taken = carried(spark, inputs, now, previous) if previous else {}
-    t, rows, counted = {}, {}, {}
-    for name, made in tables(spark, inputs).items():
-        seen = _write_counted(made, name, f"{out}/tables/{name}")
-        rows[name], t[name] = seen.pop("rows"), spark.read.parquet(f"{out}/tables/{name}")
-        counted |= seen
+    rows, counted = {}, {}
+
+    def keep(name: str, made: DataFrame) -> DataFrame:
+        path = f"{out}/work/{name[1:]}" if name.startswith("_") else f"{out}/tables/{name}"
+        seen = _write_counted(made, name, path)
+        n = seen.pop("rows")
+        if not name.startswith("_"):
+            rows[name] = n
+        counted.update(seen)
+        return spark.read.schema(made.schema).parquet(path)
+
+    t = dict(tables(spark, inputs, keep))
     own = quads_of(t, inputs.date)
     if taken:
         own = own.where(~F.col("g").isin(*[_address(spark, s, inputs.date) for s in taken]))
