@@ -43,6 +43,18 @@ def corporation(number, name, kind, updated="2024-01-01"):
 
 @pytest.fixture
 def inputs(tmp_path):
+    return made_inputs(tmp_path)
+
+
+@pytest.fixture(scope="module")
+def first(spark, tmp_path_factory):
+    """One build that several tests look at: what it was made from, its folder, and itself."""
+    folder = tmp_path_factory.mktemp("first")
+    inputs = made_inputs(folder)
+    return inputs, str(folder / "out"), build.build(spark, inputs, str(folder / "out"))
+
+
+def made_inputs(tmp_path):
     own = {"fiscal_year": "2024", "project_id": "1"}
     law = {"law_info": {"law_id": "L1", "law_num": "平成二十年財務省令第九号", "law_num_type": "x", "promulgation_date": "2008-01-01"}, "current_revision_info": {"law_title": "甲法", "abbrev": None, "repeal_status": "None"}, "revision_info": {"amendment_law_num": "n", "amendment_enforcement_date": "2010-01-01", "current_revision_status": "s"}}
     (tmp_path / "laws.jsonl").write_text(json.dumps(law, ensure_ascii=False), encoding="utf-8")
@@ -63,9 +75,8 @@ def inputs(tmp_path):
     )
 
 
-def test_a_release_from_files(spark, inputs, tmp_path):
-    out = str(tmp_path / "out")
-    made = build.build(spark, inputs, out)
+def test_a_release_from_files(spark, first):
+    _, out, made = first
     assert made.messages == [] and made.gate.checked["block_sums"] == 2 and made.gate.checked["annual_identities"] == 1 and made.gate.checked["project_amounts"] == 1
     t = made.tables
     first = t["budget_project"].where("project_id = '1'").first()
@@ -94,8 +105,8 @@ def test_the_gate_refuses_wrong_sums_after_the_report(spark, inputs, tmp_path):
     assert build.build(spark, inputs, out, allow_partial=True).messages == ["block_sums: 1"]
 
 
-def test_release_is_staged_only_if_intact(spark, inputs, tmp_path):
-    made = build.build(spark, inputs, str(tmp_path / "out"))
+def test_release_is_staged_only_if_intact(spark, first, tmp_path):
+    made = first[2]
     root, declared = str(tmp_path / "served"), release.manifest(made.quads)
     release.stage(made.quads, declared, root)
     less = made.quads.where(~F.col("g").contains("rs-system"))
@@ -148,11 +159,11 @@ def _change(path, column, kind, value):
     write(path, rows)
 
 
-def test_unchanged_graphs_are_carried_over(spark, inputs, tmp_path):
+def test_unchanged_graphs_are_carried_over(spark, first, inputs, tmp_path):
     import dataclasses
 
-    one, two, three = (str(tmp_path / x) for x in ("one", "two", "three"))
-    made = build.build(spark, inputs, one)
+    _, one, made = first
+    two, three = (str(tmp_path / x) for x in ("two", "three"))
     report = lambda out: json.loads(spark.read.text(f"{out}/report").first()["value"])
     counters = report(one)["counters"]
     assert len(counters) >= 40 and counters["recipient_by_houjin_bangou"] == 1 and counters["recipient_sentinel"] == 1 and counters["basis_law_by_title_stripped"] == 1
@@ -168,11 +179,10 @@ def test_unchanged_graphs_are_carried_over(spark, inputs, tmp_path):
     assert sorted(r["g"].split("/graph/")[1] for r in last.quads.select("g").distinct().collect()) == ["egov-law/2024-01-01", "houjin-bangou/2024-03-01", "ministry-codes/2024-01-01", "rs-system/2024-03-01"]
 
 
-def test_what_may_not_be_carried_over(spark, inputs, tmp_path):
+def test_what_may_not_be_carried_over(spark, first, inputs, tmp_path):
     import dataclasses
 
-    one, two = (str(tmp_path / x) for x in ("one", "two"))
-    build.build(spark, inputs, one)
+    one, two = first[1], str(tmp_path / "two")
     now = build.digests(spark, inputs)
     later = dataclasses.replace(inputs, date="2024-02-01")
     assert set(build.carried(spark, later, now, one)) == {"egov-law", "houjin-bangou", "ministry-codes", "rs-system"}
