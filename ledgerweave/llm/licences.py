@@ -1,8 +1,8 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 A paragraph is a line of text, read alone and, as notices are wrapped, with the lines about it up to blank ones (words and
-comment marks apart, REACH words each way). Lines that have a word which the classifier itself holds to tell of a licence are described by their word n-grams (one to three
-words), a row for each, so a long line is linear work; a sparse logistic regression over the families and a class for unknown gives probabilities; a temperature
+comment marks apart, REACH words each way). Lines that have a word which the classifier itself holds to tell of a licence, and lines near one of the sequences without some of which
+no template can be covered, are described by their word n-grams (one to three words), a row for each, so a long line is linear work; a sparse logistic regression over the families and a class for unknown gives probabilities; a temperature
 calibrated on held-out examples makes them honest, and below a threshold the family is unknown. A family is confirmed
 if the paragraph holds enough of the two-word sequences of one of its templates. Training is numpy on the driver,
 over the templates below and distortions of them; scoring is DataFrame functions alone.
@@ -13,11 +13,13 @@ from __future__ import annotations
 import json
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import named
@@ -150,9 +152,28 @@ def telling() -> tuple[str, ...]:
 
 def candidate() -> str:
     """A pattern for lines with a telling word, by first characters, so that a word of another one is passed over at once."""
+    return _any_of((w[0], re.escape(w[1:])) for w in telling())
+
+
+@lru_cache(maxsize=8)
+def signs(least_cover: float) -> tuple[str, ...]:
+    """Two-word sequences of which every text that covers so much of a template has one: so many of each template that the others are too few. The longest, as these are rare elsewhere."""
+    out = set()
+    for _, template in TEMPLATES:
+        own = sorted(pairs(template), key=lambda p: (-len(p), p))
+        out.update(own[: len(own) - ceil(least_cover * len(own) - 1e-9) + 1])
+    return tuple(sorted(out))
+
+
+def sign_pattern(least_cover: float) -> str:
+    """A pattern for texts with one of the signs, whatever parts their words."""
+    return _any_of((p[0], re.escape(p[1:].split(" ")[0]) + "".join(f"[^a-z0-9]+{re.escape(w)}" for w in p.split(" ")[1:])) for p in signs(least_cover))
+
+
+def _any_of(patterns: Iterable[tuple[str, str]]) -> str:
     by: dict[str, list[str]] = {}
-    for w in telling():
-        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    for first, rest in patterns:
+        by.setdefault(first, []).append(rest)
     return r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in sorted(by.items())) + r")(?![a-z0-9])"
 
 
@@ -174,48 +195,69 @@ def _sequences(words: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cover: float = 0.6) -> DataFrame:
-    """(doc_id, paragraph, family, probability, template, cover): a row for each paragraph with a telling word.
+    """(doc_id, paragraph, family, probability, template, cover): a row for each paragraph with a telling word, and for each other one that is sure.
 
     family is unknown if the classifier says so, is not sure, or no template of the family is covered; template and cover
     tell the best template of the most probable family. The line alone decides if that is sure, else the smallest window about it
-    that is and whose template the line has a part of. Paragraphs are numbered from 0. Texts that are null or have no telling
-    word give no rows; equal paragraphs and repeated rows give rows each. Lines of any length are linear work. Other columns of docs are not looked at.
+    that is and whose template the line has a part of. Lines without a telling word are read wherever a template can be covered; one of them
+    that is sure has no row of its own if a line with a telling word in the same window names the same family, as the notice has its row there.
+    Paragraphs are numbered from 0. Texts that are null, or have neither a telling word nor a template so far covered,
+    give no rows; equal paragraphs and repeated rows give rows each. Lines of any length are linear work. Other columns of docs are not looked at.
+    least_cover is over 0, 1 at most.
     """
-    model, spark, pattern = trained(), docs.sparkSession, candidate()
-    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
-    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(pattern))
-    lines = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.split("text", "\n").alias("lines"))
-    lines = lines.select("doc_id", "lines", F.explode(at).alias("paragraph"))
-    found_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD})"), 1)
+    if not 0 < least_cover <= 1:
+        raise ValueError("least_cover must be over 0, 1 at most")
+    model, spark, pattern, sign = trained(), docs.sparkSession, candidate(), sign_pattern(least_cover)
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), F.lower(named(text_col).cast("string")).alias("text"))
+    texts = docs.select("doc_id", "text", F.col("text").rlike(sign).alias("signed")).where(F.col("signed") | F.col("text").rlike(pattern))
+    lines = texts.select("doc_id", F.split("text", "\n").alias("lines"), "signed").withColumn("origin", F.monotonically_increasing_id())
+    numbers = F.sequence(F.lit(0), F.size("lines") - 1)
+    told = lambda i: F.get("lines", i).rlike(pattern)
+    at = F.transform(F.filter(numbers, told), lambda i: F.struct(i.alias("paragraph"), F.lit(True).alias("told")))
+    # Other lines: those with a sign so near that a window may hold it. A sign may begin in one line and end in the next.
+    near = F.transform(numbers, lambda i: F.when(F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1)).rlike(sign), i))
+    about = F.filter(F.array_distinct(F.flatten(F.transform(F.array_compact(near), lambda i: F.sequence(F.greatest(i - REACH, F.lit(0)), F.least(i + 1 + REACH, F.size("lines") - 1))))), lambda i: F.get("lines", i).rlike("[a-z0-9]") & ~told(i))
+    also = F.transform(about, lambda i: F.struct(i.alias("paragraph"), F.lit(False).alias("told")))
+    lines = lines.select("doc_id", "origin", "lines", F.explode(F.when(F.col("signed"), F.concat(at, also)).otherwise(at)).alias("at")).select("doc_id", "origin", "lines", "at.*")
+    found_words = lambda c: F.regexp_extract_all(c, F.lit(f"({_WORD})"), 1)
     first = F.greatest(F.col("paragraph") - REACH, F.lit(0))
     above = F.concat(F.array_join(F.slice("lines", first + 1, F.col("paragraph") - first), "\n"), F.lit("\n"))
     below = F.concat(F.lit("\n"), F.array_join(F.slice("lines", F.col("paragraph") + 2, F.lit(REACH)), "\n"))
-    above, below = found_words(F.element_at(F.split(above, _BLANK), -1)), found_words(F.element_at(F.split(below, _BLANK), 1))
-    parts = lines.select("doc_id", "paragraph", found_words(F.get("lines", F.col("paragraph"))).alias("line"), F.reverse(F.slice(F.reverse(above), 1, REACH)).alias("above"), F.slice(below, 1, REACH).alias("below")).withColumn("origin", F.monotonically_increasing_id())
-    # A window's n-grams; those that begin or end in the line are its own, and `touch` tells them.
+    above, below = F.element_at(F.split(above, _BLANK), -1), F.element_at(F.split(below, _BLANK), 1)
+    # Lines that REACH words upwards or downwards take, for those that may have their row elsewhere.
+    sizes = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.size(found_words(x))), lambda n: n > 0)
+    taken = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words")), lambda a, n: F.struct((a["lines"] + (a["words"] < REACH).cast("int")).alias("lines"), (a["words"] + n).alias("words")))["lines"]
+    far = lambda c: F.when(~F.col("told"), taken(c))
+    parts = lines.select(
+        "doc_id", "paragraph", "origin", "told", found_words(F.get("lines", F.col("paragraph"))).alias("line"), F.reverse(F.slice(F.reverse(found_words(above)), 1, REACH)).alias("above"), F.slice(found_words(below), 1, REACH).alias("below"),
+        far(F.reverse(sizes(above))).alias("up"), far(sizes(below)).alias("down"),
+    )
+    # A window's n-grams; the words of the line and the pairs that begin or end in it are its own, and `touch` tells them.
     window = lambda k, a, b: F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b"))
     up, down, none = F.size("above") > 0, F.size("below") > 0, F.array().cast("array<string>")
     windows = F.array(window(0, none, none), F.when(down, window(1, none, F.col("below"))), F.when(up, window(2, F.col("above"), none)), F.when(up & down, window(3, F.col("above"), F.col("below"))))
-    wide = parts.select("doc_id", "paragraph", "origin", "line", F.explode(F.array_compact(windows)).alias("w")).select("doc_id", "paragraph", "origin", "line", "w.*")
-    wide = wide.select("doc_id", "paragraph", "origin", "k", "line", F.concat(F.reverse(F.slice(F.reverse("a"), 1, 1)), "line", F.slice("b", 1, 1)).alias("near"), F.concat("a", "line", "b").alias("words"))
+    key = "doc_id", "paragraph", "origin", "told", "up", "down"
+    wide = parts.select(*key, "line", F.explode(F.array_compact(windows)).alias("w")).select(*key, "line", "w.*")
+    wide = wide.select(*key, "k", "line", F.concat(F.reverse(F.slice(F.reverse("a"), 1, 1)), "line", F.slice("b", 1, 1)).alias("near"), F.concat("a", "line", "b").alias("words"))
     grams_of = F.array_distinct(F.concat("words", _sequences(F.col("words"), 2), _sequences(F.col("words"), 3)))
     gram = lambda touch, every: F.transform(every, lambda g: F.struct(g.alias("gram"), F.lit(touch).alias("touch")))
-    every = F.concat(gram(False, grams_of), gram(True, F.array_distinct(_sequences(F.col("near"), 2))))
-    rows = wide.select("doc_id", "paragraph", "origin", "k", F.explode_outer(every).alias("x")).select("doc_id", "paragraph", "origin", "k", "x.*")
+    # An empty n-gram, which is always known, keeps the windows that have no other known one.
+    every = F.concat(gram(False, F.array(F.lit(""))), gram(False, grams_of), F.when(F.col("k") > 0, gram(True, F.array_distinct(F.concat("line", _sequences(F.col("near"), 2))))).otherwise(F.array()))
+    rows = wide.select(*key, "k", F.explode(every).alias("x")).select(*key, "k", "x.*")
 
     pairs_of: dict[str, list[int]] = {}
     sizes = [len(pairs(t)) for _, t in TEMPLATES]
     for k, (_, t) in enumerate(TEMPLATES):
         for p in pairs(t):
             pairs_of.setdefault(p, []).append(k)
-    known = F.broadcast(_literal(spark, [{"gram": g, "weights": w, "templates": pairs_of.get(g, [])} for g, w in model.grams.items()], "gram: string, weights: array<double>, templates: array<int>"))
     n = len(model.families)
+    known = F.broadcast(_literal(spark, [{"gram": g, "weights": w, "templates": pairs_of.get(g, [])} for g, w in (model.grams | {"": [0.0] * n}).items()], "gram: string, weights: array<double>, templates: array<int>"))
     zero = F.array(*[F.lit(0.0)] * n)
-    hits = rows.join(known, "gram", "left").select("doc_id", "paragraph", "origin", "k", "touch", F.when(~F.col("touch"), F.col("weights")).otherwise(zero).alias("weights"), "templates")
+    hits = rows.join(known, "gram").select(*key, "k", "touch", F.when(~F.col("touch"), F.col("weights")).otherwise(zero).alias("weights"), "templates")
     sums = [(F.coalesce(F.sum(F.col("weights")[k]), F.lit(0.0)) + model.bias[k]).alias(f"m{k}") for k in range(n)]
     # Pairs of templates that a window has, by template; at most as many as all templates have.
     seen = F.flatten(F.collect_list(F.when(F.size("templates") > 0, F.transform("templates", lambda t: F.struct(t.alias("t"), F.col("touch").alias("touch")))))).alias("seen")
-    scored = hits.groupBy("doc_id", "paragraph", "origin", "k").agg(*sums, seen)
+    scored = hits.groupBy(*key, "k").agg(*sums, seen)
     # The greatest margin first; of equal ones the family that comes last.
     best = F.array_max(F.array(*[F.struct(F.col(f"m{k}").alias("margin"), F.lit(k).alias("family")) for k in range(n)]))
     scored = scored.withColumn("best", best).withColumn("probability", 1 / sum(F.exp(F.col(f"m{k}") - F.col("best.margin")) for k in range(n)))
@@ -224,10 +266,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     of_guess = F.filter(kinds, lambda x: x["guess"] == F.col("guess"))
     count = lambda x, touch: F.size(F.filter("seen", lambda s: (s["t"] == x["t"]) & (s["touch"] == touch)))
     compared = F.transform(of_guess, lambda x: F.struct((count(x, False) / F.greatest(x["size"], F.lit(1))).alias("cover"), x["template"].alias("template"), ((F.col("k") == 0) | (count(x, True) > 0)).alias("part")))
-    found = scored.select("doc_id", "paragraph", "origin", "k", guessed.alias("guess"), "probability", "seen").withColumn("t", F.array_max(compared)).withColumn("t", F.coalesce("t", F.struct(F.lit(0.0).alias("cover"), F.lit(None).cast("string").alias("template"), F.lit(False).alias("part"))))
+    found = scored.select(*key, "k", guessed.alias("guess"), "probability", "seen").withColumn("t", F.array_max(compared)).withColumn("t", F.coalesce("t", F.struct(F.lit(0.0).alias("cover"), F.lit(None).cast("string").alias("template"), F.lit(False).alias("part"))))
     sure = (F.col("probability") >= model.least) & (F.col("t.cover") >= least_cover) & F.col("t.part")
     # The smallest sure window first, then the line alone.
     chosen = found.withColumn("unsure", ~sure).withColumn("row", F.struct("unsure", "k", "guess", "probability", "t"))
-    return chosen.groupBy("doc_id", "paragraph", "origin").agg(F.min("row").alias("c")).select(
-        "doc_id", "paragraph", F.when(~F.col("c.unsure"), F.col("c.guess")).otherwise(UNKNOWN).alias("family"), F.round("c.probability", 6).alias("probability"), "c.t.template", F.round("c.t.cover", 6).alias("cover")
+    chosen = chosen.groupBy(*key).agg(F.min("row").alias("c"))
+    chosen = chosen.select(*key, F.col("c.guess").alias("guess"), F.col("c.unsure").alias("unsure"), "c").where(F.col("told") | ~F.col("unsure"))
+    # The nearest lines above and below with a telling word and the same family: has the window one?
+    by = Window.partitionBy("origin", "guess")
+    naming = F.when(F.col("told") & ~F.col("unsure"), F.col("paragraph"))
+    over, under = (F.last(naming, True).over(by.orderBy(order)) for order in (F.asc("paragraph"), F.desc("paragraph")))
+    here = (F.col("c.k").isin(2, 3) & (F.col("paragraph") - over <= F.col("up"))) | (F.col("c.k").isin(1, 3) & (under - F.col("paragraph") <= F.col("down")))
+    return chosen.withColumn("elsewhere", F.coalesce(here, F.lit(False))).where(F.col("told") | ~F.col("elsewhere")).select(
+        "doc_id", "paragraph", F.when(~F.col("unsure"), F.col("guess")).otherwise(UNKNOWN).alias("family"), F.round("c.probability", 6).alias("probability"), "c.t.template", F.round("c.t.cover", 6).alias("cover")
     )
