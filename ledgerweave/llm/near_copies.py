@@ -15,6 +15,7 @@ different groups are candidates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -34,6 +35,8 @@ BUDGET, CLOSE, SLACK = 24, 10, 1e-9
 PART, COMMON, MOST = 8, 8, 200_000
 #: Nodes of a cell that are joined as one trie in one task, and rows of cells in one group.
 CELL, GROUP = 1024, 16_384
+#: Texts of a batch whose shingles are held at once.
+SLICE = 512
 #: Nodes of a cell from which on each is compared with the middle one.
 DENSE = 16
 
@@ -48,13 +51,20 @@ def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     if not len(found):
         return found
     late = common[np.searchsorted(common, found).clip(0, len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
-    return np.concatenate([found[~late], found[late]])[: len(found) - ceil(least * len(found) - SLACK) + 1]
+    return np.concatenate([found[~late], found[late]])[: len(found) - ceil(least * len(found) - SLACK) + 1].copy()
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))
 
 
 def _common(docs: DataFrame, words: int) -> np.ndarray:
-    def each(batch: pa.RecordBatch) -> dict:
-        sets = {t: shingles(t, words) for t in batch.column(0).to_pylist()}
-        return {"s": np.concatenate([*sets.values()]).view(np.int64)}
+    def each(batch: pa.RecordBatch) -> Iterator[dict]:
+        seen = set()
+        for part in _slices(batch):
+            texts = dict.fromkeys(t for t in part.column(0).to_pylist() if t not in seen)
+            seen.update(texts)
+            yield {"s": np.concatenate([np.zeros(0, np.uint64), *(shingles(t, words) for t in texts)]).view(np.int64)}
 
     part = docs.select(whole_text().alias("t")).where(F.xxhash64("t", F.lit(1)) % PART == 0)
     often = map_batches(part, each, "s long").groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST)
@@ -65,18 +75,22 @@ def _described(docs: DataFrame, words: int, least: float) -> DataFrame:
     """(doc_id, kt, node, n, fp, tokens); copies in one batch have tokens once."""
     common = _common(docs, words)
 
-    def each(batch: pa.RecordBatch) -> dict:
+    def each(batch: pa.RecordBatch) -> Iterator[dict]:
         known: dict[str, tuple] = {}
-        rows = []
-        for t in batch.column(2).to_pylist():
-            again = t in known
-            if not again:
-                s = shingles(t, words)
-                known[t] = (_signed(s), len(s), majority(s.view(np.uint8).reshape(-1, 8)), prefix(s, common, least).view(np.int64))
-            rows.append((*known[t][:3], known[t][3][:0] if again else known[t][3]))
-        node, n, fp, tokens = zip(*rows)
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in tokens]))).astype(np.int32)
-        return {"doc_id": batch.column(0), "kt": batch.column(1), "node": node, "n": n, "fp": np.array(fp, np.uint64).view(np.int64), "tokens": pa.ListArray.from_arrays(ends, np.concatenate(tokens))}
+        none = np.zeros(0, np.int64)
+        for part in _slices(batch):
+            rows, tokens = [], []
+            for t in part.column(2).to_pylist():
+                if t in known:
+                    tokens.append(none)
+                else:
+                    s = shingles(t, words)
+                    known[t] = _signed(s), len(s), majority(s.view(np.uint8).reshape(-1, 8))
+                    tokens.append(prefix(s, common, least).view(np.int64))
+                rows.append(known[t])
+            node, n, fp = zip(*rows)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in tokens]))).astype(np.int32)
+            yield {"doc_id": part.column(0), "kt": part.column(1), "node": node, "n": n, "fp": np.array(fp, np.uint64).view(np.int64), "tokens": pa.ListArray.from_arrays(ends, np.concatenate(tokens))}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()), whole_text()), each, "doc_id long, kt long, node long, n int, fp long, tokens array<bigint>")
 
@@ -94,12 +108,13 @@ def _sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, words: int)
     one = described.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")).alias("b")).select("node", *_key("b"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64(whole_text()).alias("kt"), whole_text().alias("t"))
 
-    def each(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-        return {"node": batch.column(0), "set": sets, "n": [len(s) for s in sets]}
+    def each(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in _slices(batch):
+            sets = [shingles(t, words).view(np.int64) for t in part.column(1).to_pylist()]
+            yield {"node": part.column(0), "set": sets, "n": [len(s) for s in sets]}
 
     texts = one.join(keyed, ["id", "none", "kt"]).select("node", "t").dropDuplicates(["node"])
-    return durable(map_batches(texts, each, "node long, set array<bigint>, n long"))
+    return map_batches(texts, each, "node long, set array<bigint>, n long")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,25 +190,25 @@ def _shared(described: DataFrame) -> DataFrame:
     return counted.join(nodes, "node")
 
 
-def links(docs: DataFrame, described: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v) of nodes of similarity least or more: enough of them to connect what all such pairs connect."""
+def links(docs: DataFrame, described: DataFrame, shared: DataFrame, scratch: Scratch, words: int, least: float) -> DataFrame:
+    """(u, v) of nodes of similarity least or more: enough of them to connect what all such pairs connect. shared is a table of scratch, and goes."""
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs)
-        sets = _sets(docs, described, pairs.select(F.explode(F.array("u", "v")).alias("node")), words)
-        return durable(_compared(pairs, sets).where(F.col("similarity") >= least).select("u", "v"))
-
-    with Scratch(docs.sparkSession) as scratch:
-        shared = scratch.keep("shared", _shared(described))
-        bits = F.ceil(F.log2(F.col("m") / CELL))
-        parts = shared.withColumn("root", F.col("node")).withColumn("part", F.when(bits > 0, F.expr("shiftrightunsigned(fp, 64 - cast(greatest(ceil(log2(m / %d)), 1) as int))" % CELL)).otherwise(F.lit(0).cast("long")))
-        close = confirmed(_trie_pairs(parts, least, CLOSE, True))
-        roots = connected_components(close)
-        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("part", F.lit(0).cast("long"))
-        rooted = scratch.keep("rooted", rooted)
-        scratch.drop("shared")
-        small, large = rooted.where(F.col("m") <= CELL), rooted.where(F.col("m") > CELL)
-        return close.unionByName(confirmed(_trie_pairs(small, least, BUDGET, False).unionByName(_joined_pairs(large, least)).distinct()))
+        sets = scratch.keep("sets", _sets(docs, described, pairs.select(F.explode(F.array("u", "v")).alias("node")), words))
+        close = durable(_compared(pairs, sets).where(F.col("similarity") >= least).select("u", "v"))
+        scratch.drop("sets")
+        return close
+
+    bits = F.ceil(F.log2(F.col("m") / CELL))
+    parts = shared.withColumn("root", F.col("node")).withColumn("part", F.when(bits > 0, F.expr("shiftrightunsigned(fp, 64 - cast(greatest(ceil(log2(m / %d)), 1) as int))" % CELL)).otherwise(F.lit(0).cast("long")))
+    close = confirmed(_trie_pairs(parts, least, CLOSE, True))
+    roots = connected_components(close)
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("part", F.lit(0).cast("long"))
+    rooted = scratch.keep("rooted", rooted)
+    scratch.drop("shared")
+    small, large = rooted.where(F.col("m") <= CELL), rooted.where(F.col("m") > CELL)
+    return close.unionByName(confirmed(_trie_pairs(small, least, BUDGET, False).unionByName(_joined_pairs(large, least)).distinct()))
 
 
 def grouped(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -202,8 +217,12 @@ def grouped(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     Null texts count as empty, and texts without words are copies of each other. An empty table gives no rows; other columns of
     docs are not looked at. Repeated rows give equal rows.
     """
-    described = durable(_described(docs, words, least))
-    roots = connected_components(links(docs, described, words, least))
+    with Scratch(docs.sparkSession) as scratch:
+        # The tokens, most of it all, go as soon as those that are shared are found.
+        whole = scratch.keep("whole", _described(docs, words, least))
+        described, shared = durable(whole.drop("tokens")), scratch.keep("shared", _shared(whole))
+        scratch.drop("whole")
+        roots = connected_components(links(docs, described, shared, scratch, words, least))
     return durable(described.select("doc_id", "kt", "node").join(roots, "node", "left").select("doc_id", "kt", F.coalesce("root", "node").alias("root")))
 
 

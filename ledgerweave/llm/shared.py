@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from uuid import uuid4
@@ -95,16 +96,29 @@ class Scratch:
         remove_folder(self.spark, self.folder)
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict[str, object]] | dict[str, object]], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to the columns of one result batch."""
+def give_back() -> None:
+    """What a task of a Python worker has freed goes back to the machine, as workers live on beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict[str, object]] | dict[str, object]], schema: str, done: Callable[[], None] = lambda: None) -> DataFrame:
+    """mapInArrow with a function from one batch to the columns of one result batch or of several; done is called at the end of a task."""
     kind = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _struct(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = each(batch)
-                for columns in [made] if isinstance(made, dict) else made:
-                    yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in kind], schema=kind)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    made = each(batch)
+                    for columns in [made] if isinstance(made, dict) else made:
+                        yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in kind], schema=kind)
+                    batch = made = columns = None  # before the next one is read
+        finally:
+            done()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
