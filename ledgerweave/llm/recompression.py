@@ -39,6 +39,8 @@ from .shared import Scratch, map_batches, named, whole_text
 
 #: Classes by which names are counted; times the mean, and at least FEW, that make a class a heavy one.
 SLOTS, HEAVY, FEW = 1 << 16, 16, 4096
+#: Rows of one result batch.
+ROWS = 1 << 16
 #: Words that are parsed at once, bytes that are split at once, distinct words that a worker remembers.
 BLOCK, BYTES, KNOWN = 1 << 17, 1 << 22, 1 << 19
 _U = np.uint64
@@ -99,6 +101,12 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    """Frees the memory of words: a worker that lives on holds none between tasks."""
+    global _words
+    _words = _Words()
+
+
 def _pieces(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, those of BYTES bytes or so at once."""
     at = 0
@@ -237,15 +245,20 @@ def _combined(one: np.ndarray, two: np.ndarray, kd: np.ndarray, kt: np.ndarray,
 def _first_round(docs: DataFrame, window: int) -> DataFrame:
     """Rows of all intervals, under the name of their anchors and the fingerprint of all they cover."""
 
-    def each(batch: pa.RecordBatch) -> dict:
+    def each(batch: pa.RecordBatch) -> Iterator[dict]:
         kd, kt = (batch.column(i).to_numpy() for i in (0, 1))
         found = list(_intervals((t.as_py().encode() for t in batch.column(2)), window))
         if not found:
-            return {c.split()[0]: np.zeros(0, np.int64) for c in _FIRST.split(", ")} | {"known": np.zeros(0, bool)}
+            return
         name, cover, row, first, last = (np.concatenate(x) for x in zip(*found))
-        return _combined(name, cover, kd[row], kt[row], first, last)
+        found.clear()
+        yield from _sliced(_combined(name, cover, kd[row], kt[row], first, last))
+
+    return map_batches(docs.select("kd", "kt", whole_text("text")), each, _FIRST, _forget)
+
 
-    return map_batches(docs.select("kd", "kt", whole_text("text")), each, _FIRST)
+def _sliced(columns: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+    return ({c: x[at : at + ROWS] for c, x in columns.items()} for at in range(0, len(columns["name"]), ROWS))
 
 
 def _second_round(docs: DataFrame, still: DataFrame, window: int) -> DataFrame:
@@ -253,7 +266,7 @@ def _second_round(docs: DataFrame, still: DataFrame, window: int) -> DataFrame:
     packed = F.shiftleft("first", 13).bitwiseOR(F.col("last") - F.col("first"))
     wanted = still.groupBy("kd", "kt").agg(F.collect_list(packed).alias("intervals"))
 
-    def each(batch: pa.RecordBatch) -> dict:
+    def each(batch: pa.RecordBatch) -> Iterator[dict]:
         kd, kt = (batch.column(i).to_numpy() for i in (0, 1))
         starts = [_starts(x.values.to_numpy()) for x in batch.column(3)]
         found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -264,9 +277,10 @@ def _second_round(docs: DataFrame, still: DataFrame, window: int) -> DataFrame:
             one, two = (r.of(r.sums(p), at, at + window) for r, p in zip((_one, _two), prints))
             found.append((one, two, rows[part], at - bounds[part, 0] + places[part]))
         one, two, row, first = (np.concatenate(x) for x in zip(*found))
-        return _combined(one, two, kd[row], kt[row], first, first)
+        found.clear()
+        yield from _sliced(_combined(one, two, kd[row], kt[row], first, first))
 
-    return map_batches(_packed(docs).join(wanted, ["kd", "kt"]).select("kd", "kt", "text", "intervals"), each, _FIRST)
+    return map_batches(_packed(docs).join(wanted, ["kd", "kt"]).select("kd", "kt", "text", "intervals"), each, _FIRST, _forget)
 
 
 def _starts(packed: np.ndarray) -> np.ndarray:
