@@ -165,9 +165,9 @@ def signs(least_cover: float) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-def sign_pattern(least_cover: float) -> str:
-    """A pattern for texts with one of the signs, whatever parts their words."""
-    return _any_of((p[0], re.escape(p[1:].split(" ")[0]) + "".join(f"[^a-z0-9]+{re.escape(w)}" for w in p.split(" ")[1:])) for p in signs(least_cover))
+def sign_pattern(least_cover: float, more: tuple[str, ...] = ()) -> str:
+    """A pattern for texts with one of the signs, whatever parts their words, or with one of more words."""
+    return _any_of((p[0], re.escape(p[1:].split(" ")[0]) + "".join(f"[^a-z0-9]+{re.escape(w)}" for w in p.split(" ")[1:])) for p in (*more, *signs(least_cover)))
 
 
 def _any_of(patterns: Iterable[tuple[str, str]]) -> str:
@@ -209,8 +209,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
         raise ValueError("least_cover must be over 0, 1 at most")
     model, spark, pattern, sign = trained(), docs.sparkSession, candidate(), sign_pattern(least_cover)
     docs = docs.select(named(id_col).cast("long").alias("doc_id"), F.lower(named(text_col).cast("string")).alias("text"))
-    texts = docs.select("doc_id", "text", F.col("text").rlike(sign).alias("signed")).where(F.col("signed") | F.col("text").rlike(pattern))
-    lines = texts.select("doc_id", F.split("text", "\n").alias("lines"), "signed").withColumn("origin", F.monotonically_increasing_id())
+    lines = docs.where(F.col("text").rlike(sign_pattern(least_cover, telling()))).select("doc_id", F.split("text", "\n").alias("lines"), F.col("text").rlike(sign).alias("signed")).withColumn("origin", F.monotonically_increasing_id())
     numbers = F.sequence(F.lit(0), F.size("lines") - 1)
     told = lambda i: F.get("lines", i).rlike(pattern)
     at = F.transform(F.filter(numbers, told), lambda i: F.struct(i.alias("paragraph"), F.lit(True).alias("told")))
@@ -218,7 +217,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     near = F.transform(numbers, lambda i: F.when(F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1)).rlike(sign), i))
     about = F.filter(F.array_distinct(F.flatten(F.transform(F.array_compact(near), lambda i: F.sequence(F.greatest(i - REACH, F.lit(0)), F.least(i + 1 + REACH, F.size("lines") - 1))))), lambda i: F.get("lines", i).rlike("[a-z0-9]") & ~told(i))
     also = F.transform(about, lambda i: F.struct(i.alias("paragraph"), F.lit(False).alias("told")))
-    lines = lines.select("doc_id", "origin", "lines", F.explode(F.when(F.col("signed"), F.concat(at, also)).otherwise(at)).alias("at")).select("doc_id", "origin", "lines", "at.*")
+    # Outer, as for others Spark first asks if there are any, which computes them twice.
+    at = F.explode_outer(F.when(F.col("signed"), F.concat(at, also)).otherwise(at)).alias("at")
+    lines = lines.select("doc_id", "origin", "lines", at).where("at is not null").select("doc_id", "origin", "lines", "at.*")
     found_words = lambda c: F.regexp_extract_all(c, F.lit(f"({_WORD})"), 1)
     first = F.greatest(F.col("paragraph") - REACH, F.lit(0))
     above = F.concat(F.array_join(F.slice("lines", first + 1, F.col("paragraph") - first), "\n"), F.lit("\n"))
@@ -237,13 +238,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     up, down, none = F.size("above") > 0, F.size("below") > 0, F.array().cast("array<string>")
     windows = F.array(window(0, none, none), F.when(down, window(1, none, F.col("below"))), F.when(up, window(2, F.col("above"), none)), F.when(up & down, window(3, F.col("above"), F.col("below"))))
     key = "doc_id", "paragraph", "origin", "told", "up", "down"
-    wide = parts.select(*key, "line", F.explode(F.array_compact(windows)).alias("w")).select(*key, "line", "w.*")
-    wide = wide.select(*key, "k", "line", F.concat(F.reverse(F.slice(F.reverse("a"), 1, 1)), "line", F.slice("b", 1, 1)).alias("near"), F.concat("a", "line", "b").alias("words"))
+    nearer = lambda a, b: F.concat(F.reverse(F.slice(F.reverse(a), 1, 1)), "line", F.slice(b, 1, 1))
+    touching = lambda near: F.array_distinct(F.concat("line", _sequences(near, 2)))
+    # Of the lines without a telling word, those that have a part of a template which the widest window covers.
+    kept = F.from_json(F.lit(json.dumps([{"pairs": sorted(pairs(t))} for _, t in TEMPLATES])), "array<struct<pairs: array<string>>>")
+    parts = parts.withColumn("touching", F.when(~F.col("told"), F.array_intersect(touching(nearer("above", "below")), F.array_distinct(F.flatten(F.transform(kept, lambda t: t["pairs"]))))))
+    widest = F.concat("above", "line", "below")
+    widest = F.concat(widest, _sequences(widest, 2))
+    able = F.exists(F.filter(kept, lambda t: F.arrays_overlap(t["pairs"], F.col("touching"))), lambda t: F.size(F.array_intersect(t["pairs"], widest)) / F.size(t["pairs"]) >= least_cover)
+    read = F.when(F.col("told") | ((F.size("touching") > 0) & able), F.array_compact(windows))
+    wide = parts.select(*key, "line", F.explode_outer(read).alias("w")).where("w is not null").select(*key, "line", "w.*")
+    wide = wide.select(*key, "k", "line", nearer("a", "b").alias("near"), F.concat("a", "line", "b").alias("words"))
     grams_of = F.array_distinct(F.concat("words", _sequences(F.col("words"), 2), _sequences(F.col("words"), 3)))
     gram = lambda touch, every: F.transform(every, lambda g: F.struct(g.alias("gram"), F.lit(touch).alias("touch")))
     # An empty n-gram, which is always known, keeps the windows that have no other known one.
-    every = F.concat(gram(False, F.array(F.lit(""))), gram(False, grams_of), F.when(F.col("k") > 0, gram(True, F.array_distinct(F.concat("line", _sequences(F.col("near"), 2))))).otherwise(F.array()))
-    rows = wide.select(*key, "k", F.explode(every).alias("x")).select(*key, "k", "x.*")
+    every = F.concat(gram(False, F.array(F.lit(""))), gram(False, grams_of), F.when(F.col("k") > 0, gram(True, touching(F.col("near")))).otherwise(F.array()))
+    rows = wide.select(*key, "k", F.explode_outer(every).alias("x")).select(*key, "k", "x.*")
 
     pairs_of: dict[str, list[int]] = {}
     sizes = [len(pairs(t)) for _, t in TEMPLATES]
